@@ -8,12 +8,13 @@ together per mail, and a small weighted ridge fit per mail gives the word weight
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailprism.functions.fixed_values import SEED
 from mailprism.operators.scoring import fixed
@@ -24,21 +25,26 @@ KERNEL_WIDTH = 25.0
 SELECT_PENALTY = 0.01
 FIT_PENALTY = 1.0
 
-EXPLANATION = "array<struct<token:string,weight:double>>"
+_EXPLANATION = T.ArrayType(
+    T.StructType().add("token", T.StringType()).add("weight", T.DoubleType())
+)
 
 
-def _unit(*parts: Column) -> Column:
-    """A repeatable draw from 0..1."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
+DRAW_BITS = 30
 
 
-def _kept(key: Column, sample: Column, share: Column, word: Column, seed: int) -> Column:
-    return (sample == 0) | (_unit(F.lit(seed), key, sample, word) >= share)
+def _draw(*parts: Column) -> Column:
+    """A repeatable whole number of ``DRAW_BITS`` bits."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 64 - DRAW_BITS)
 
 
-def _share(key: Column, sample: Column, seed: int) -> Column:
-    """Share of words missing in a sample."""
-    return _unit(F.lit(seed), key, sample)
+def _sample_key(key: Column, sample: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), key, sample)
+
+
+def _removed_below(sample: Column, sample_key: Column) -> Column:
+    """Words that draw less are missing; the share is uniform, and nothing misses in sample 0."""
+    return F.when(sample == 0, F.lit(0).cast("long")).otherwise(_draw(sample_key))
 
 
 def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
@@ -69,20 +75,24 @@ def word_weights(mask: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int
     return [(int(chosen[i]), float(coef[i])) for i in order]
 
 
-def _fit(num_features: int):
-    @F.pandas_udf(EXPLANATION)
-    def fit(vocabulary: pd.Series, masks: pd.Series, scores: pd.Series) -> pd.Series:
+def _fit_all(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Replace vocabulary, masks and scores of every mail by its strongest words."""
+    for batch in batches:
         out = []
-        for vocab, mask, score in zip(vocabulary, masks, scores):
-            if vocab is None or len(vocab) == 0:
+        masks = batch.column("__mask").to_numpy(zero_copy_only=False)
+        columns = (batch.column(c).to_pylist() for c in ("__vocab", "__p"))
+        for mask, vocab, scores in zip(masks, *columns):
+            if not vocab:
                 out.append([])
                 continue
-            matrix = np.frombuffer(mask.encode(), dtype=np.uint8).reshape(len(score), -1) == 49
-            found = word_weights(matrix, np.asarray(score, dtype=float), num_features)
+            matrix = np.asarray(mask, dtype=bool).reshape(len(scores), -1)
+            found = word_weights(matrix, np.asarray(scores, dtype=float), k)
             out.append([{"token": vocab[i], "weight": w} for i, w in found])
-        return pd.Series(out)
-
-    return fit
+        kept = batch.select([0, 1, 2])
+        tops = pa.array(out, pa.list_(pa.struct([("token", pa.string()), ("weight", pa.float64())])))
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, tops], names=[*kept.schema.names, "top_features"]
+        )
 
 
 def explain(
@@ -99,19 +109,23 @@ def explain(
     base = df.select(
         F.col(id_col).alias("__id"),
         F.xxhash64(F.col(id_col).cast("string")).alias("__key"),
-        words(F.coalesce(F.col(text_col), F.lit(""))).alias("__words"),
+        F.transform(
+            words(F.coalesce(F.col(text_col), F.lit(""))),
+            lambda w: F.struct(w.alias("w"), F.lower(w).alias("low"), F.xxhash64(w).alias("h")),
+        ).alias("__words"),
     )
-    samples = base.withColumn(
-        "__sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1)))
-    ).withColumn("__share", _share(key, sample, seed))
-    left = F.filter(
-        "__words", lambda w: _kept(key, sample, F.col("__share"), w, seed)
+    # words are cut and hashed once per mail, before the copies are made
+    samples = (
+        base.withColumn("__sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+        .withColumn("__skey", _sample_key(key, sample, seed))
+        .withColumn("__below", _removed_below(sample, F.col("__skey")))
     )
+    left = F.filter("__words", lambda w: _draw(w["h"], F.col("__skey")) >= F.col("__below"))
     copies = samples.select(
         "__id", "__key", "__sample",
-        F.slice(F.transform(left, F.lower), 1, token_limit).alias("tokens"),
+        F.slice(left["low"], 1, token_limit).alias("tokens"),
         # the vocabulary travels once per mail
-        F.when(sample == 0, F.array_distinct("__words")).alias("__vocab"),
+        F.when(sample == 0, F.array_distinct(F.col("__words")["w"])).alias("__vocab"),
     )
     scored = score_tokens(copies)
     per_mail = scored.groupBy("__id", "__key").agg(
@@ -120,26 +134,27 @@ def explain(
         F.max(F.when(sample == 0, F.col("p1"))).alias("p1"),
         F.first("__vocab", ignorenulls=True).alias("__vocab"),
     )
-    mask = F.array_join(
+
+    def row(s: Column) -> Column:
+        return F.struct(
+            _sample_key(key, s, seed).alias("k"),
+            _removed_below(s, _sample_key(key, s, seed)).alias("below"),
+        )
+
+    mask = F.flatten(
         F.transform(
-            F.col("__scores")["__sample"],
-            lambda s: F.array_join(
-                F.transform(
-                    "__vocab",
-                    lambda w: F.when(
-                        _kept(key, s, _share(key, s, seed), w, seed), "1"
-                    ).otherwise("0"),
-                ),
-                "",
-            ),
-        ),
-        "",
+            F.transform(F.col("__scores")["__sample"], row),
+            lambda s: F.transform("__hashes", lambda h: _draw(h, s["k"]) >= s["below"]),
+        )
     )
-    fit = _fit(num_features)
-    return per_mail.select(
+    fitted = per_mail.withColumn(
+        "__hashes", F.transform("__vocab", lambda w: F.xxhash64(w))
+    ).select(
         F.col("__id").alias(id_col), "p0", "p1",
-        fit(F.col("__vocab"), mask, F.col("__scores")["p1"]).alias("top_features"),
+        F.col("__vocab"), mask.alias("__mask"), F.col("__scores")["p1"].alias("__p"),
     )
+    schema = T.StructType(fitted.schema.fields[:3]).add("top_features", _EXPLANATION)
+    return fitted.mapInArrow(lambda batches: _fit_all(batches, num_features), schema)
 
 
 def top_tokens(explained: DataFrame, k: int, id_col: str = "msg_id") -> DataFrame:

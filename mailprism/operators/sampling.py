@@ -1,14 +1,17 @@
 """Repeatable sampling, shuffling and splitting, independent of partitioning.
 
 Rows are ordered by ``md5(seed|key)`` inside their class. Nothing here sorts a class in one task:
-the hash value at a wanted rank is found from counts per hash prefix plus a sort of the one prefix
-that holds it, and every row then compares its own hash with that value. The wide rows are never
+the hash at a wanted rank is found from counts per hash prefix plus a sort of the one prefix that
+holds it, and every row then compares its own hash with that literal. The wide rows are never
 shuffled. ``key`` must be unique.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,58 +19,71 @@ from pyspark.sql import functions as F
 from mailprism.functions.fixed_values import SEED
 
 PREFIX_DIGITS = 4  # 65 536 prefixes per class
-MAX_CLASSES = 64
+MAX_CLASSES = 16
 
 
 def order_hash(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-
-
 def hash_cuts(
-    df: DataFrame, label: str, key: str, seed: int,
-    ranks: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """``label, cuts``: per class the hashes at the ranks that ``ranks`` derives from the counts.
+    df: DataFrame, label: str, key: str, seed: int, ranks: Callable[[dict], dict]
+) -> dict:
+    """``{label: [hash, ...]}``: per class the hashes at the ranks that ``ranks`` derives.
 
-    ``ranks`` maps ``label, n`` to ``label, slot, rank`` (1-based; rank 0 gives no cut). The result
-    has one row per class and is checked to stay below ``MAX_CLASSES`` rows, so it may be broadcast.
+    ``ranks`` maps ``{label: rows}`` to ``{label: [rank, ...]}``, 1-based. Two passes over label
+    and key run at once, as in fitting a model. The driver sees one count per class and prefix,
+    a bounded number whatever the size of the table, and then one hash per rank.
     """
-    hashed = df.select(F.col(label).alias("label"), order_hash(key, seed).alias("h")).withColumn(
-        "prefix", F.substring("h", 1, PREFIX_DIGITS)
-    )
-    by_prefix = hashed.groupBy("label", "prefix").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("label").orderBy("prefix")
-    steps = by_prefix.withColumn("last", F.sum("n").over(upto)).withColumn(
-        "before", F.col("last") - F.col("n")
-    )
-    totals = by_prefix.groupBy("label").agg(F.sum("n").alias("n"))
-    few = totals.agg(F.count("*").alias("k")).scalar() <= MAX_CLASSES
-    wanted = ranks(totals.filter(F.assert_true(few, "too many classes").isNull()))
-    places = (
-        steps.join(F.broadcast(wanted), "label")
-        .filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("last")))
-        .select("label", "prefix", "slot", (F.col("rank") - F.col("before")).alias("local_rank"))
-    )
+    hashed = df.select(F.col(label).alias("label"), order_hash(key, seed).alias("h")).filter(
+        F.col("label").isNotNull()
+    ).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+    limit = MAX_CLASSES * 16**PREFIX_DIGITS
+    counted = hashed.groupBy("label", "prefix").agg(F.count("*").alias("n")).limit(limit + 1)
+    per_class: dict = {}
+    for row in counted.collect():
+        per_class.setdefault(row["label"], []).append((row["prefix"], row["n"]))
+    if len(per_class) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    wanted = ranks({c: sum(n for _, n in rows) for c, rows in per_class.items()})
+    places: dict = {}
+    for value, positions in wanted.items():
+        for rank in positions:
+            before = 0
+            for prefix, n in sorted(per_class[value]):
+                if before < rank <= before + n:
+                    places.setdefault((value, prefix, rank - before), []).append(rank)
+                before += n
+    if not places:
+        return {}
     inside = Window.partitionBy("label", "prefix").orderBy("h")
-    # only rows of the few prefixes that hold a wanted rank are sorted
-    nearby = hashed.join(
-        F.broadcast(places.select("label", "prefix").distinct()), ["label", "prefix"]
-    ).withColumn("local_rank", F.row_number().over(inside))
-    cuts = nearby.join(F.broadcast(places), ["label", "prefix", "local_rank"])
-    return cuts.groupBy("label").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "h"))).alias("cuts")
+    near = reduce(
+        or_,
+        ((F.col("label") == F.lit(c)) & (F.col("prefix") == p) for c, p in {x[:2] for x in places}),
     )
+    # only rows of the few prefixes that hold a wanted rank are shuffled and sorted
+    numbered = hashed.filter(near).withColumn("rn", F.row_number().over(inside))
+    hit = F.col("rn").isin(*{x[2] for x in places})
+    found = {(r["label"], r["prefix"], r["rn"]): r["h"] for r in _bounded(numbered.filter(hit), places)}
+    out: dict = {}
+    for place, positions in places.items():
+        out.setdefault(place[0], []).extend([found[place]] * len(positions))
+    return {c: sorted(hashes) for c, hashes in out.items()}
 
 
-def _with_cuts(df: DataFrame, cuts: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    small = cuts.select(F.col("label").alias("__label"), F.col("cuts").alias("__cuts"))
-    return df.withColumn("__hash", order_hash(key, seed)).join(
-        F.broadcast(small), F.col(label) == F.col("__label"), "left"
-    )
+def _bounded(df: DataFrame, places: dict) -> list:
+    """Rows at the wanted places: at most one per place and prefix."""
+    return df.select("label", "prefix", "rn", "h").limit(len(places) ** 2).collect()
+
+
+def _passed(cuts: dict, label: str, key: str, seed: int) -> Column:
+    """How many of its class's cuts a row's hash lies beyond."""
+    own = order_hash(key, seed)
+    out = F.lit(0)
+    for value, hashes in cuts.items():
+        beyond = reduce(add, ((own > F.lit(h)).cast("int") for h in hashes))
+        out = F.when(F.col(label) == F.lit(value), beyond).otherwise(out)
+    return out
 
 
 def class_ratio_sample(
@@ -76,18 +92,14 @@ def class_ratio_sample(
 ) -> DataFrame:
     """``int(total * legit_ratio)`` rows of class 0, the rest of class 1; a short class is whole."""
     n_legit = int(total * legit_ratio)
-    targets = F.when(F.col("label") == 0, n_legit).otherwise(total - n_legit)
+    target = {0: n_legit, 1: total - n_legit}
     binary = df.filter(F.col(label).isin(0, 1))
-
-    def ranks(counts: DataFrame) -> DataFrame:
-        return counts.select("label", F.lit(0).alias("slot"), F.least(targets, "n").alias("rank"))
-
-    cut = F.col("__cuts")[0]
-    return (
-        _with_cuts(binary, hash_cuts(binary, label, key, seed, ranks), label, key, seed)
-        .filter(F.col("__hash") <= cut)
-        .select(*df.columns)
+    cuts = hash_cuts(
+        binary, label, key, seed,
+        lambda n: {c: [min(n[c], target[c])] for c in n if target[c] > 0},
     )
+    wanted = binary.filter(F.col(label).isin(*cuts)) if cuts else binary.limit(0)
+    return wanted.filter(_passed(cuts, label, key, seed) == 0)
 
 
 def seeded_shuffle(df: DataFrame, key: str = "row_id", seed: int = SEED) -> DataFrame:
@@ -95,22 +107,16 @@ def seeded_shuffle(df: DataFrame, key: str = "row_id", seed: int = SEED) -> Data
     return df.orderBy(order_hash(key, seed))
 
 
-def _test_sizes(counts: DataFrame, test_size: float) -> DataFrame:
-    """Rows per class of a test part of ``ceil(n * test_size)`` rows, by largest remainder."""
-    everything = Window.partitionBy(F.lit(0))
-    share = counts.withColumn("total", F.sum("n").over(everything)).withColumn(
-        "test", F.ceil(F.col("total") * F.lit(float(test_size)))
-    ).withColumn("exact", F.col("n") * F.col("test") / F.col("total")).withColumn(
-        "base", F.floor("exact")
-    )
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("exact") - F.col("base")), "label")
-    return share.withColumn("missing", F.col("test") - F.sum("base").over(everything)).select(
-        "label",
-        F.lit(0).alias("slot"),
-        (F.col("base") + (F.row_number().over(order) <= F.col("missing")).cast("long")).alias(
-            "rank"
-        ),
-    )
+def test_sizes(counts: dict, test_size: float) -> dict:
+    """Test rows per class: ``ceil(n * test_size)`` in all, shared out by largest remainder."""
+    total = sum(counts.values())
+    test = math.ceil(total * test_size)
+    exact = {c: n * test / total for c, n in counts.items()}
+    sizes = {c: math.floor(x) for c, x in exact.items()}
+    by_rest = sorted(counts, key=lambda c: (sizes[c] - exact[c], c))
+    for c in by_rest[: test - sum(sizes.values())]:
+        sizes[c] += 1
+    return sizes
 
 
 def stratified_split(
@@ -118,11 +124,14 @@ def stratified_split(
     seed: int = SEED,
 ) -> DataFrame:
     """All rows with ``is_test``: the class shares are the same in both parts."""
-    cuts = hash_cuts(df, label, key, seed, lambda c: _test_sizes(c, test_size))
-    in_test = F.coalesce(F.col("__hash") <= F.col("__cuts")[0], F.lit(False))
-    return _with_cuts(df, cuts, label, key, seed).select(
-        *df.columns, in_test.cast("int").alias("is_test")
+    cuts = hash_cuts(
+        df, label, key, seed,
+        lambda n: {c: [size] for c, size in test_sizes(n, test_size).items() if size > 0},
     )
+    if not cuts:
+        return df.withColumn("is_test", F.lit(0))
+    in_test = F.col(label).isin(*cuts) & (_passed(cuts, label, key, seed) == 0)
+    return df.withColumn("is_test", F.coalesce(in_test, F.lit(False)).cast("int"))
 
 
 def stratified_folds(
@@ -130,21 +139,12 @@ def stratified_folds(
 ) -> DataFrame:
     """All rows with ``fold`` 0..k-1; per class the folds differ by one row at most."""
 
-    def ranks(counts: DataFrame) -> DataFrame:
-        big = F.pmod(F.col("n"), F.lit(k))
-        size = F.floor(F.col("n") / k)
-        return counts.select(
-            "label", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("slot")
-        ).select(
-            "label", "slot",
-            ((F.col("slot") + 1) * size + F.least(F.col("slot") + 1, big)).alias("rank"),
-        )
-
-    cuts = hash_cuts(df, label, key, seed, ranks)
-    below = F.filter(F.map_values("__cuts"), lambda c: c < F.col("__hash"))
-    return _with_cuts(df, cuts, label, key, seed).select(
-        *df.columns, F.coalesce(F.size(below), F.lit(0)).alias("fold")
-    )
+    def ends(n: int) -> list[int]:
+        """Last rank of every fold but the last; the first ``n % k`` folds have one row more."""
+        return [r for i in range(1, k) if (r := i * (n // k) + min(i, n % k)) > 0]
+
+    cuts = hash_cuts(df, label, key, seed, lambda n: {c: ends(m) for c, m in n.items()})
+    return df.withColumn("fold", _passed(cuts, label, key, seed))
 
 
 def split_by_hash(

@@ -32,7 +32,7 @@ class TextAgent:
     """Safe / phishing classifier over text. ``epochs`` are tried as separate iteration budgets."""
 
     def __init__(
-        self, limit: int = TRAIN_TOKENS, buckets: int = 1 << 18, epochs=(5, 10, 20),
+        self, limit: int = TRAIN_TOKENS, buckets: int = 1 << 16, epochs=(3, 6, 12),
         regularisation: float = 0.01, seed: int = SEED,
     ):
         self.limit, self.buckets, self.epochs = limit, buckets, tuple(epochs)

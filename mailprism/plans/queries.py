@@ -557,6 +557,20 @@ def aligned_features(spark, sf_dir):
 
 
 # --- models (no SQL twin) --------------------------------------------------------------------
+def _phishing_line(key: str):
+    """1 where the derived mail carries one of the four phishing lines."""
+    return F.when(F.col(key) % 8 < 4, 1).otherwise(0).alias("label")
+
+
+def _model_mail(spark, sf_dir) -> DataFrame:
+    """``row_id, text, label``: the closing line leads, so that it is within the model's tokens."""
+    return derived_mail(spark, sf_dir).select(
+        F.col("doc_id").alias("row_id"),
+        F.concat(F.substring_index("body", "\n", -1), F.lit("\n"), "body").alias("text"),
+        _phishing_line("doc_id"),
+    )
+
+
 def _split_scores(agent, feats: DataFrame, key: str) -> tuple:
     parts = sampling.stratified_split(feats, 0.3, "label", key).persist()
     train, test = parts.filter("is_test = 0"), parts.filter("is_test = 1")
@@ -565,7 +579,9 @@ def _split_scores(agent, feats: DataFrame, key: str) -> tuple:
 
 @query
 def header_forest_metrics(spark, sf_dir):
-    feats = header_features(_messages(spark, sf_dir), ("msg_id", "label"))
+    feats = header_features(_messages(spark, sf_dir), ("msg_id",)).withColumn(
+        "label", _phishing_line("msg_id")
+    )
     agent, test = _split_scores(header_agent(), feats, "msg_id")
     return agent.evaluate(test)
 
@@ -573,29 +589,27 @@ def header_forest_metrics(spark, sf_dir):
 @query
 def url_forest_scores(spark, sf_dir):
     """Verdicts of a URL forest on the held-out URLs of all mail."""
-    urls = body_urls(derived_mail(spark, sf_dir), "body").groupBy("url_text").agg(
-        F.max("label").alias("label")
-    ).withColumn("url_id", F.sha2("url_text", 256))
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("url").alias("url_text"), F.lit(0).alias("label")
+    )
+    urls = body_urls(derived_mail(spark, sf_dir), "body").select(
+        "url_text", F.lit(1).alias("label")
+    ).unionByName(pages).groupBy("url_text").agg(F.min("label").alias("label")).withColumn(
+        "url_id", F.sha2("url_text", 256)
+    )
     agent, test = _split_scores(url_agent(), url_corpus_features(urls, ("url_id", "label")), "url_id")
     return scoring.verdicts(agent.predict(test, ("url_id", "label")))
 
 
 @query
 def forest_importances(spark, sf_dir):
-    feats = text_url_features(
-        derived_mail(spark, sf_dir).select(
-            F.col("doc_id").alias("row_id"), F.col("body").alias("text"), "label"
-        )
-    )
+    feats = text_url_features(_model_mail(spark, sf_dir))
     agent, _ = _split_scores(text_url_agent(), feats, "row_id")
     return agent.importances(spark, 15)
 
 
 def _text_agent(spark, sf_dir) -> tuple[TextAgent, DataFrame]:
-    texts = derived_mail(spark, sf_dir).select(
-        F.col("doc_id").alias("row_id"), F.col("body").alias("text"), "label"
-    )
-    parts = sampling.stratified_split(texts, 0.2, "label", "row_id")
+    parts = sampling.stratified_split(_model_mail(spark, sf_dir), 0.2, "label", "row_id")
     return TextAgent().train(parts.filter("is_test = 0")), parts.filter("is_test = 1")
 
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", app: str = "mailprism", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MAILPRISM_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
