@@ -68,7 +68,9 @@ def _digit_class() -> str:
     odd = [
         c for c in range(0x20000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"
     ]
-    return r"\p{Nd}" + "".join(rf"\x{{{c:x}}}" for c in odd)
+    starts = [c for c in odd if c - 1 not in odd]
+    ends = [c for c in odd if c + 1 not in odd]
+    return r"\p{Nd}" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
 
 
 DIGIT_CLASS = _digit_class()

@@ -65,26 +65,42 @@ def normalise_corpus(df: DataFrame, text_col="Email Text", label_col="Email Type
     return drop_blank(df)
 
 
-def flatten_json_mail(raw: Column) -> Column:
-    """JSON mail as flat text; null becomes '', anything that is no JSON object stays as it is."""
-    # from_json tolerates text behind the object, which strict JSON does not
-    fields = F.when(
-        raw.rlike(f"\\}}[{v.SPACE}]*$"), F.from_json(raw, "map<string,string>")
+def with_flat_mail(df: DataFrame, json_col: str, out_col: str = "text") -> DataFrame:
+    """Append JSON mail as flat text: subject, sender and recipient lines, a blank line, the body.
+
+    Null becomes '', anything that is no JSON object stays as it is. The object is parsed once into
+    a map; its types are looked at only where a value could be a number, flag or empty container
+    that counts as missing.
+    """
+    raw, fields, typed = F.col(json_col), F.col("__fields"), F.col("__typed")
+    staged = df.withColumn(
+        "__fields",
+        # from_json tolerates text behind the object, which strict JSON does not
+        F.when(raw.rlike(f"\\}}[{v.SPACE}]*$"), F.from_json(raw, "map<string,string>")),
+    ).withColumn(
+        "__typed",
+        F.when(
+            F.exists(F.map_values("__fields"), lambda x: x.isin(*_DOUBTFUL, "true")),
+            F.try_parse_json(raw),
+        ),
     )
 
+    def kind(key: str) -> Column:
+        found = F.try_variant_get(typed, f"$['{key}']", "variant")
+        return F.coalesce(F.schema_of_variant(found), F.lit(""))
+
     def value(key: str) -> Column:
         """Field as text, null where it is missing or counts as empty."""
         found = F.try_element_at(fields, F.lit(key))
-        doubtful = found.isin("", "0", "-0", "0.0", "-0.0", "false", "[]", "{}")
-        is_text = F.schema_of_variant(
-            F.try_variant_get(F.try_parse_json(raw), f"$['{key}']", "variant")
-        ) == "STRING"
-        kept = F.when(~doubtful | ((found != "") & F.coalesce(is_text, F.lit(False))), found)
-        return _python_bool(raw, key, kept)
+        return (
+            F.when(found == "", None)
+            .when(found.isin(*_DOUBTFUL) & (kind(key) != "STRING"), None)
+            .when((found == "true") & (kind(key) == "BOOLEAN"), "True")
+            .otherwise(found)
+        )
 
     def line(title: str, keys) -> Column:
-        picked = F.coalesce(*(value(k) for k in keys))
-        return F.concat(F.lit(f"{title}: "), picked)
+        return F.concat(F.lit(f"{title}: "), F.coalesce(*(value(k) for k in keys)))
 
     rest = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*v.ENVELOPE_KEYS))
     dump = F.array_join(
@@ -93,24 +109,20 @@ def flatten_json_mail(raw: Column) -> Column:
         ),
         " ",
     )
-    body = F.coalesce(*(value(k) for k in v.BODY_KEYS), dump)
     flat = F.concat_ws(
         "\n",
         line("Subject", v.SUBJECT_KEYS),
         line("From", v.SENDER_KEYS),
         line("To", v.RECIPIENT_KEYS),
         F.lit(""),
-        body,
+        F.coalesce(*(value(k) for k in v.BODY_KEYS), dump),
     )
-    return F.when(raw.isNull(), "").when(fields.isNull(), raw).otherwise(flat)
+    out = F.when(raw.isNull(), "").when(fields.isNull(), raw).otherwise(flat)
+    return staged.select(*(c for c in df.columns if c != out_col), out.alias(out_col))
 
 
-def _python_bool(raw: Column, key: str, text: Column) -> Column:
-    """A JSON ``true`` prints as ``True``; the string "true" does not."""
-    is_bool = F.schema_of_variant(
-        F.try_variant_get(F.try_parse_json(raw), f"$['{key}']", "variant")
-    ) == "BOOLEAN"
-    return F.when((text == "true") & F.coalesce(is_bool, F.lit(False)), "True").otherwise(text)
+# texts a number, flag or container that counts as missing may have
+_DOUBTFUL = ("0", "-0", "0.0", "-0.0", "false", "[]", "{}")
 
 
 def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:

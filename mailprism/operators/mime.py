@@ -13,17 +13,18 @@ Columns added to the carried ones:
 
 from __future__ import annotations
 
+import re
 from email import message_from_string, policy
+from email.headerregistry import HeaderRegistry
 from email.parser import BytesParser
 from email.utils import parsedate_to_datetime
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.functions.headers import READ_HEADERS
-
 _TEXT = T.StringType()
 PARSED_SCHEMA = (
     T.StructType()
@@ -54,6 +55,12 @@ _ARROW = {
     "parse_error": pa.string(),
 }
 _TEXT_KINDS = ("text/plain", "text/html")
+# headers the standard library rewrites while parsing; all others keep their text
+_STRUCTURED = (
+    "from", "reply-to", "sender", "to", "cc", "bcc", "message-id", "mime-version", "content-type",
+    "content-disposition", "content-transfer-encoding",
+)
+_LINE_END = re.compile(r"\r\n|\r|\n")
 
 
 def _valid(text: str) -> str:
@@ -68,14 +75,20 @@ def date_year(value) -> int | None:
         return None
 
 
+def _mail_policy():
+    """The standard policy; equal header lines, which the standard library parses at every access,
+    are parsed once."""
+    return policy.default.clone(header_factory=lru_cache(maxsize=4096)(HeaderRegistry()))
+
+
 def _headers(msg) -> list[dict]:
     out = []
     for name, raw in msg.raw_items():
         try:
-            if name.lower() in READ_HEADERS or "=?" in raw:
-                value = _valid(str(msg.policy.header_fetch_parse(name, raw)))
+            if raw.isascii() and "=?" not in raw and name.lower() not in _STRUCTURED:
+                value = "".join(_LINE_END.split(raw))  # nothing to decode
             else:
-                value = _valid("".join(str(raw).splitlines()))
+                value = _valid(str(msg.policy.header_fetch_parse(name, raw)))
         except Exception:
             value = None
         out.append({"name": _valid(name), "value": value})
@@ -122,14 +135,15 @@ def _firsts(parts: list[dict]) -> list[str | None]:
     ]
 
 
-def parse_mail(raw: bytes, as_text: bool = False) -> dict:
+def parse_mail(raw: bytes, as_text: bool = False, mail_policy=None) -> dict:
     """Parse one message; ``as_text`` decodes it as UTF-8 first, as the batch table does."""
     row = dict.fromkeys(_ARROW)
+    mail_policy = mail_policy or _mail_policy()
     try:
         if as_text:
-            msg = message_from_string(raw.decode("utf-8", "ignore"), policy=policy.default)
+            msg = message_from_string(raw.decode("utf-8", "ignore"), policy=mail_policy)
         else:
-            msg = BytesParser(policy=policy.default).parsebytes(raw)
+            msg = BytesParser(policy=mail_policy).parsebytes(raw)
         row["headers"] = _headers(msg)
         dates = [h["value"] for h in row["headers"] if h["name"].lower() == "date"]
         row["date_year"] = date_year(dates[0]) if dates else None
@@ -162,8 +176,10 @@ def parse_messages(
     names = [f.name for f in carried]
 
     def parse(batches):
+        mail_policy = _mail_policy()
         for batch in batches:
-            rows = [parse_mail(raw or b"", as_text) for raw in batch.column(raw_col).to_pylist()]
+            raws = batch.column(raw_col).to_pylist()
+            rows = [parse_mail(raw or b"", as_text, mail_policy) for raw in raws]
             parsed = [pa.array([r[n] for r in rows], type=t) for n, t in _ARROW.items()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + parsed, names=names + list(_ARROW)

@@ -130,10 +130,9 @@ def build_text_corpus(
         bodies = mail_bodies(messages).select("text", "label")
         frames[0] = harmonise.drop_blank(frames[0].unionByName(bodies))
     if json_mail is not None:
-        legit = harmonise.only_class(json_mail, 0, "phish_label").select(
-            harmonise.flatten_json_mail(F.col("email_content")).alias("text"),
-            F.lit(0).alias("label"),
-        )
+        legit = harmonise.with_flat_mail(
+            harmonise.only_class(json_mail, 0, "phish_label"), "email_content"
+        ).select("text", F.lit(0).alias("label"))
         frames.append(harmonise.drop_short(legit))
     if four_class is not None:
         legit = harmonise.only_class(four_class, 0).select(

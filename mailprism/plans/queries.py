@@ -24,6 +24,7 @@ from mailprism.plans.derived_mail import (
     derived_mail, derived_raw_mail, derived_scores, documents, table,
 )
 from mailprism.sources.corpora import body_urls, build_url_corpus, mail_bodies
+from mailprism.session import spread
 from mailprism.sources.tables import domains_to_urls, first_rows, rebuild_ham, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,9 +271,8 @@ def normalised_corpus(spark, sf_dir):
 
 @query
 def json_flatten(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
-        "event_id", harmonise.flatten_json_mail(F.col("props")).alias("text")
-    )
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props"))
+    return harmonise.with_flat_mail(events, "props").drop("props")
 
 
 @query
@@ -289,9 +289,8 @@ def json_flatten_mail(spark, sf_dir):
         .when(F.col("doc_id") % 7 == 0, F.col("text"))
         .otherwise(F.to_json(fields))
     )
-    return documents(spark, sf_dir).select(
-        "doc_id", harmonise.flatten_json_mail(raw).alias("text")
-    )
+    mail = documents(spark, sf_dir).select("doc_id", raw.alias("mail"))
+    return harmonise.with_flat_mail(mail, "mail").drop("mail")
 
 
 @query
