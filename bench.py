@@ -20,19 +20,23 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "mailprism-bench")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus, "mailprism-bench")
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    times = {}
-    for name in HEADLINE:
-        start = time.perf_counter()
-        # every column of every row is computed, nothing is kept
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+    runs = [{}, {}]  # the first pass compiles and starts the Python workers, the second counts
+    for times in runs:
+        for name in HEADLINE:
+            start = time.perf_counter()
+            # every column of every row is computed, nothing is kept
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
+    cold, times = runs
     print(
         json.dumps(
             {
                 "metric": "total_query_seconds", "value": round(sum(times.values()), 3),
-                "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
+                "unit": "sec", "queries": times, "first_pass": round(sum(cold.values()), 3),
+                "cpus": int(cpus), "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
             }
         )
     )

@@ -73,7 +73,6 @@ LARGE_SUM = r"\$\p{Nd}{4}|\p{Nd}{4}[" + SPACE + r"]*dollars"
 FULL_IPV4 = r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$"
 ANY_IPV4 = r"\p{Nd}+\.\p{Nd}+\.\p{Nd}+\.\p{Nd}+"
 PRIVATE_IP = r"192\.168\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\."
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAIL_YEAR = r"\b\d{1,2}\s+[A-Za-z]{3}\s+(\d{4})\b"
 
 # --- fixed values: envelope of rebuilt ham ---------------------------------------------------

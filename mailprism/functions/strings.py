@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 
 from mailprism.functions.fixed_values import HTML_TAG, SPACE
 
+# Every whitespace character, and the same set as a Java class: Latin-1 members first, the rest
+# behind one range check, so that a letter fails after two comparisons.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+JAVA_SPACE = (
+    "".join(rf"\x{ord(c):02x}" for c in SPACE_CHARS if ord(c) < 256)
+    + r"[[\x{1680}-\x{3000}]&&["
+    + "".join(rf"\x{{{ord(c):x}}}" for c in SPACE_CHARS if ord(c) > 255)
+    + "]]"
+)
+
 
 def flag(condition: Column) -> Column:
     """Boolean to 0/1; an unknown condition counts as 0."""
@@ -52,7 +62,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace at both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def single_spaced(text: Column) -> Column:
+    """Every whitespace run as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"[{JAVA_SPACE}]+", " "))
 
 
 def not_blank(text: Column) -> Column:
@@ -63,14 +78,22 @@ def drop_tags(text: Column) -> Column:
     return F.regexp_replace(text, HTML_TAG, " ")
 
 
-def _digit_class() -> str:
-    """Regex class body for digits: decimal digits plus the other characters with a digit value."""
+def _odd_digits() -> str:
+    """Regex class body for the characters with a digit value that are no decimal digits."""
     odd = [
         c for c in range(0x20000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"
     ]
     starts = [c for c in odd if c - 1 not in odd]
     ends = [c for c in odd if c + 1 not in odd]
-    return r"\p{Nd}" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+ODD_DIGITS = _odd_digits()
 
 
-DIGIT_CLASS = _digit_class()
+def count_digits(text: Column, size: Column) -> Column:
+    """Digits of any script; the odd ones are looked for only in texts that are not ASCII."""
+    odd = size - F.length(F.regexp_replace(text, f"[{ODD_DIGITS}]+", ""))
+    return F.length(F.regexp_replace(text, r"\P{Nd}+", "")) + F.when(
+        F.octet_length(text) > size, odd
+    ).otherwise(0)

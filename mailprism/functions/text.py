@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mailprism.functions import fixed_values as v
 from mailprism.functions.strings import (
-    DIGIT_CLASS, any_of, count_char, drop_tags, flag, present, ratio, strip, total_occurrences,
+    any_of, count_char, count_digits, drop_tags, flag, present, ratio, single_spaced, strip,
+    total_occurrences,
 )
 
 _RAW, _LOW, _WORDS, _LEN = "__text", "__lower", "__words", "__len"
@@ -25,12 +26,11 @@ def _text_columns() -> dict[str, Column]:
             F.regexp_replace(raw, v.PLAIN_URL, ""), F.lit(v.SENTENCE_END)
         ),
         "uppercase_ratio": ratio(
-            F.length(F.regexp_replace(raw, r"[^\p{IsUppercase}]+", "")), size
-        ),
-        "digit_ratio": ratio(F.length(F.regexp_replace(raw, f"[^{DIGIT_CLASS}]+", "")), size),
-        "special_char_ratio": ratio(
-            size - F.length(F.translate(raw, v.PUNCTUATION, "")), size
+            F.length(F.regexp_replace(raw, r"\P{IsUppercase}+", "")), size
         ),
+        "digit_ratio": ratio(count_digits(raw, size), size),
+        # Java's Punct class is exactly the 32 ASCII punctuation characters
+        "special_char_ratio": ratio(F.length(F.regexp_replace(raw, r"\P{Punct}+", "")), size),
         "exclamation_count": count_char(raw, "!"),
         "question_count": count_char(raw, "?"),
         "excessive_punctuation": flag((count_char(raw, "!") > 3) | raw.contains("!!")),
@@ -71,7 +71,7 @@ def with_text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     staged = df.withColumn(_RAW, raw).withColumns(
         {
             _LOW: F.lower(_RAW),
-            _WORDS: F.trim(F.regexp_replace(_RAW, f"[{v.SPACE}]+", " ")),
+            _WORDS: single_spaced(F.col(_RAW)),
             _LEN: F.length(_RAW),
         }
     )

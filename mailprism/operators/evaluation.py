@@ -52,7 +52,8 @@ def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
     marks = [i / ROC_BUCKETS for i in range(1, ROC_BUCKETS)]
     bounds = steps.agg(F.percentile_approx("score", marks, 10000).alias("b")).scalar()
     steps = steps.withColumn("__bounds", bounds).withColumn(
-        "bucket", F.size(F.filter("__bounds", lambda b: b < F.col("score")))
+        # never null, or a null test of it would run on every row below the aggregate
+        "bucket", F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("score"))), F.lit(0))
     ).drop("__bounds")
     higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(
         Window.unboundedPreceding, -1

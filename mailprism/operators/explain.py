@@ -31,6 +31,7 @@ _EXPLANATION = T.ArrayType(
 
 
 DRAW_BITS = 30
+_INPUTS = ("__vocab", "__mask", "__p")
 
 
 def _draw(*parts: Column) -> Column:
@@ -88,7 +89,7 @@ def _fit_all(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             matrix = np.asarray(mask, dtype=bool).reshape(len(scores), -1)
             found = word_weights(matrix, np.asarray(scores, dtype=float), k)
             out.append([{"token": vocab[i], "weight": w} for i, w in found])
-        kept = batch.select([0, 1, 2])
+        kept = batch.select([n for n in batch.schema.names if n not in _INPUTS])
         tops = pa.array(out, pa.list_(pa.struct([("token", pa.string()), ("weight", pa.float64())])))
         yield pa.RecordBatch.from_arrays(
             [*kept.columns, tops], names=[*kept.schema.names, "top_features"]
@@ -98,12 +99,13 @@ def _fit_all(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 def explain(
     df: DataFrame, score_tokens: Callable[[DataFrame], DataFrame], text_col: str = "text",
     id_col: str = "msg_id", num_features: int = 10, num_samples: int = 500,
-    token_limit: int = 256, seed: int = SEED,
+    token_limit: int = 256, keep=(), seed: int = SEED,
 ) -> DataFrame:
-    """``id, p0, p1, top_features`` per mail.
+    """``id, *keep, p0, p1, top_features`` per mail.
 
     ``score_tokens`` appends ``p0, p1`` to a table with ``tokens`` (any model that reads words).
-    The only shuffle carries one row per mail and task: its sample scores and its vocabulary.
+    The only shuffle carries one row per mail and task: its sample scores, its vocabulary and the
+    columns to keep.
     """
     key, sample = F.col("__key"), F.col("__sample")
     base = df.select(
@@ -113,6 +115,7 @@ def explain(
             words(F.coalesce(F.col(text_col), F.lit(""))),
             lambda w: F.struct(w.alias("w"), F.lower(w).alias("low"), F.xxhash64(w).alias("h")),
         ).alias("__words"),
+        *keep,
     )
     # words are cut and hashed once per mail, before the copies are made
     samples = (
@@ -124,16 +127,19 @@ def explain(
     copies = samples.select(
         "__id", "__key", "__sample",
         F.slice(left["low"], 1, token_limit).alias("tokens"),
-        # the vocabulary travels once per mail
-        F.when(sample == 0, F.array_distinct(F.col("__words")["w"])).alias("__vocab"),
+        # what is known per mail travels once, with its sample 0
+        F.when(
+            sample == 0,
+            F.struct(F.array_distinct(F.col("__words")["w"]).alias("__vocab"), *keep),
+        ).alias("__mail"),
     )
     scored = score_tokens(copies)
     per_mail = scored.groupBy("__id", "__key").agg(
         F.array_sort(F.collect_list(F.struct("__sample", "p1"))).alias("__scores"),
         F.max(F.when(sample == 0, F.col("p0"))).alias("p0"),
         F.max(F.when(sample == 0, F.col("p1"))).alias("p1"),
-        F.first("__vocab", ignorenulls=True).alias("__vocab"),
-    )
+        F.first("__mail", ignorenulls=True).alias("__mail"),
+    ).select("*", "__mail.*")
 
     def row(s: Column) -> Column:
         return F.struct(
@@ -150,10 +156,10 @@ def explain(
     fitted = per_mail.withColumn(
         "__hashes", F.transform("__vocab", lambda w: F.xxhash64(w))
     ).select(
-        F.col("__id").alias(id_col), "p0", "p1",
+        F.col("__id").alias(id_col), *keep, "p0", "p1",
         F.col("__vocab"), mask.alias("__mask"), F.col("__scores")["p1"].alias("__p"),
     )
-    schema = T.StructType(fitted.schema.fields[:3]).add("top_features", _EXPLANATION)
+    schema = T.StructType(fitted.schema.fields[:-3]).add("top_features", _EXPLANATION)
     return fitted.mapInArrow(lambda batches: _fit_all(batches, num_features), schema)
 
 

@@ -80,19 +80,21 @@ def fuse(scores: dict[str, DataFrame], weights: dict[str, float] | None = None)
 
 
 def batch_input(messages: DataFrame) -> DataFrame:
-    """``file, subject, text`` of parsed messages, as the batch table scores them."""
+    """``BATCH_COLUMNS`` and text of parsed messages, as the batch table scores them."""
     subject = header(F.col("headers"), "subject")
     body = batch_body(F.col("parts"), F.col("is_multipart"))
-    ids = [c for c in ("msg_id", "label") if c in messages.columns]
+    text = F.when(F.col("headers").isNotNull(), batch_text(subject, body))
     return messages.select(
-        *ids,
+        "msg_id",
         F.element_at(F.split("source_path", "/"), -1).alias("file"),
-        subject.alias("subject"),
-        F.when(F.col("headers").isNotNull(), batch_text(subject, body)).alias("text"),
+        subject.alias("subject"), text.alias("text"), F.length(text).alias("n_chars"),
         "parse_error",
     )
 
 
+BATCH_COLUMNS = ("file", "subject", "n_chars", "parse_error")
+
+
 def _tokens(features: Column, positive: bool) -> Column:
     side = F.filter(features, lambda f: f["weight"] > 0 if positive else f["weight"] < 0)
     return F.coalesce(
@@ -103,11 +105,11 @@ def _tokens(features: Column, positive: bool) -> Column:
 def batch_results(scored: DataFrame) -> DataFrame:
     """The eight-column result table; all columns are text.
 
-    ``scored``: ``file, subject, text, parse_error, p0, p1, top_features``. Mail that could not be
-    parsed or has fewer than five characters becomes an ``ERROR`` row.
+    ``scored``: ``BATCH_COLUMNS, p0, p1, top_features``. Mail that could not be parsed (no
+    ``n_chars``) or has fewer than five characters becomes an ``ERROR`` row.
     """
-    broken = F.col("text").isNull()
-    empty = ~broken & (F.length("text") < 5)
+    broken = F.col("n_chars").isNull()
+    empty = ~broken & (F.col("n_chars") < 5)
     failed = broken | empty
     cut = F.substring("subject", 1, 80)
     kind = F.substring_index(F.coalesce(F.col("parse_error"), F.lit("Error")), ":", 1)

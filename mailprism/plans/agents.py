@@ -177,10 +177,10 @@ def explain_mail(
         "msg_id", F.element_at(F.split("source_path", "/"), -1).alias("file"),
         subject.alias("subject"), explained_text(subject, body).alias("text"),
     ).filter(not_blank(F.col("text")))
-    found = explain(
-        texts, agent.score_tokens, "text", "msg_id", num_features, num_samples, agent.limit
+    result = explain(
+        texts, agent.score_tokens, "text", "msg_id", num_features, num_samples, agent.limit,
+        ("file", "subject"),
     )
-    result = texts.select("msg_id", "file", "subject").join(found, "msg_id")
     if out:
         sinks.write_explanations(result, out)
     return result
@@ -193,9 +193,10 @@ def classify_batch(
     """Result table and verdict summary of raw mail (``msg_id, raw_bytes, source_path``)."""
     mail = scoring.batch_input(parse_messages(mails, as_text=True))
     found = explain(
-        mail, agent.score_tokens, "text", "msg_id", num_features, num_samples, v.DEMO_TOKENS
+        mail, agent.score_tokens, "text", "msg_id", num_features, num_samples, v.DEMO_TOKENS,
+        scoring.BATCH_COLUMNS,
     )
-    results = scoring.batch_results(mail.join(found, "msg_id", "left"))
+    results = scoring.batch_results(found)
     if csv:
         sinks.write_batch_csv(results, csv)
     return results, scoring.batch_summary(results)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mailprism.functions import fixed_values as v
-from mailprism.functions.strings import DIGIT_CLASS
+from mailprism.functions.strings import ODD_DIGITS
 from mailprism.plans.derived_mail import MAIL_ORACLE, RAW_ORACLE, SCORE_ORACLE
 
 ORACLES: dict[str, str] = {}
@@ -70,7 +70,7 @@ def text_exprs(t: str, low: str) -> dict[str, str]:
         "avg_word_length": share(letters, n_words),
         "sentence_count": n_matches(drop(t, v.PLAIN_URL), v.SENTENCE_END),
         "uppercase_ratio": share(f"length({drop(t, '[^' + chr(92) + 'p{Lu}]')})", size),
-        "digit_ratio": share(f"length({drop(t, f'[^{DIGIT_CLASS}]')})", size),
+        "digit_ratio": share(f"length({drop(t, f'[^{chr(92)}p{{Nd}}{ODD_DIGITS}]')})", size),
         "special_char_ratio": share(f"length({drop(t, '[^[:punct:]]')})", size),
         "exclamation_count": n_times(t, ["!"]),
         "question_count": n_times(t, ["?"]),
