@@ -15,20 +15,25 @@ READ_HEADERS = (
 )
 
 
+def header_names(headers: Column) -> Column:
+    return F.transform(headers, lambda h: F.lower(h["name"]))
+
+
+def _value(names: Column, values: Column, name: str) -> Column:
+    found = F.get(values, (F.array_position(names, F.lit(name)) - 1).cast("int"))
+    return F.coalesce(found, F.lit(""))
+
+
 def header(headers: Column, name: str) -> Column:
     """First value of a header, '' if absent; names compare case-insensitively."""
-    hits = F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())
-    return F.coalesce(F.try_element_at(hits, F.lit(1))["value"], F.lit(""))
+    return _value(header_names(headers), headers["value"], name.lower())
 
 
 def header_values(headers: Column, name: str) -> Column:
+    """All values of a header, in order."""
     return F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())["value"]
 
 
-def has_header(headers: Column, name: str) -> Column:
-    return F.exists(headers, lambda h: F.lower(h["name"]) == name.lower())
-
-
 def mail_domain(value: Column) -> Column:
     """Domain of the first address in a header value, '' if there is none; case is kept."""
     return F.regexp_extract(value, r"(?U)[\w.\-]+@([\w.\-]+\.\w+)", 1)
@@ -40,7 +45,7 @@ def _header_columns(headers: Column) -> dict[str, Column]:
     sender = c("__sender")
     soft = spf.contains("softfail")
     hard = spf.contains("fail") & ~soft
-    received = header_values(headers, "received")
+    names, received = c("__names"), c("__received")
     low_subject = F.lower(subject)
 
     def mismatch(name: str) -> Column:
@@ -76,8 +81,8 @@ def _header_columns(headers: Column) -> dict[str, Column]:
         "message_id_domain_mismatch": mismatch("__message_id"),
         "has_message_id": flag(c("__message_id") != ""),
         "num_x_headers": F.size(F.filter(headers, lambda h: h["name"].startswith("X-"))),
-        "has_x_mailer": flag(has_header(headers, "x-mailer")),
-        "has_x_originating_ip": flag(has_header(headers, "x-originating-ip")),
+        "has_x_mailer": flag(F.array_contains(names, "x-mailer")),
+        "has_x_originating_ip": flag(F.array_contains(names, "x-originating-ip")),
         "has_date": flag(c("__date") != ""),
         "has_mime_version": flag(c("__mime") != ""),
         "mime_version_1_0": flag(c("__mime") == "1.0"),
@@ -102,20 +107,24 @@ def with_header_features(df: DataFrame, headers_col: str = "headers") -> DataFra
     """
     keep = df.columns
     headers = F.col(headers_col)
-    staged = df.withColumns(
+    names, values = F.col("__names"), F.col("__values")
+    # names are lower-cased once; each lookup is then a plain search in an array
+    staged = df.withColumns({"__names": header_names(headers), "__values": headers["value"]})
+    staged = staged.withColumns(
         {
-            "__from": header(headers, "from"),
-            "__reply_to": header(headers, "reply-to"),
-            "__return_path": header(headers, "return-path"),
-            "__spf": F.lower(header(headers, "received-spf")),
-            "__auth": F.lower(header(headers, "authentication-results")),
-            "__subject": header(headers, "subject"),
-            "__message_id": header(headers, "message-id"),
-            "__date": header(headers, "date"),
-            "__mime": header(headers, "mime-version"),
-            "__ctype": F.lower(header(headers, "content-type")),
-            "__priority": F.lower(header(headers, "x-priority")),
-            "__importance": F.lower(header(headers, "importance")),
+            "__from": _value(names, values, "from"),
+            "__reply_to": _value(names, values, "reply-to"),
+            "__return_path": _value(names, values, "return-path"),
+            "__spf": F.lower(_value(names, values, "received-spf")),
+            "__auth": F.lower(_value(names, values, "authentication-results")),
+            "__subject": _value(names, values, "subject"),
+            "__message_id": _value(names, values, "message-id"),
+            "__date": _value(names, values, "date"),
+            "__mime": _value(names, values, "mime-version"),
+            "__ctype": F.lower(_value(names, values, "content-type")),
+            "__priority": F.lower(_value(names, values, "x-priority")),
+            "__importance": F.lower(_value(names, values, "importance")),
+            "__received": header_values(headers, "received"),
             "__readable": headers.isNotNull()
             & ~F.exists(
                 headers,

@@ -64,18 +64,14 @@ def hash_cuts(
     # only rows of the few prefixes that hold a wanted rank are shuffled and sorted
     numbered = hashed.filter(near).withColumn("rn", F.row_number().over(inside))
     hit = F.col("rn").isin(*{x[2] for x in places})
-    found = {(r["label"], r["prefix"], r["rn"]): r["h"] for r in _bounded(numbered.filter(hit), places)}
+    rows = numbered.filter(hit).collect()  # at most one per place and prefix
+    found = {(r["label"], r["prefix"], r["rn"]): r["h"] for r in rows}
     out: dict = {}
     for place, positions in places.items():
         out.setdefault(place[0], []).extend([found[place]] * len(positions))
     return {c: sorted(hashes) for c, hashes in out.items()}
 
 
-def _bounded(df: DataFrame, places: dict) -> list:
-    """Rows at the wanted places: at most one per place and prefix."""
-    return df.select("label", "prefix", "rn", "h").limit(len(places) ** 2).collect()
-
-
 def _passed(cuts: dict, label: str, key: str, seed: int) -> Column:
     """How many of its class's cuts a row's hash lies beyond."""
     own = order_hash(key, seed)

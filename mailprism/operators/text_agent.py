@@ -24,8 +24,12 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column, limit: int | None = TRAIN_TOKENS) -> Column:
     """Lower-case words; the model reads the first ``limit`` of them."""
-    found = words(F.lower(F.coalesce(text, F.lit(""))))
-    return F.slice(found, 1, limit) if limit else found
+    text = F.coalesce(text, F.lit(""))
+    if not limit:
+        return F.transform(words(text), F.lower)
+    # one piece may be empty and the last one holds the rest, so two more than needed are cut
+    first = F.filter(F.split(text, WORD_BREAK, limit + 2), lambda w: w != "")
+    return F.transform(F.slice(first, 1, limit), F.lower)
 
 
 class TextAgent:

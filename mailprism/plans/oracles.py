@@ -372,6 +372,13 @@ ORACLES["year_filter"] = """
 SELECT doc_id AS msg_id, CAST(CASE doc_id % 4 WHEN 1 THEN 2022 WHEN 3 THEN 2023 END AS INTEGER)
   AS date_year
 FROM documents WHERE doc_id % 4 <> 0"""
+# A text or HTML body written to an mbox ends with the line end that separates the messages.
+ORACLES["mbox_messages"] = f"""
+SELECT doc_id, 1 AS label,
+  CAST(CASE doc_id % 4 WHEN 1 THEN 2022 WHEN 3 THEN 2023 END AS INTEGER) AS date_year, subject,
+  CASE doc_id % 9 WHEN 7 THEN body ELSE concat({STRICT_BODY}, chr(10)) END AS body
+FROM (SELECT * REPLACE (regexp_replace(body, '(^|\n)From ', '\\1>From ', 'g') AS body)
+      FROM ({HEADERS})) WHERE doc_id % 4 <> 0"""
 ORACLES["year_of_date_header"] = """
 SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 2001 WHEN 1 THEN 2022 WHEN 3 THEN 2023 END
   AS INTEGER) AS year

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,8 @@ from mailprism.plans.derived_mail import (
 from mailprism.sources.corpora import (
     body_urls, build_url_corpus, mail_bodies, preprocess_mail,
 )
-from mailprism.session import spread
+from mailprism.session import checkpoint_dir, spread
+from mailprism.sources.mail_files import read_mbox
 from mailprism.sources.tables import domains_to_urls, first_rows, rebuild_ham
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +232,28 @@ def parsed_url_corpus(spark, sf_dir):
     ).agg(F.count("*").alias("n"))
 
 
+@query
+def mbox_messages(spark, sf_dir):
+    """The derived mail written as mbox files to the shared folder and read back from 2022 on."""
+    box = f"{checkpoint_dir(spark)}/mbox-{uuid.uuid4().hex}"
+    derived_raw_mail(spark, sf_dir).select(
+        F.concat(
+            F.lit("From sender@example.com Mon Jan  1 00:00:00 2024\n"),
+            # as mbox writers do, lest a body line be taken for a separator
+            F.regexp_replace(F.decode("raw_bytes", "UTF-8"), "\nFrom ", "\n>From "),
+        )
+    ).write.text(box)
+    messages = parse_messages(read_mbox(spark, box, 1, after_year=2022))
+    headers = F.col("headers")
+    return messages.select(
+        F.regexp_extract(header(headers, "message-id"), "<([0-9]+)@", 1).cast("long").alias(
+            "doc_id"
+        ),
+        "label", "date_year", header(headers, "subject").alias("subject"),
+        B.corpus_body(F.col("parts"), F.col("raw_text")).alias("body"),
+    )
+
+
 @query
 def mail_body_corpus(spark, sf_dir):
     return mail_bodies(_messages(spark, sf_dir))

@@ -15,6 +15,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     names = sys.argv[2:] or [n for n in QUERIES if n in ORACLES]
     spark = local_session("8")
+    spark.sparkContext.setLogLevel("OFF")
     for name in names:
         start = time.time()
         try:

@@ -1,6 +1,7 @@
 """Mail parsing, body choice, readers and the stream."""
 
 import mailbox
+import random
 import re
 from email import policy
 from email.message import EmailMessage
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailprism.functions import bodies as B
 from mailprism.functions import fixed_values as v
-from mailprism.functions.headers import header
+from mailprism.functions.headers import READ_HEADERS, header
 from mailprism.operators.features import flat_features, header_features, nested_features
 from mailprism.operators.mime import parse_messages
 from mailprism.sources import corpora
@@ -223,3 +224,41 @@ def test_stream_equals_batch(spark, eml_tree, tmp_path):
         parse_messages(read_eml_tree(spark, eml_tree, 1)), ("msg_id", "label")
     ).orderBy("msg_id").collect()
     assert [r.asDict() for r in streamed] == [r.asDict() for r in batch]
+
+
+def random_mail(rng):
+    names = [n.title() for n in READ_HEADERS] + ["X-Mailer", "x-spam", "To", "SUBJECT", "received"]
+    pieces = ["a@b.example", "<c@d-1.org>", '"Q, x" <e@f.gh>', "=?utf-8?b?w7w=?=", "=?bad", "plain text",
+              "pass", "SOFTFAIL", "\r\n ", "\r\n\t", "  ", "\x0b", "\x0c", "\x1c", "ü", "\x85", "10.0.0.1",
+              "text/html", "multipart/mixed; boundary=b", "1.0", "Tue, 5 Apr 2022 10:11:12 -0700", ";", ",", ":"]
+    lines = []
+    for _ in range(rng.randrange(0, 14)):
+        value = "".join(rng.choices(pieces, k=rng.randrange(0, 5)))
+        lines.append(f"{rng.choice(names)}:{rng.choice(['', ' ', '  '])}{value}")
+    raw = "\r\n".join([*lines, "", "body", ""]).encode()
+    return raw.replace("ü".encode(), b"\xfc") if rng.random() < 0.3 else raw
+
+
+def test_header_values_follow_the_standard_library(spark):
+    rng = random.Random(5)
+    raws = [random_mail(rng) for _ in range(600)]
+    parsed = parse_messages(mail_table(spark, raws))
+    names = [n for n in READ_HEADERS if n != "date"]  # a date keeps its text instead of being rewritten
+    got = parsed.select(
+        "msg_id", F.col("headers.value").alias("all"), F.col("headers.name").alias("names"),
+        *(header(F.col("headers"), n).alias(n) for n in names),
+    ).orderBy("msg_id").collect()
+    compared = 0
+    for row, raw in zip(got, raws):
+        msg = BytesParser(policy=policy.default).parsebytes(raw)
+        assert row["names"] == msg.keys()
+        for name in names:
+            try:
+                value = str(msg.get(name, ""))
+            except Exception:
+                at = [n.lower() for n in msg.keys()].index(name)
+                assert row["all"][at] is None
+                continue
+            assert row[name] == value.encode("utf-8", "replace").decode(), (name, raw)
+            compared += value != ""
+    assert compared > 1000
