@@ -39,19 +39,24 @@ def _rates() -> dict[str, Column]:
     }
 
 
-def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Distinct scores with their positives and negatives and those of all higher scores.
+def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score."""
+    return df.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    ).filter(F.col("pos") + F.col("neg") > 0)
+
+
+def _score_steps(counts: DataFrame) -> DataFrame:
+    """Distinct scores with their positives and negatives and those of all scores at or above.
 
     Equal scores are counted first, so a score shared by a third of the rows is one row. The
     running sums are taken inside ``ROC_BUCKETS`` ranges cut at quantiles of the distinct scores;
-    only the range totals are summed over the whole table.
+    only the range totals are summed over the whole table. The counts are used three times in the
+    same form, so their shuffle is done once and reused.
     """
-    steps = df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
     marks = [i / ROC_BUCKETS for i in range(1, ROC_BUCKETS)]
-    bounds = steps.agg(F.percentile_approx("score", marks, 10000).alias("b")).scalar()
-    steps = steps.withColumn("__bounds", bounds).withColumn(
+    bounds = counts.agg(F.percentile_approx("score", marks, 10000).alias("b")).scalar()
+    steps = counts.withColumn("__bounds", bounds).withColumn(
         # never null, or a null test of it would run on every row below the aggregate
         "bucket", F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("score"))), F.lit(0))
     ).drop("__bounds")
@@ -77,13 +82,11 @@ def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``threshold, fpr, tpr`` per distinct score, counting scores at or above the threshold."""
-    steps = _score_steps(df, label, score)
-    totals = df.agg(
-        F.struct(
-            F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")
-        ).alias("t")
+    counts = _score_counts(df, label, score)
+    totals = counts.agg(
+        F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")
     ).scalar()
-    return steps.select(
+    return _score_steps(counts).select(
         F.col("score").alias("threshold"),
         safe_ratio(F.col("fp"), totals["n"]).alias("fpr"),
         safe_ratio(F.col("tp"), totals["p"]).alias("tpr"),
@@ -92,7 +95,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Rank statistic, ties counting half; null when a class is missing."""
-    steps = _score_steps(df, label, score)
+    steps = _score_steps(_score_counts(df, label, score))
     # pairs won: positives times the negatives strictly below, i.e. all minus those at or above
     pos, neg = F.sum("pos"), F.sum("neg")
     at_or_above = F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / F.lit(2.0)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.operators.mime import date_year
+from mailprism.session import packed
 
 log = logging.getLogger(__name__)
 
@@ -39,7 +40,7 @@ def read_eml_tree(
         .option("ignoreCorruptFiles", "true")
         .load(directory)
     )
-    return files.select(
+    return packed(files).select(
         F.sha2("path", 256).alias("msg_id"),
         F.col("content").alias("raw_bytes"),
         F.lit(label).cast("int").alias("label"),

@@ -140,6 +140,14 @@ def test_eml_tree(spark, eml_tree):
     assert read_eml_tree(spark, eml_tree + "/missing", 1).count() == 0
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.eml").write_bytes(b"Subject: %d\r\n\r\nx" % i)
+    mails = read_eml_tree(spark, str(tmp_path), 0)
+    assert mails.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert mails.count() == 600
+
+
 def test_preprocess_tree(spark, eml_tree):
     rows = corpora.preprocess_eml_tree(spark, eml_tree, 1).orderBy("source_path").collect()
     first = rows[0]
