@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,10 +73,11 @@ def low_cardinality_profile(df: DataFrame, fewer_than: int = 5) -> DataFrame:
     counts = pairs.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count("*").alias("n")
     )
-    few = counts.groupBy("column").agg(F.count("*").alias("distinct")).filter(
-        F.col("distinct") < fewer_than
-    )
-    return counts.join(few.select("column"), "column", "left_semi")
+    # a few dozen values per column at most, so the window holds next to nothing
+    distinct = F.count("*").over(Window.partitionBy("column"))
+    return counts.withColumn("__distinct", distinct).filter(
+        F.col("__distinct") < fewer_than
+    ).drop("__distinct")
 
 
 def balance_ratio(df: DataFrame, label: str = "label") -> DataFrame:
