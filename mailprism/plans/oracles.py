@@ -114,6 +114,8 @@ ORACLES["text_features"] = (
     f"SELECT doc_id, {listed(TEXT_EXPRS)} FROM ({with_lower(MAIL_ORACLE, 'body')})"
 )
 DOC_TEXT = text_exprs("text", "low")
+ORACLES["streamed_text_features"] = (
+    f"SELECT doc_id, {listed(DOC_TEXT)} FROM ({with_lower('SELECT * FROM documents', 'text')})")
 _profile = {n: DOC_TEXT[n] for n in (
     "word_count", "uppercase_ratio", "contains_currency", "urgency_word_count")}
 ORACLES["text_profile"] = f"""

@@ -31,6 +31,7 @@ from mailprism.sources.corpora import (
 )
 from mailprism.session import checkpoint_dir, spread
 from mailprism.sources.mail_files import read_mbox
+from mailprism.streaming.mail_stream import write_features
 from mailprism.sources.tables import domains_to_urls, first_rows, rebuild_ham
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,20 @@ def text_features(spark, sf_dir):
     )
 
 
+@query
+def streamed_text_features(spark, sf_dir):
+    """The text features on a stream of document files, through a parquet sink."""
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = (
+        spark.readStream.schema("doc_id bigint, text string")
+        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    )
+    write_features(
+        with_text_features(stream).drop("text"), f"{out}/rows", f"{out}/log"
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query
 def preprocess(spark, sf_dir):
     mail = derived_mail(spark, sf_dir).select(

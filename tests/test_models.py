@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mailprism import sinks
 from mailprism.functions import fixed_values as v
 from mailprism.operators.explain import explain, top_tokens, word_weights
+from mailprism.operators.external_model import external_scorer
 from mailprism.operators.features import header_features
 from mailprism.operators.forest import ForestAgent, header_agent
 from mailprism.operators.mime import parse_messages
@@ -191,3 +192,24 @@ def test_fused_agents(spark, messages, text_agent):
 def test_message_table_keeps_all_rows(spark, messages, tmp_path):
     sinks.write_messages(messages, str(tmp_path / "m"), rows_per_file=50)
     assert spark.read.parquet(str(tmp_path / "m")).count() == 150
+
+
+def load_word_model():
+    def score(texts):
+        p1 = np.array([0.9 if "urgent" in t.split() else 0.2 for t in texts])
+        return np.stack([1 - p1, p1], axis=1)
+
+    return score
+
+
+def test_external_model_can_be_explained(spark):
+    score = external_scorer(load_word_model, batch_size=7)
+    mails = spark.createDataFrame(
+        [("a", "an urgent word here"), ("b", "nothing of the kind")], "msg_id string, text string"
+    )
+    tokens = mails.select("msg_id", F.split("text", " ").alias("tokens"))
+    assert {r["msg_id"]: r["p1"] for r in score(tokens).collect()} == {"a": 0.9, "b": 0.2}
+    found = {r["msg_id"]: r for r in explain(mails, score, num_features=2, num_samples=80).collect()}
+    top = found["a"]["top_features"][0]
+    assert top["token"] == "urgent" and top["weight"] > 0.3
+    assert all(abs(f["weight"]) < 1e-9 for f in found["b"]["top_features"])
