@@ -610,7 +610,8 @@ def _model_mail(spark, sf_dir) -> DataFrame:
 
 
 def _split_scores(agent, feats: DataFrame, key: str) -> tuple:
-    parts = sampling.stratified_split(feats, 0.3, "label", key).persist()
+    feats = feats.persist()  # read by the split, the training and the evaluation
+    parts = sampling.stratified_split(feats, 0.3, "label", key)
     train, test = parts.filter("is_test = 0"), parts.filter("is_test = 1")
     return agent.train(train, "label", key, validate=False), test
 
@@ -647,7 +648,7 @@ def forest_importances(spark, sf_dir):
 
 
 def _text_agent(spark, sf_dir) -> tuple[TextAgent, DataFrame]:
-    parts = sampling.stratified_split(_model_mail(spark, sf_dir), 0.2, "label", "row_id")
+    parts = sampling.stratified_split(_model_mail(spark, sf_dir).persist(), 0.2)
     return TextAgent().train(parts.filter("is_test = 0")), parts.filter("is_test = 1")
 
 

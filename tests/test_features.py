@@ -12,6 +12,8 @@ from mailprism.functions import fixed_values as v
 from mailprism.functions.similarity import candidate
 from mailprism.functions.text import with_preprocessed, with_text_features
 from mailprism.functions.urls import with_url_features
+from mailprism.plans.derived_mail import derived_mail, table
+from mailprism.plans.queries import QUERIES
 
 SPACES = "\t\n\x0b\f\r\x1c\x1f \x85\xa0 　"
 
@@ -156,3 +158,19 @@ def test_preprocess_examples(spark):
     for r, b in zip(got, bodies):
         found = (r["text_length"], r["url_count"], r["urgency_score"], r["has_ip_url"])
         assert found == b[1:]
+
+
+def test_typosquatting_query_against_brute_force(spark, sf_dir):
+    mail = {r["doc_id"]: r["body"] for r in derived_mail(spark, sf_dir).collect()}
+    pages = {-r["page_id"] - 1: r["url"] for r in table(spark, sf_dir, "pages").collect()}
+    got = {r["id"]: r for r in QUERIES["typosquatting"](spark, sf_dir).collect()}
+    assert set(got) == set(mail) | set(pages)
+    for i, text in {**mail, **pages}.items():
+        urls = re.findall(r'https?://[^\s<>"{}|\\^`\[\]]+', text)
+        hosts = {urlparse(u).netloc.lower() for u in urls}
+        alike = any(
+            h and h != g and SequenceMatcher(None, h, g).ratio() > 0.8
+            for h in hosts for g in v.GOOD_DOMAINS
+        )
+        assert got[i]["url_count"] == len(urls)
+        assert got[i]["potential_typosquatting"] == alike
