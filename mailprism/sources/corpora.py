@@ -11,11 +11,10 @@ from mailprism.functions.headers import header
 from mailprism.functions.strings import not_blank
 from mailprism.functions.text import with_preprocessed
 from mailprism.functions.urls import extract_urls
+from mailprism.operators.harmonise import union_corpora
 from mailprism.operators.mime import parse_messages
 from mailprism.sources.mail_files import read_eml_tree, read_mbox
-from mailprism.sources.tables import (
-    read_phishing_urls, read_ranked_domains, rebuild_ham, union_all,
-)
+from mailprism.sources.tables import read_phishing_urls, read_ranked_domains, rebuild_ham
 
 MAIL_COLUMNS = "msg_id string, raw_bytes binary, label int, source string"
 URL_COLUMNS = "url_text string, label int, source string"
@@ -52,7 +51,7 @@ def build_mail_corpus(
     if not frames:
         return spark.createDataFrame([], MAIL_COLUMNS)
     columns = ["msg_id", "raw_bytes", "label", "source"]
-    return union_all(f.select(*columns) for f in frames)
+    return union_corpora(*(f.select(*columns) for f in frames))
 
 
 def mail_bodies(messages: DataFrame) -> DataFrame:
@@ -102,7 +101,7 @@ def build_url_corpus(
                 "source", F.lit(v.SOURCE_RANKED_DOMAINS)
             )
         )
-    return union_all(frames) if frames else spark.createDataFrame([], URL_COLUMNS)
+    return union_corpora(*frames) if frames else spark.createDataFrame([], URL_COLUMNS)
 
 
 def preprocess_mail(mails: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import logging
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.functions import fixed_values as v
+from mailprism.operators.harmonise import union_corpora
 from mailprism.sources.mail_files import path_exists
 
 log = logging.getLogger(__name__)
@@ -28,13 +28,8 @@ def read_split(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
     return read_any(spark, splits.get("train") or next(iter(splits.values())))
 
 
-def union_all(frames) -> DataFrame:
-    """Union by name; columns a frame lacks become null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def read_all_splits(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
-    return union_all(read_any(spark, path) for path in splits.values())
+    return union_corpora(*(read_any(spark, path) for path in splits.values()))
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,6 @@ from mailprism.operators.explain import explain, top_tokens, word_weights
 from mailprism.operators.external_model import external_scorer
 from mailprism.operators.features import header_features
 from mailprism.operators.forest import ForestAgent, header_agent
-from mailprism.operators.mime import parse_messages
 from mailprism.operators.text_agent import TextAgent
 from mailprism.plans import agents
 
