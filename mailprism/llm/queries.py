@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailprism.llm.common import documents
 from mailprism.llm.exact_dedup import exact_dedup
+from mailprism.llm.html_extract import extract
 from mailprism.llm.line_dedup import line_dedup_report
 from mailprism.llm.mixing import mix
 from mailprism.llm.quality import quality_rules
 from mailprism.llm.secret_scan import scan
 from mailprism.llm.simhash import near_duplicates
+from mailprism.llm.substring_dedup import remove_repeats
+from mailprism.llm.token_files import token_report
+from mailprism.llm.viterbi_pieces import encoded_and_decoded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +27,11 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op2_simhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
@@ -33,6 +42,11 @@ def op3_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+@query
+def op4_sentencepiece(spark, sf_dir):
+    return encoded_and_decoded(documents(spark, sf_dir))
+
+
 @query
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
@@ -43,6 +57,11 @@ def op6_quality(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
+@query
+def op7_token_files(spark, sf_dir):
+    return token_report(documents(spark, sf_dir))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup_report(documents(spark, sf_dir))
@@ -51,3 +70,8 @@ def op8_line_dedup(spark, sf_dir):
 @query
 def op9_secrets(spark, sf_dir):
     return scan(documents(spark, sf_dir))
+
+
+@query
+def op10_main_text(spark, sf_dir):
+    return extract(documents(spark, sf_dir, "pages"))
