@@ -126,3 +126,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
         "doc_id", "size", "source_size", "target",
         (F.col("size") * sum(times[1:], times[0])).cast("long").alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
+    """The rows of the mix: those of ``docs`` as often as they are taken; all columns stay."""
+    plan = mix(docs.select("doc_id", "source", "text"), weights, repeats).where("taken > 0")
+    plan = plan.groupBy("doc_id", "size").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    plan = plan.select(F.struct("doc_id", "size", "times").alias("plan"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), word_count().alias("own"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("plan.doc_id")) & (F.col("own") == F.col("plan.size"))
+    return own.join(plan, same).select("d", F.explode(F.sequence(F.lit(1), F.col("plan.times")))).select("d.*")

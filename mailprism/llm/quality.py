@@ -3,7 +3,7 @@
 Each document gives counts, and of these a vector of transformed statistics. For each language and source
 a minimum covariance determinant estimate is found: from the medians and scaled absolute deviations on,
 concentration steps keep the half of the group's rows that lies nearest and take mean and covariance of
-these, until the determinant falls no more. A document whose squared Mahalanobis distance passes the
+these. No step can raise the determinant; ``STEPS`` of them bring it down to where it stays. A document whose squared Mahalanobis distance passes the
 cut-off is rejected, besides those that fail the base rules.
 
 All rows of all groups take part in each step; nothing is sampled. The vectors are whole numbers (1/256
@@ -37,7 +37,7 @@ FLOORS = {"length": 1.0, "word_length": 0.35, "symbols": 0.1, "dup_lines": 0.12,
 #: A squared distance that a normal vector of six statistics passes once in ten million cases.
 PASSED_ONCE_IN = 1e7
 HALF = 0.5
-STEPS = 6
+STEPS = 5
 BINS_PER_DOUBLING = 64
 BROADCAST_GROUPS = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
@@ -87,20 +87,16 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the ``COUNTS`` of each document."""
+@F.arrow_udf("struct<" + ", ".join(f"{c}: long" for c in COUNTS) + ">")
+def counts(texts: pa.Array) -> pa.Array:
+    """The ``COUNTS`` of each UTF-8 text."""
+    found = np.array([text_counts(x) for x in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+    return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], COUNTS)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([text_counts(x) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], *[pa.array(found[:, i]) for i in range(len(COUNTS))]],
-            ["doc_id", "lang", "source", *COUNTS],
-        )
 
-    counted = ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), utf8("text")).mapInArrow(
-        batches(work), f"doc_id long, lang string, source string, {counted}"
-    )
+def group_of(lang: str = "lang", source: str = "source") -> Column:
+    """One name for a language and source; null is a value of its own."""
+    return F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")), {"ignoreNullFields": "false"})
 
 
 def vector() -> list[Column]:
@@ -138,9 +134,11 @@ def _shapes(moments: DataFrame, factor: float) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         means, inverses, dets = [], [], []
         for n, sums, products in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            mean = np.array([float(x) for x in sums]) / n
-            cov = np.array([float(x) for x in products]).reshape(p, p) / n - np.outer(mean, mean)
-            cov = cov * factor + floor
+            mean = np.array(sums, np.float64) / n
+            square = np.zeros((p, p))
+            square[np.triu_indices(p)] = products
+            square += np.triu(square, 1).T
+            cov = (square / n - np.outer(mean, mean)) * factor + floor
             means.append(mean.tolist())
             inverses.append(np.linalg.inv(cov).ravel().tolist())
             dets.append(float(np.linalg.slogdet(cov)[1]))
@@ -152,21 +150,24 @@ def _shapes(moments: DataFrame, factor: float) -> DataFrame:
     return moments.mapInArrow(batches(work), "g string, mean array<double>, inverse array<double>, log_det double")
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of the row's vector ``x`` from its group's ``mean``."""
+@F.arrow_udf("double")
+def distance(x: pa.Array, mean: pa.Array, inverse: pa.Array) -> pa.Array:
+    """Squared Mahalanobis distance of each vector from its group's mean; null for a null vector."""
     p = len(FLOORS)
-    off = [F.col("x")[i].cast("double") - F.col("mean")[i] for i in range(p)]
-    terms = [
-        off[i] * off[j] * F.col("inverse")[i * p + j] * (1.0 if i == j else 2.0) for i in range(p) for j in range(i, p)
-    ]
-    return sum(terms[1:], terms[0])
+    has = x.is_valid().to_numpy(zero_copy_only=False) & mean.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(has)
+    out = np.zeros(len(has))
+    if len(rows):
+        flat = lambda a, size: a.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        off = flat(x, p) - flat(mean, p)
+        out[rows] = np.einsum("ni,nij,nj->n", off, flat(inverse, p * p).reshape(-1, p, p), off)
+    return pa.array(out, mask=~has)
 
 
 def outlier_model(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """``g, mean, inverse`` per group, from ``rows(g, x)``; the covariance is made consistent for normal data."""
     p = len(FLOORS)
-    pairs = [(i, j) for i in range(p) for j in range(p)]
-    whole = "decimal(38,0)"
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     few = rows.agg(F.approx_count_distinct("g")).first()[0] < BROADCAST_GROUPS // 2
     near = F.broadcast if few else (lambda df: df)
     medians = cut_lineage(rows.groupBy("g").agg(F.array(*[F.percentile(F.col("x")[i], 0.5) for i in range(p)]).alias("mid")))
@@ -182,10 +183,9 @@ def outlier_model(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     # mean and covariance of the nearest half understate the spread of normal data by this factor
     inside = chi2_point(HALF, p)
     factor = HALF / _even_chi2_below(inside, p + 2)
-    best = None
     for _ in range(steps):
-        far = rows.join(near(shape.drop("log_det")), "g").withColumn("d", _distance())
-        far = far.withColumn("bin", F.floor(F.log2(F.col("d") + 2**-20) * BINS_PER_DOUBLING))
+        far = rows.join(near(shape.drop("log_det")), "g").withColumn("d", distance("x", "mean", "inverse"))
+        far = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d"), F.lit(0.0)) + 2**-20) * BINS_PER_DOUBLING))
         bins = far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("g").orderBy("bin")
         halves = (
@@ -196,38 +196,41 @@ def outlier_model(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         moments = (
             far.join(near(halves), "g").where("bin <= edge").groupBy("g").agg(
                 F.count(F.lit(1)).alias("n"),
-                F.array(*[F.sum(F.col("x")[i].cast(whole)) for i in range(p)]).alias("sums"),
-                F.array(*[F.sum((F.col("x")[i] * F.col("x")[j]).cast(whole)) for i, j in pairs]).alias("products"),
+                F.array(*[F.sum(F.col("x")[i]) for i in range(p)]).alias("sums"),
+                F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("products"),
             )
         )
         shape = cut_lineage(_shapes(moments, factor))
-        if best is None:
-            best = shape
-        else:  # per group, the smaller determinant stays
-            b, s = best.alias("b"), shape.alias("s")
-            best = cut_lineage(b.join(near(s), "g").select("g", *[
-                F.when(F.col("s.log_det") < F.col("b.log_det"), F.col(f"s.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
-                for c in ("mean", "inverse", "log_det")
-            ]))
-    return best.select("g", "mean", "inverse")
+    return shape.select("g", "mean", "inverse")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """``doc_id``, counts, ``base_failed``, ``distance`` (null without words) and ``kept`` for each document."""
-    rows = cut_lineage(
-        with_counts(docs).withColumn("g", F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
-        .withColumn("x", F.when(F.col("n_words") > 0, F.array(*vector())))
-    )
-    known = rows.where(F.col("x").isNotNull()).select("g", "x")
-    model = outlier_model(known)
+def with_verdicts(docs: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """``docs`` with a struct column: the counts, ``base_failed``, ``distance`` (null without words) and ``kept``.
+
+    The counts are taken once for the estimates and once for the verdicts, so that texts are never shuffled.
+    """
+    counted = F.struct(group_of().alias("g"), counts(utf8("text")).alias("n"))
+    narrow = docs.select(counted.alias("c")).select("c.g", "c.n.*")
+    rows = cut_lineage(narrow.where("n_words > 0").select("g", F.array(*vector()).alias("x")))
+    model = outlier_model(rows)
+    model = model.select(F.struct("g", "mean", "inverse").alias("m"))
     few = model.count() < BROADCAST_GROUPS
     limit = chi2_point(1 - 1 / PASSED_ONCE_IN, len(FLOORS))
-    judged = rows.join(F.broadcast(model) if few else model, "g", "left").withColumn("distance", _distance())
-    return judged.select(
-        "doc_id", *COUNTS[:5], base_failed().alias("base_failed"),
-        (~base_failed() & F.coalesce(F.col("distance") <= limit, F.lit(False))).alias("kept"), "distance",
-    )
+    # the statistics stand in one struct, so that no name can clash with a column of the documents
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), counted.alias("c"))
+    joined = own.join(F.broadcast(model) if few else model, F.col("c.g") == F.col("m.g"), "left")
+    flat = joined.select("d", "c.n.*", "m.mean", "m.inverse")
+    measured = flat.withColumn("x", F.when(F.col("n_words") > 0, F.array(*vector()))).withColumn("distance", distance("x", "mean", "inverse"))
+    kept = ~base_failed() & F.coalesce(F.col("distance") <= limit, F.lit(False))
+    found = F.struct(*COUNTS, base_failed().alias("base_failed"), "distance", kept.alias("kept"))
+    return measured.select("d", found.alias("v")).select("d.*", F.col("v").alias(verdict))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """``doc_id``, counts, ``base_failed``, ``kept`` and ``distance`` for each document."""
+    judged = with_verdicts(docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text"), "v")
+    return judged.select("doc_id", *[f"v.{c}" for c in COUNTS[:5]], "v.base_failed", "v.kept", "v.distance")

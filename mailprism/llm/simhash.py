@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import batches, cut_lineage, utf8
+from mailprism.llm.common import cut_lineage, utf8
 from mailprism.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -57,14 +57,10 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long)."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), utf8("text")).mapInArrow(batches(work), "doc_id long, fp long")
+@F.arrow_udf("long")
+def fingerprints(texts: pa.Array) -> pa.Array:
+    """The fingerprint of each UTF-8 text (64 bits as a signed number)."""
+    return pa.array(np.array([fingerprint(x) for x in texts.to_pylist()], dtype=np.uint64).view(np.int64))
 
 
 def _key(byte: list, at: tuple[int, ...]):
@@ -178,16 +174,29 @@ def links(values: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     return read.where("a <> b").unionByName(_tallied(fives, None))
 
 
-def near_duplicates(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs(doc_id, text)``."""
-    rows = cut_lineage(fingerprints(docs))
+def classes(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
+    rows = cut_lineage(docs.select(F.col("doc_id").cast("long"), fingerprints(utf8("text")).alias("fp")))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut_lineage(components(links(nodes.select("fp"), list_rows)))
     roots = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return rows.join(roots.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row of ``docs(doc_id, text)``."""
+    return classes(docs, list_rows).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose id names their component; all columns stay."""
+    first = classes(docs.select("doc_id", "text"), list_rows).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.struct("doc_id", "fp").alias("first")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), fingerprints(utf8("text")).alias("own"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.fp"))
+    return own.join(first, same, "left_semi").select("d.*")
