@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from mailprism.llm.common import batches, cut_lineage, utf8
@@ -87,7 +88,7 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{c}: long" for c in COUNTS) + ">")
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def counts(texts: pa.Array) -> pa.Array:
     """The ``COUNTS`` of each UTF-8 text."""
     found = np.array([text_counts(x) for x in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
@@ -150,7 +151,7 @@ def _shapes(moments: DataFrame, factor: float) -> DataFrame:
     return moments.mapInArrow(batches(work), "g string, mean array<double>, inverse array<double>, log_det double")
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def distance(x: pa.Array, mean: pa.Array, inverse: pa.Array) -> pa.Array:
     """Squared Mahalanobis distance of each vector from its group's mean; null for a null vector."""
     p = len(FLOORS)

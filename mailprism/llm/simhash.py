@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailprism.llm.common import cut_lineage, utf8
 from mailprism.llm.components import components
@@ -57,7 +58,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(rows)).tobytes(), "big")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     """The fingerprint of each UTF-8 text (64 bits as a signed number)."""
     return pa.array(np.array([fingerprint(x) for x in texts.to_pylist()], dtype=np.uint64).view(np.int64))
