@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
     )
 
     def finish(round_: Column) -> Column:
-        return (round_ * F.col("source_size") + F.col("ends")).cast("double") / F.col("target")
+        return F.try_divide((round_ * F.col("source_size") + F.col("ends")).cast("double"), F.col("target"))
 
     place = ["finish", *key, "order_key", "doc_id", "round"]
     sent = (

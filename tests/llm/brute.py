@@ -60,8 +60,8 @@ def classes(prints: dict, most: int = 3) -> dict:
     return {i: find(i) for i in ids}
 
 
-def line_drops(docs: dict) -> dict:
-    """doc -> (n_lines, n_dropped, kept_sha256)."""
+def lines_kept(docs: dict) -> dict:
+    """doc -> its text without the lines that go."""
     key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
     for d, t in docs.items():
@@ -72,7 +72,22 @@ def line_drops(docs: dict) -> dict:
     for d, t in docs.items():
         lines = (t or "").split("\n")
         stay = [x for x in lines if len(holders.get(key(x), ())) < 3 or d == max(holders[key(x)])]
-        out[d] = (len(lines), len(lines) - len(stay), sha("\n".join(stay)))
+        out[d] = "\n".join(stay)
+    return out
+
+
+def line_drops(docs: dict) -> dict:
+    """doc -> (n_lines, n_dropped, kept_sha256), where a document that loses all lines has none left."""
+    key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for d, t in docs.items():
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(d)
+    out = {}
+    for d, text in lines_kept(docs).items():
+        lines = (docs[d] or "").split("\n")
+        gone = sum(len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and d < max(holders[key(x)]) for x in lines)
+        out[d] = (len(lines), gone, sha(text))
     return out
 
 
@@ -143,3 +158,42 @@ def mix_plan(rows: list) -> dict:
             break
         taken[item[4]] += size[item[4]]
     return {d: (size[d], total[s], target[s], taken[d]) for d, s, _ in rows}
+
+
+def outlier_distances(counts: dict, group: dict) -> dict:
+    """Squared robust distances: ``counts`` of a document as seven numbers, its group; all in numpy, group by group."""
+    import math
+
+    import numpy as np
+
+    from mailprism.llm import quality as q
+
+    def vector(c):
+        words, chars, symbols, dup, repeat, lines, capitals = c
+        each = [math.log(words), chars / words, *[math.sqrt(a / max(b, 1)) for a, b in (
+            (symbols, words), (dup, lines), (repeat, words), (capitals, chars))]]
+        return [math.floor(min(v, 64.0) * 256 + 0.5) for v in each]
+
+    floor = np.array(list(q.FLOORS.values())) * 256
+    out = {}
+    for g in set(group.values()):
+        ids = [d for d in counts if group[d] == g and counts[d][0] > 0]
+        if not ids:
+            continue
+        x = np.array([vector(counts[d]) for d in ids], float)
+        mean = np.median(x, axis=0)
+        inverse = np.diag(1 / ((1.4826 * np.median(np.abs(x - mean), axis=0)) ** 2 + floor**2))
+        point = q.chi2_point(0.5, 6)
+        factor = 0.5 / (1 - math.exp(-point / 2) * sum((point / 2) ** k / math.factorial(k) for k in range(4)))
+        for step in range(q.STEPS + 1):
+            off = x - mean
+            d = np.einsum("ni,ij,nj->n", off, inverse, off)
+            if step == q.STEPS:
+                break
+            bins = np.floor(np.log2(np.maximum(d, 0) + 2**-20) * q.BINS_PER_DOUBLING)
+            edge = np.sort(bins)[math.ceil(len(bins) * 0.5) - 1]
+            near = x[bins <= edge]
+            mean = near.mean(axis=0)
+            inverse = np.linalg.inv((near.T @ near / len(near) - np.outer(mean, mean)) * factor + np.diag(floor**2))
+        out |= dict(zip(ids, d.tolist()))
+    return out
