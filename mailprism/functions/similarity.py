@@ -33,12 +33,14 @@ def candidate(netloc: Column) -> Column:
 
 
 def _any_look_alike(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    cached = lru_cache(maxsize=1 << 16)(looks_alike)
-    for netlocs in batches:
-        yield netlocs.map(
-            lambda hosts: 0 if hosts is None else int(any(cached(h) for h in hosts))
-        ).astype("int32")
+    judged = lru_cache(maxsize=1 << 16)(looks_alike)
+    for locations in batches:
+        # each distinct location of the batch is judged once, the mails are then only looked up
+        flat = locations.explode().dropna()
+        hits = {host for host in flat.unique() if judged(host)}
+        found = flat.isin(hits).groupby(flat.index).any()
+        yield found.reindex(locations.index, fill_value=False).astype("int32")
 
 
-# 1 if any location of the mail looks like a known domain; a repeat costs one cache lookup
+# 1 if any location of the mail looks like a known domain
 any_look_alike = F.pandas_udf(_any_look_alike, T.IntegerType())

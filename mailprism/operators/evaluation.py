@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 256
-
 
 def safe_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -50,11 +48,12 @@ def _score_steps(counts: DataFrame) -> DataFrame:
     """Distinct scores with their positives and negatives and those of all scores at or above.
 
     Equal scores are counted first, so a score shared by a third of the rows is one row. The
-    running sums are taken inside ``ROC_BUCKETS`` ranges cut at quantiles of the distinct scores;
-    only the range totals are summed over the whole table. The counts are used three times in the
-    same form, so their shuffle is done once and reused.
+    running sums are taken inside ranges cut at quantiles of the distinct scores, as many as there
+    are shuffle partitions; only the range totals are summed over the whole table. The counts are
+    used three times in the same form, so their shuffle is done once and reused.
     """
-    marks = [i / ROC_BUCKETS for i in range(1, ROC_BUCKETS)]
+    ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = [i / ranges for i in range(1, ranges)]
     bounds = counts.agg(F.percentile_approx("score", marks, 10000).alias("b")).scalar()
     steps = counts.withColumn("__bounds", bounds).withColumn(
         # never null, or a null test of it would run on every row below the aggregate
@@ -63,7 +62,7 @@ def _score_steps(counts: DataFrame) -> DataFrame:
     higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ranges = (
+    totals = (
         steps.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
         .select(
             "bucket",
@@ -72,8 +71,8 @@ def _score_steps(counts: DataFrame) -> DataFrame:
         )
     )
     inside = Window.partitionBy("bucket").orderBy(F.desc("score"))
-    # at most ROC_BUCKETS rows are broadcast
-    return steps.join(F.broadcast(ranges), "bucket").select(
+    # a row per range is broadcast
+    return steps.join(F.broadcast(totals), "bucket").select(
         "score", "pos", "neg",
         (F.col("pos_above") + F.sum("pos").over(inside)).alias("tp"),
         (F.col("neg_above") + F.sum("neg").over(inside)).alias("fp"),
@@ -81,8 +80,11 @@ def _score_steps(counts: DataFrame) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """``threshold, fpr, tpr`` per distinct score, counting scores at or above the threshold."""
-    counts = _score_counts(df, label, score)
+    """``threshold, fpr, tpr`` per distinct score, counting scores at or above the threshold.
+
+    Rows without a score have no place on the curve.
+    """
+    counts = _score_counts(df, label, score).filter("score IS NOT NULL")
     totals = counts.agg(
         F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")
     ).scalar()
@@ -94,14 +96,16 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Rank statistic, ties counting half; null when a class is missing."""
-    steps = _score_steps(_score_counts(df, label, score))
+    """Rank statistic, ties counting half; null when a class or any labelled row's score is missing."""
+    counts = _score_counts(df, label, score)
+    unscored = counts.agg(F.count_if(F.col("score").isNull()).alias("n")).scalar()
+    steps = _score_steps(counts.filter("score IS NOT NULL"))
     # pairs won: positives times the negatives strictly below, i.e. all minus those at or above
     pos, neg = F.sum("pos"), F.sum("neg")
     at_or_above = F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / F.lit(2.0)))
     return steps.agg(
-        F.when((pos > 0) & (neg > 0), 1.0 - at_or_above / pos / neg).alias("roc_auc")
-    )
+        F.when((pos > 0) & (neg > 0), 1.0 - at_or_above / pos / neg).alias("auc")
+    ).select(F.when(unscored == 0, F.col("auc")).alias("roc_auc"))
 
 
 def metrics(

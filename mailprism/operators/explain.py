@@ -99,11 +99,11 @@ def _fit_all(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 def explain(
     df: DataFrame, score_tokens: Callable[[DataFrame], DataFrame], text_col: str = "text",
     id_col: str = "msg_id", num_features: int = 10, num_samples: int = 500,
-    token_limit: int = 256, keep=(), seed: int = SEED,
+    token_limit: int | None = None, keep=(), seed: int = SEED,
 ) -> DataFrame:
     """``id, *keep, p0, p1, top_features`` per mail.
 
-    ``score_tokens`` appends ``p0, p1`` to a table with ``tokens`` (any model that reads words).
+    Whole texts are read unless ``token_limit`` is given. ``score_tokens`` appends ``p0, p1`` to a table with ``tokens`` (any model that reads words).
     The only shuffle carries one row per mail and task: its sample scores, its vocabulary and the
     columns to keep.
     """
@@ -126,7 +126,7 @@ def explain(
     left = F.filter("__words", lambda w: _draw(w["h"], F.col("__skey")) >= F.col("__below"))
     copies = samples.select(
         "__id", "__key", "__sample",
-        F.slice(left["low"], 1, token_limit).alias("tokens"),
+        (F.slice(left["low"], 1, token_limit) if token_limit else left["low"]).alias("tokens"),
         # what is known per mail travels once, with its sample 0
         F.when(
             sample == 0,

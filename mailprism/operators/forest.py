@@ -28,8 +28,12 @@ class ForestAgent:
     def __init__(
         self, feature_names, trees: int = v.FOREST_TREES, depth: int = v.FOREST_DEPTH,
         min_leaf: int = v.FOREST_MIN_LEAF, seed: int = v.SEED,
+        max_train_rows: int = 5_000_000,
     ):
+        """``max_train_rows`` bounds the labelled rows a forest is fitted on; a larger training part
+        is sampled evenly. Nothing else is bounded: all rows are scored and evaluated."""
         self.feature_names = list(feature_names)
+        self.max_train_rows = max_train_rows
         self.trees, self.depth, self.min_leaf, self.seed = trees, depth, min_leaf, seed
         self.model: PipelineModel | None = None
         self.best_params: dict | None = None
@@ -68,7 +72,11 @@ class ForestAgent:
         """Fit on ``df``. ``key`` (unique) places the rows in folds for ``validate`` and ``tune``."""
         if (validate or tune) and key is None:
             raise ValueError("folds need a unique key column")
-        rows = balanced_weights(self._matrix(df, label, key), "label")
+        matrix = self._matrix(df, label, key)
+        found = df.count()
+        if found > self.max_train_rows:
+            matrix = matrix.sample(self.max_train_rows / found, self.seed)
+        rows = balanced_weights(matrix, "label")
         if validate or tune:
             rows = stratified_folds(rows, 5, "label", "__key", self.seed)
         # every tree level reads the matrix again

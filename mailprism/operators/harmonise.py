@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,64 +67,42 @@ def normalise_corpus(df: DataFrame, text_col="Email Text", label_col="Email Type
     return drop_blank(df)
 
 
-def with_flat_mail(df: DataFrame, json_col: str, out_col: str = "text") -> DataFrame:
-    """Append JSON mail as flat text: subject, sender and recipient lines, a blank line, the body.
+def _flat(raw: str) -> str:
+    """A JSON object as header lines, a blank line and the body; other texts as they are.
 
-    Null becomes '', anything that is no JSON object stays as it is. The object is parsed once into
-    a map; its types are looked at only where a value could be a number, flag or empty container
-    that counts as missing.
+    A field counts if it is neither missing nor empty, and its text is what Python prints for the
+    value. Without a body all fields that are no header are listed.
     """
-    raw, fields, typed = F.col(json_col), F.col("__fields"), F.col("__typed")
-    staged = df.withColumn(
-        "__fields",
-        # from_json tolerates text behind the object, which strict JSON does not
-        F.when(raw.rlike(f"\\}}[{v.SPACE}]*$"), F.from_json(raw, "map<string,string>")),
-    ).withColumn(
-        "__typed",
-        F.when(
-            F.exists(F.map_values("__fields"), lambda x: x.isin(*_DOUBTFUL, "true")),
-            F.try_parse_json(raw),
-        ),
+    try:
+        found = json.loads(raw)
+    except (ValueError, RecursionError):
+        return raw
+    if not isinstance(found, dict):
+        return raw
+
+    def first(names) -> object | None:
+        return next((found[n] for n in names if found.get(n)), None)
+
+    titled = (
+        ("Subject", first(v.SUBJECT_KEYS)), ("From", first(v.SENDER_KEYS)),
+        ("To", first(v.RECIPIENT_KEYS)),
     )
+    lines = [f"{title}: {value}" for title, value in titled if value]
+    body = first(v.BODY_KEYS)
+    if not body:
+        body = " ".join(f"{k}: {x}" for k, x in found.items() if k not in v.ENVELOPE_KEYS)
+    return "\n".join([*lines, "", str(body)])
 
-    def kind(key: str) -> Column:
-        found = F.try_variant_get(typed, f"$['{key}']", "variant")
-        return F.coalesce(F.schema_of_variant(found), F.lit(""))
-
-    def value(key: str) -> Column:
-        """Field as text, null where it is missing or counts as empty."""
-        found = F.try_element_at(fields, F.lit(key))
-        return (
-            F.when(found == "", None)
-            .when(found.isin(*_DOUBTFUL) & (kind(key) != "STRING"), None)
-            .when((found == "true") & (kind(key) == "BOOLEAN"), "True")
-            .otherwise(found)
-        )
-
-    def line(title: str, keys) -> Column:
-        return F.concat(F.lit(f"{title}: "), F.coalesce(*(value(k) for k in keys)))
-
-    rest = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*v.ENVELOPE_KEYS))
-    dump = F.array_join(
-        F.transform(
-            rest, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))
-        ),
-        " ",
-    )
-    flat = F.concat_ws(
-        "\n",
-        line("Subject", v.SUBJECT_KEYS),
-        line("From", v.SENDER_KEYS),
-        line("To", v.RECIPIENT_KEYS),
-        F.lit(""),
-        F.coalesce(*(value(k) for k in v.BODY_KEYS), dump),
-    )
-    out = F.when(raw.isNull(), "").when(fields.isNull(), raw).otherwise(flat)
-    return staged.select(*(c for c in df.columns if c != out_col), out.alias(out_col))
+
+@F.arrow_udf(T.StringType())
+def flat_mail(raws: pa.Array) -> pa.Array:
+    """JSON mail as flat text; null is empty text. Any JSON that Python reads is understood."""
+    return pa.array(["" if raw is None else _flat(raw) for raw in raws.to_pylist()], pa.string())
 
 
-# texts a number, flag or container that counts as missing may have
-_DOUBTFUL = ("0", "-0", "0.0", "-0.0", "false", "[]", "{}")
+def with_flat_mail(df: DataFrame, json_col: str, out_col: str = "text") -> DataFrame:
+    """Append JSON mail as flat text: subject, sender and recipient lines, a blank line, the body."""
+    return df.withColumn(out_col, flat_mail(F.col(json_col)))
 
 
 def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -170,17 +150,19 @@ def dedup_keep_first(
 ) -> DataFrame:
     """One row per text: the first by ``order_cols``, so an earlier source settles the label.
 
-    Copies meet on a hash of the text and are reduced in every task before the shuffle, so a text
-    that makes up a third of the corpus costs one row per task.
+    The winners are found on hashes and order columns alone, reduced in every task before the
+    shuffle, so a text that makes up a third of the corpus costs a narrow row per task. The texts
+    are then fetched by the winners' order columns, which are as good as unique and so not skewed.
+    Of rows equal in text and order one stays.
     """
     names = df.columns
-    winner = F.min_by(F.struct(*names), F.struct(*order_cols))
-    return (
-        df.groupBy(F.sha2(text_col, 256).alias("__hash"))
-        .agg(winner.alias("__row"))
-        .select("__row.*")
-        .select(*names)
-    )
+    hashed = df.withColumn("__hash", F.coalesce(F.sha2(text_col, 256), F.lit("")))
+    first = hashed.groupBy("__hash").agg(F.min(F.struct(*order_cols)).alias("__first"))
+    key = ["__hash", "__first"]
+    placed = hashed.withColumn("__first", F.struct(*order_cols))
+    rows = placed.join(first, key, "left_semi")
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return rows.withColumn("__copy", copy).filter("__copy = 1").select(*names)
 
 
 def dedup_counts(df: DataFrame, text_col: str = "text") -> DataFrame:

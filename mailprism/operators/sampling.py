@@ -1,85 +1,79 @@
 """Repeatable sampling, shuffling and splitting, independent of partitioning.
 
-Rows are ordered by ``md5(seed|key)`` inside their class. Nothing here sorts a class in one task:
-the hash at a wanted rank is found from counts per hash prefix plus a sort of the one prefix that
-holds it, and every row then compares its own hash with that literal. The wide rows are never
-shuffled. ``key`` must be unique.
+Rows are ordered by ``md5(seed|key)`` inside their class. Nothing here sorts a class in one task, and
+nothing runs while a plan is built: rows are counted per class and hash prefix, running sums of these
+small counts show the prefix that holds a wanted rank, and only rows of such prefixes are sorted. The
+hashes found, one per class and rank, are broadcast (there are as many as classes, or folds times
+classes), and every row compares its own hash. The wide rows are not shuffled. ``key`` must be
+unique.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailprism.functions.fixed_values import SEED
 
-PREFIX_DIGITS = 4  # 65 536 prefixes per class
-MAX_CLASSES = 16
+# prefixes of 1, 2, ... digits: each level looks inside the prefixes that hold a rank only, so a
+# last prefix holds one row in 65 536 of a class, or fewer with more levels
+LEVELS = (2, 4)
 
 
 def order_hash(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def hash_cuts(
-    df: DataFrame, label: str, key: str, seed: int, ranks: Callable[[dict], dict]
-) -> dict:
-    """``{label: [hash, ...]}``: per class the hashes at the ranks that ``ranks`` derives.
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``label, n`` for each class that is not null."""
+    rows = df.filter(F.col(label).isNotNull())
+    return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+
 
-    ``ranks`` maps ``{label: rows}`` to ``{label: [rank, ...]}``, 1-based. Two passes over label
-    and key run at once, as in fitting a model. The driver sees one count per class and prefix,
-    a bounded number whatever the size of the table, and then one hash per rank.
+def hash_cuts(df: DataFrame, label: str, key: str, seed: int, wanted: DataFrame) -> DataFrame:
+    """``label, cuts``: per class the hashes at the ranks of ``wanted(label, rank)``, 1-based.
+
+    Level by level, counts per hash prefix leave of each rank a prefix and the rank inside it.
     """
     hashed = df.select(F.col(label).alias("label"), order_hash(key, seed).alias("h")).filter(
         F.col("label").isNotNull()
-    ).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
-    limit = MAX_CLASSES * 16**PREFIX_DIGITS
-    counted = hashed.groupBy("label", "prefix").agg(F.count("*").alias("n")).limit(limit + 1)
-    per_class: dict = {}
-    for row in counted.collect():
-        per_class.setdefault(row["label"], []).append((row["prefix"], row["n"]))
-    if len(per_class) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    wanted = ranks({c: sum(n for _, n in rows) for c, rows in per_class.items()})
-    places: dict = {}
-    for value, positions in wanted.items():
-        for rank in positions:
-            before = 0
-            for prefix, n in sorted(per_class[value]):
-                if before < rank <= before + n:
-                    places.setdefault((value, prefix, rank - before), []).append(rank)
-                before += n
-    if not places:
-        return {}
-    inside = Window.partitionBy("label", "prefix").orderBy("h")
-    near = reduce(
-        or_,
-        ((F.col("label") == F.lit(c)) & (F.col("prefix") == p) for c, p in {x[:2] for x in places}),
     )
-    # only rows of the few prefixes that hold a wanted rank are shuffled and sorted
-    numbered = hashed.filter(near).withColumn("rn", F.row_number().over(inside))
-    hit = F.col("rn").isin(*{x[2] for x in places})
-    rows = numbered.filter(hit).collect()  # at most one per place and prefix
-    found = {(r["label"], r["prefix"], r["rn"]): r["h"] for r in rows}
-    out: dict = {}
-    for place, positions in places.items():
-        out.setdefault(place[0], []).extend([found[place]] * len(positions))
-    return {c: sorted(hashes) for c, hashes in out.items()}
-
-
-def _passed(cuts: dict, label: str, key: str, seed: int) -> Column:
-    """How many of its class's cuts a row's hash lies beyond."""
+    places = wanted.select("label", "rank", F.lit("").alias("prefix"), F.col("rank").alias("at"))
+    rows = hashed
+    for digits in LEVELS:
+        longer = F.substring("h", 1, digits)
+        known = places.select("label", "prefix").distinct()
+        rows = rows.withColumn("prefix", F.substring("h", 1, digits - 2)).join(
+            F.broadcast(known), ["label", "prefix"], "left_semi"
+        ).drop("prefix")
+        counts = rows.groupBy("label", longer.alias("longer")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("prefix", F.substring("longer", 1, digits - 2))
+        up_to = Window.partitionBy("label", "prefix").orderBy("longer")
+        spans = counts.withColumn("last", F.sum("n").over(up_to))
+        places = places.join(spans, ["label", "prefix"]).filter(
+            (F.col("at") <= F.col("last")) & (F.col("at") > F.col("last") - F.col("n"))
+        ).select(
+            "label", "rank", F.col("longer").alias("prefix"),
+            (F.col("at") - F.col("last") + F.col("n")).alias("at"),
+        )
+    inside = Window.partitionBy("label", "prefix").orderBy("h")
+    near = rows.withColumn("prefix", F.substring("h", 1, LEVELS[-1])).join(
+        F.broadcast(places.select("label", "prefix").distinct()), ["label", "prefix"], "left_semi"
+    ).withColumn("at", F.row_number().over(inside))
+    found = places.join(near, ["label", "prefix", "at"])
+    return found.groupBy("label").agg(F.array_sort(F.collect_list("h")).alias("cuts"))
+
+
+def _with_passed(df: DataFrame, cuts: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``df`` with ``__passed``: how many of its class's cuts a row's hash lies beyond; null without cuts."""
+    cuts = F.broadcast(cuts.withColumnsRenamed({"label": "__class", "cuts": "__cuts"}))
     own = order_hash(key, seed)
-    out = F.lit(0)
-    for value, hashes in cuts.items():
-        beyond = reduce(add, ((own > F.lit(h)).cast("int") for h in hashes))
-        out = F.when(F.col(label) == F.lit(value), beyond).otherwise(out)
-    return out
+    joined = df.join(cuts, F.col(label) == F.col("__class"), "left")
+    return joined.withColumn(
+        "__passed", F.size(F.filter("__cuts", lambda h: h < own))
+    ).withColumn("__passed", F.when(F.col("__cuts").isNotNull(), F.col("__passed"))).drop(
+        "__class", "__cuts"
+    )
 
 
 def class_ratio_sample(
@@ -88,14 +82,11 @@ def class_ratio_sample(
 ) -> DataFrame:
     """``int(total * legit_ratio)`` rows of class 0, the rest of class 1; a short class is whole."""
     n_legit = int(total * legit_ratio)
-    target = {0: n_legit, 1: total - n_legit}
     binary = df.filter(F.col(label).isin(0, 1))
-    cuts = hash_cuts(
-        binary, label, key, seed,
-        lambda n: {c: [min(n[c], target[c])] for c in n if target[c] > 0},
-    )
-    wanted = binary.filter(F.col(label).isin(*cuts)) if cuts else binary.limit(0)
-    return wanted.filter(_passed(cuts, label, key, seed) == 0)
+    target = F.when(F.col("label") == 0, n_legit).otherwise(total - n_legit)
+    wanted = class_counts(binary, label).select("label", F.least("n", target).alias("rank"))
+    cuts = hash_cuts(binary, label, key, seed, wanted.filter("rank > 0"))
+    return _with_passed(binary, cuts, label, key, seed).filter("__passed = 0").drop("__passed")
 
 
 def seeded_shuffle(df: DataFrame, key: str = "row_id", seed: int = SEED) -> DataFrame:
@@ -103,16 +94,23 @@ def seeded_shuffle(df: DataFrame, key: str = "row_id", seed: int = SEED) -> Data
     return df.orderBy(order_hash(key, seed))
 
 
-def test_sizes(counts: dict, test_size: float) -> dict:
-    """Test rows per class: ``ceil(n * test_size)`` in all, shared out by largest remainder."""
-    total = sum(counts.values())
-    test = math.ceil(total * test_size)
-    exact = {c: n * test / total for c, n in counts.items()}
-    sizes = {c: math.floor(x) for c, x in exact.items()}
-    by_rest = sorted(counts, key=lambda c: (sizes[c] - exact[c], c))
-    for c in by_rest[: test - sum(sizes.values())]:
-        sizes[c] += 1
-    return sizes
+def test_sizes(counts: DataFrame, test_size: float) -> DataFrame:
+    """``label, rank``: test rows per class, ``ceil(n * test_size)`` in all, shared out by largest
+    remainder. ``counts``: ``label, n``; one row per class is all that meets in a task."""
+    everything = Window.partitionBy(F.lit(0))
+    by_rest = everything.orderBy(F.col("base") - F.col("exact"), "label")
+    return (
+        counts.withColumn("total", F.sum("n").over(everything))
+        .withColumn("test", F.ceil(F.col("total") * F.lit(float(test_size))))
+        .withColumn("exact", F.col("n") * F.col("test") / F.col("total"))
+        .withColumn("base", F.floor("exact"))
+        .withColumn("missing", F.col("test") - F.sum("base").over(everything))
+        .withColumn("place", F.row_number().over(by_rest))
+        .select(
+            "label",
+            (F.col("base") + (F.col("place") <= F.col("missing")).cast("long")).alias("rank"),
+        )
+    )
 
 
 def stratified_split(
@@ -120,27 +118,26 @@ def stratified_split(
     seed: int = SEED,
 ) -> DataFrame:
     """All rows with ``is_test``: the class shares are the same in both parts."""
-    cuts = hash_cuts(
-        df, label, key, seed,
-        lambda n: {c: [size] for c, size in test_sizes(n, test_size).items() if size > 0},
-    )
-    if not cuts:
-        return df.withColumn("is_test", F.lit(0))
-    in_test = F.col(label).isin(*cuts) & (_passed(cuts, label, key, seed) == 0)
-    return df.withColumn("is_test", F.coalesce(in_test, F.lit(False)).cast("int"))
+    wanted = test_sizes(class_counts(df, label), test_size).filter("rank > 0")
+    cuts = hash_cuts(df, label, key, seed, wanted)
+    in_test = F.coalesce(F.col("__passed") == 0, F.lit(False)).cast("int")
+    return _with_passed(df, cuts, label, key, seed).withColumn("is_test", in_test).drop("__passed")
 
 
 def stratified_folds(
     df: DataFrame, k: int = 5, label: str = "label", key: str = "row_id", seed: int = SEED
 ) -> DataFrame:
     """All rows with ``fold`` 0..k-1; per class the folds differ by one row at most."""
-
-    def ends(n: int) -> list[int]:
-        """Last rank of every fold but the last; the first ``n % k`` folds have one row more."""
-        return [r for i in range(1, k) if (r := i * (n // k) + min(i, n % k)) > 0]
-
-    cuts = hash_cuts(df, label, key, seed, lambda n: {c: ends(m) for c, m in n.items()})
-    return df.withColumn("fold", _passed(cuts, label, key, seed))
+    n = F.col("n")
+    # last rank of every fold but the last; the first n % k folds have one row more
+    ends = F.transform(
+        F.sequence(F.lit(1), F.lit(k - 1)),
+        lambda i: i * F.floor(n / k) + F.least(i.cast("long"), n % k),
+    )
+    wanted = class_counts(df, label).select("label", F.explode(ends).alias("rank"))
+    cuts = hash_cuts(df, label, key, seed, wanted.filter("rank > 0"))
+    passed = F.coalesce("__passed", F.lit(0))
+    return _with_passed(df, cuts, label, key, seed).withColumn("fold", passed).drop("__passed")
 
 
 def split_by_hash(

@@ -55,7 +55,8 @@ def fuse(scores: dict[str, DataFrame], weights: dict[str, float] | None = None)
     """Weighted mean of the agents' phishing probabilities per mail; equal weights by default.
 
     The agents' tables are stacked and summed per mail, so one shuffle serves any number of agents
-    and partial sums are taken before it. A mail an agent did not score is judged by the others.
+    and partial sums are taken before it. A mail an agent did not score, or scored as null, is
+    judged by the others; without any score it has no verdict.
     """
     weights = weights or dict.fromkeys(scores, 1.0)
     stacked = reduce(
@@ -71,11 +72,13 @@ def fuse(scores: dict[str, DataFrame], weights: dict[str, float] | None = None)
         f"p_{a}": F.max(F.when(F.col("agent") == a, F.col("p1"))) for a in scores
     }
     fused = stacked.groupBy("msg_id").agg(
-        (F.sum(F.col("p1") * F.col("w")) / F.sum("w")).alias("p1"),
+        (F.sum(F.col("p1") * F.col("w")) / F.sum(F.when(F.col("p1").isNotNull(), F.col("w"))))
+        .alias("p1"),
         *(c.alias(n) for n, c in votes.items()),
     )
     return fused.withColumn("p0", 1.0 - F.col("p1")).withColumn(
-        "verdict", F.when(F.col("p1") > 0.5, "Phishing").otherwise("Legitimate")
+        "verdict",
+        F.when(F.col("p1") > 0.5, "Phishing").when(F.col("p1").isNotNull(), "Legitimate"),
     )
 
 

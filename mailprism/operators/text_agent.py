@@ -1,4 +1,4 @@
-"""Text agent: truncated tokens, hashed term weights and a logistic model, all Spark ML."""
+"""Text agent: words of whole texts, hashed term weights and a logistic model, all Spark ML."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailprism.functions.fixed_values import SEED, TRAIN_TOKENS
+from mailprism.functions.fixed_values import SEED
 from mailprism.operators.evaluation import metrics
 from mailprism.operators.sampling import stratified_split
 
@@ -22,8 +22,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-def tokens(text: Column, limit: int | None = TRAIN_TOKENS) -> Column:
-    """Lower-case words; the model reads the first ``limit`` of them."""
+def tokens(text: Column, limit: int | None = None) -> Column:
+    """Lower-case words of the whole text, or of its first ``limit`` words."""
     text = F.coalesce(text, F.lit(""))
     if not limit:
         return F.transform(words(text), F.lower)
@@ -33,45 +33,60 @@ def tokens(text: Column, limit: int | None = TRAIN_TOKENS) -> Column:
 
 
 class TextAgent:
-    """Safe / phishing classifier over text. ``epochs`` are tried as separate iteration budgets."""
+    """Safe / phishing classifier over the words that whole texts have.
+
+    Each of ``buckets`` says whether a word is there, weighted by its rarity; words of fewer than
+    ``least_docs`` texts do not count. ``epochs`` are tried as separate iteration budgets, the last
+    one to convergence. ``limit`` cuts texts to so many words, if given.
+    """
 
     def __init__(
-        self, limit: int = TRAIN_TOKENS, buckets: int = 1 << 16, epochs=(3, 6, 12),
-        regularisation: float = 0.01, seed: int = SEED,
+        self, limit: int | None = None, buckets: int = 1 << 18, epochs=(10, 30, 60),
+        regularisation: float = 0.01, least_docs: int = 5, seed: int = SEED,
     ):
         self.limit, self.buckets, self.epochs = limit, buckets, tuple(epochs)
-        self.regularisation, self.seed = regularisation, seed
+        self.regularisation, self.least_docs, self.seed = regularisation, least_docs, seed
         self.model: PipelineModel | None = None
         self.history: list[dict] = []
 
-    def _pipeline(self, iterations: int) -> Pipeline:
+    def _weights(self, rows: DataFrame) -> PipelineModel:
+        """Term weights, fitted once for all budgets."""
         return Pipeline(
             stages=[
-                HashingTF(inputCol="tokens", outputCol="tf", numFeatures=self.buckets),
-                IDF(inputCol="tf", outputCol="features"),
-                LogisticRegression(
-                    featuresCol="features", labelCol="label", maxIter=iterations,
-                    regParam=self.regularisation,
+                HashingTF(
+                    inputCol="tokens", outputCol="tf", numFeatures=self.buckets, binary=True
                 ),
+                IDF(inputCol="tf", outputCol="features", minDocFreq=self.least_docs),
             ]
+        ).fit(rows)
+
+    def _classifier(self, iterations: int) -> LogisticRegression:
+        return LogisticRegression(
+            featuresCol="features", labelCol="label", maxIter=iterations,
+            regParam=self.regularisation,
         )
 
     def train(
         self, df: DataFrame, text_col: str = "text", label: str = "label", key: str = "row_id"
     ) -> TextAgent:
         """Fit once per budget and keep the best F1 on a held-out fifth of the training rows."""
-        rows = stratified_split(
+        parts = stratified_split(
             df.select(
                 tokens(F.col(text_col), self.limit).alias("tokens"),
                 F.col(label).cast("int").alias("label"), F.col(key).alias("__key"),
             ),
             0.2, "label", "__key", self.seed,
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        weights = self._weights(parts.filter("is_test = 0"))
+        # every iteration reads the weighted terms again
+        rows = weights.transform(parts).select("label", "features", "is_test").persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
         best = -1.0
         try:
             fit_rows = rows.filter("is_test = 0")
             for epoch, budget in enumerate(self.epochs, 1):
-                model = self._pipeline(budget).fit(fit_rows)
+                model = self._classifier(budget).fit(fit_rows)
                 row = metrics(
                     model.transform(rows.filter("is_test = 1")), "label", "prediction", None
                 ).first()
@@ -80,7 +95,7 @@ class TextAgent:
                      **{m: row[m] for m in ("accuracy", "precision", "recall", "f1_score")}}
                 )
                 if row["f1_score"] > best:
-                    best, self.model = row["f1_score"], model
+                    best, self.model = row["f1_score"], PipelineModel([*weights.stages, model])
         finally:
             rows.unpersist()
         return self

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism import sinks
-from mailprism.functions import fixed_values as v
 from mailprism.functions.headers import header
 from mailprism.functions.bodies import explained_body, explained_text
 from mailprism.functions.strings import not_blank
@@ -18,13 +17,15 @@ from mailprism.operators.features import (
 from mailprism.operators.forest import ForestAgent, header_agent, text_url_agent, url_agent
 from mailprism.operators.mime import parse_messages
 from mailprism.operators.text_agent import TextAgent
+from mailprism.session import stored
 from mailprism.sources.corpora import build_url_corpus, mail_bodies
 
 
 def _train_forest(
     agent: ForestAgent, feats: DataFrame, key: str, test_size: float, validate: bool, tune: bool
 ) -> tuple[ForestAgent, DataFrame, DataFrame]:
-    parts = sampling.stratified_split(feats, test_size, "label", key)
+    """Features are written once; split, training and evaluation read that table."""
+    parts = sampling.stratified_split(stored(feats, "features"), test_size, "label", key)
     agent.train(parts.filter("is_test = 0"), "label", key, validate, tune)
     test = parts.filter("is_test = 1")
     return agent, test, agent.evaluate(test)
@@ -76,7 +77,8 @@ def with_url_ids(urls: DataFrame) -> DataFrame:
 
 def run_url_agent(
     spark: SparkSession, messages: DataFrame | None, out: str | None = None,
-    phishing_csv: str | None = None, domains_csv: str | None = None, domains_limit: int = 50000,
+    phishing_csv: str | None = None, domains_csv: str | None = None,
+    domains_limit: int | None = None,
     validate: bool = True, tune: bool = False,
 ):
     """Forest over the 23 URL features of a URL corpus, 70/30."""
@@ -141,17 +143,22 @@ def build_text_corpus(
         frames.append(harmonise.drop_short(legit))
     if hand_written is not None:
         frames.append(harmonise.drop_short(hand_written.select("text", "label")))
+    # inside a source the first row in reading order wins, whatever its label
     stacked = harmonise.union_corpora(
-        *(f.withColumn("priority", F.lit(i)) for i, f in enumerate(frames))
+        *(
+            f.withColumns(
+                {"priority": F.lit(i), "position": F.monotonically_increasing_id()}
+            )
+            for i, f in enumerate(frames)
+        )
     )
-    # copies inside one source may carry different labels; the smaller one is kept, repeatably
-    unique = harmonise.dedup_keep_first(stacked, "text", ("priority", "label"))
+    unique = harmonise.dedup_keep_first(stacked, "text", ("priority", "position"))
     return unique.select(F.sha2("text", 256).alias("row_id"), "text", "label")
 
 
 def run_text_agent(corpus: DataFrame, out: str | None = None, **options):
     """Text classifier on an 80/20 split. Returns agent, test part, metrics and report."""
-    parts = sampling.stratified_split(corpus, 0.2)
+    parts = stored(sampling.stratified_split(stored(corpus, "texts"), 0.2), "parts")
     agent = TextAgent(**options).train(parts.filter("is_test = 0"))
     test = parts.filter("is_test = 1")
     scored = agent.predict(test).withColumn("prediction", (F.col("p1") > F.col("p0")).cast("int"))
@@ -190,13 +197,16 @@ def classify_batch(
     mails: DataFrame, agent: TextAgent, num_features: int = 8, num_samples: int = 250,
     csv: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Result table and verdict summary of raw mail (``msg_id, raw_bytes, source_path``)."""
+    """Result table and verdict summary of raw mail (``msg_id, raw_bytes, source_path``).
+
+    Each mail is explained once: the table is stored, and CSV and summary come from there.
+    """
     mail = scoring.batch_input(parse_messages(mails, as_text=True))
     found = explain(
-        mail, agent.score_tokens, "text", "msg_id", num_features, num_samples, v.DEMO_TOKENS,
+        mail, agent.score_tokens, "text", "msg_id", num_features, num_samples, agent.limit,
         scoring.BATCH_COLUMNS,
     )
-    results = scoring.batch_results(found)
+    results = stored(scoring.batch_results(found), "batch")
     if csv:
         sinks.write_batch_csv(results, csv)
     return results, scoring.batch_summary(results)

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailprism.session import spread
-
 MAIL_SQL = """
 SELECT d.doc_id, d.source, d.lang,
   concat(d.text, chr(10),
@@ -64,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def derived_mail(spark: SparkSession, sf_dir: str) -> DataFrame:

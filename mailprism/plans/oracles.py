@@ -189,6 +189,55 @@ def url_facts(parts: str) -> str:
     return f"list_transform({parts}, lambda p: {{{fields}}})"
 
 
+# --- look-alike locations ----------------------------------------------------------------------
+# Own statement of the rule: twice the characters in common blocks over all characters, above
+# 0.8. The longest common block comes first (the leftmost one in the location, then in the domain);
+# what stands left of it and right of it is matched in the same way.
+_KNOWN_SITES = (
+    "google.com", "microsoft.com", "apple.com", "amazon.com", "facebook.com", "linkedin.com",
+    "twitter.com", "instagram.com",
+)
+
+
+def look_alikes(sql: str) -> str:
+    """CTEs ``src`` (``sql`` with ``parts``) and ``alike(h)``, the locations close to a known site."""
+    block = (
+        "list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda s: "
+        "list_transform(range(1, length(a) - s + 2), lambda n: "
+        "{'k': CASE WHEN contains(b, substr(a, s, n)) THEN n ELSE 0 END, 's': 0 - s}))), lambda x: x.k > 0))"
+    )
+    sites = ", ".join(f"({q(site)})" for site in _KNOWN_SITES)
+    return f"""
+RECURSIVE src AS ({sql}),
+pairs AS (
+  SELECT h, g FROM (SELECT DISTINCT unnest(list_transform(parts, lambda p: p.netloc)) AS h FROM src),
+    (VALUES {sites}) known(g)
+  WHERE h <> '' AND h <> g
+    AND 2.0 * least(length(h), length(g)) / (length(h) + length(g))::DOUBLE > 0.8),
+todo(h, g, a, b) AS (
+  SELECT h, g, h, g FROM pairs
+  UNION ALL
+  SELECT h, g, side.a, side.b FROM (
+    SELECT h, g, unnest([
+      {{'a': substr(a, 1, place - 1), 'b': substr(b, 1, strpos(b, substr(a, place, size)) - 1)}},
+      {{'a': substr(a, place + size), 'b': substr(b, strpos(b, substr(a, place, size)) + size)}}]) AS side
+    FROM (SELECT h, g, a, b, 0 - best.s AS place, best.k AS size
+          FROM (SELECT h, g, a, b, {block} AS best FROM todo) WHERE best IS NOT NULL))
+  WHERE side.a <> '' AND side.b <> ''),
+common AS (
+  SELECT h, g, sum(coalesce(best.k, 0)) AS n
+  FROM (SELECT h, g, {block} AS best FROM todo) GROUP BY h, g),
+alike AS (
+  SELECT DISTINCT h FROM common
+  WHERE 2.0 * n / (length(h) + length(g))::DOUBLE > 0.8)"""
+
+
+LOOKS_ALIKE = i(
+    "list_has_any(list_transform(parts, lambda p: p.netloc), "
+    "coalesce((SELECT list(h) FROM alike), []))"
+)
+
+
 def url_exprs(facts: str) -> dict[str, str]:
     out = {
         "url_count": i(f"len({facts})"),
@@ -201,20 +250,25 @@ def url_exprs(facts: str) -> dict[str, str]:
     return {n: out[n] for n in v.URL_FEATURES if n in out}
 
 
-def url_table(sql: str, text: str, keep: str) -> str:
-    return f"""
-SELECT {keep}, {listed(url_exprs('facts'))}
-FROM (SELECT *, {url_facts('parts')} AS facts
-      FROM (SELECT *, {url_parts(text)} AS parts FROM ({sql})))"""
+def url_table(sql: str, text: str, keep: str, alike: bool = True, more: dict | None = None) -> str:
+    """``keep``, the URL features and ``more`` columns over ``sql``."""
+    exprs = url_exprs("facts") | ({"potential_typosquatting": LOOKS_ALIKE} if alike else {})
+    parts = f"SELECT *, {url_parts(text)} AS parts FROM ({sql})"
+    source = f"WITH {look_alikes(parts)}" if alike else f"WITH src AS ({parts})"
+    return f"""{source}
+SELECT {keep}, {listed(exprs | (more or {}))}
+FROM (SELECT *, {url_facts('parts')} AS facts FROM src)"""
 
 
-ORACLES["url_features"] = url_table(MAIL_ORACLE, "body", "doc_id")
+ORACLES["url_features"] = url_table(MAIL_ORACLE, "body", "doc_id", alike=False)
+_ids = "SELECT doc_id AS id, body FROM ({mail}) UNION ALL SELECT -page_id - 1, url FROM pages"
+ORACLES["typosquatting"] = (
+    f"SELECT id, url_count, potential_typosquatting FROM "
+    f"({url_table(_ids.format(mail=MAIL_ORACLE), 'body', 'id')})")
 ORACLES["page_url_features"] = url_table(
     "SELECT page_id AS url_id, url FROM pages", "url", "url_id")
-ORACLES["text_url_features_55"] = f"""
-SELECT doc_id AS row_id, label, {listed(TEXT_EXPRS)}, {listed(url_exprs('facts'))}
-FROM (SELECT *, {url_facts('parts')} AS facts
-      FROM (SELECT *, {url_parts('body')} AS parts FROM ({with_lower(MAIL_ORACLE, 'body')})))"""
+ORACLES["text_url_features_55"] = url_table(
+    with_lower(MAIL_ORACLE, "body"), "body", "doc_id AS row_id, label", more=TEXT_EXPRS)
 
 # --- headers ---------------------------------------------------------------------------------
 _ALL_LINES = "string_split(header_text, concat(chr(13), chr(10)))"
@@ -295,11 +349,9 @@ ORACLES["mail_header_features"] = (
 _NO_TAGS = drop("body", v.HTML_TAG, " ")
 STRICT_BODY = f"CASE WHEN doc_id % 9 = 4 THEN {_NO_TAGS} ELSE body END"
 _PARSED = f"SELECT * REPLACE ({STRICT_BODY} AS body) FROM ({HEADERS})"
-ORACLES["flat_features_92"] = f"""
-SELECT doc_id AS msg_id, label, {listed(TEXT_EXPRS)}, {listed(url_exprs('facts'))},
-  {listed(_HEADER_EXPRS)}
-FROM (SELECT *, {url_facts('parts')} AS facts
-      FROM (SELECT *, {url_parts('body')} AS parts FROM ({with_lower(_PARSED, 'body')})))"""
+ORACLES["flat_features_92"] = url_table(
+    with_lower(_PARSED, "body"), "body", "doc_id AS msg_id, label",
+    more=TEXT_EXPRS | _HEADER_EXPRS)
 _nested = {
     "word_count": TEXT_EXPRS["word_count"], "special_char_ratio": TEXT_EXPRS["special_char_ratio"],
     "url_count": url_exprs("facts")["url_count"],
@@ -332,14 +384,48 @@ SELECT doc_id, concat('From: ', CASE WHEN doc_id % 3 <> 0 THEN source ELSE {q(v.
   chr(13), chr(10), 'Subject: ', CASE WHEN doc_id % 4 <> 0 THEN lang ELSE '' END, chr(13), chr(10),
   'Date: {v.HAM_DATE}', chr(13), chr(10), 'Message-ID: {v.HAM_MESSAGE_ID}', chr(13), chr(10),
   chr(13), chr(10), text) AS raw_bytes, 0 AS label
-FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 10 >= 3 ORDER BY doc_id LIMIT 5000"""
+FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 10 >= 3"""
 ORACLES["ranked_domains"] = """
 SELECT concat('https://', regexp_extract(url, '^https?://([^/?#]*)', 1), '/') AS url_text,
   0 AS label
-FROM pages WHERE page_id % 11 <> 0 AND page_id + 1 <= 50000"""
-ORACLES["phishing_urls"] = """
-SELECT page_id, url AS url_text, 1 AS label FROM pages
-WHERE page_id % 13 <> 0 AND page_id < 50000"""
+FROM pages WHERE page_id % 11 <> 0"""
+ORACLES["phishing_urls"] = "SELECT url AS url_text, 1 AS label FROM pages WHERE page_id % 13 <> 0"
+# The caps count rows (or ranks) before null URLs go; ham is capped by its key.
+ORACLES["capped_corpora"] = """
+SELECT 'urls' AS kind, url AS text FROM pages WHERE page_id < 100 AND page_id % 13 <> 0
+UNION ALL
+SELECT 'domains', concat('https://', regexp_extract(url, '^https?://([^/?#]*)', 1), '/')
+FROM pages WHERE page_id < 100 AND page_id % 11 <> 0
+UNION ALL
+(SELECT 'ham', text FROM documents WHERE doc_id % 10 >= 3 ORDER BY doc_id LIMIT 100)"""
+_page_domain = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+ORACLES["csv_corpora"] = f"""
+SELECT 'phishing' AS kind, url AS text, 1 AS label, count(*) AS n FROM pages GROUP BY url
+UNION ALL
+SELECT 'ranked', concat('https://', {_page_domain}, '/'), 0, count(*) FROM pages GROUP BY 2
+UNION ALL
+SELECT 'labelled', text, CASE WHEN doc_id % 10 < 3 THEN 1 ELSE 0 END, count(*) FROM documents
+GROUP BY 2, 3"""
+ORACLES["split_corpora"] = """
+SELECT 'train' AS part, doc_id, lang FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'all', doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END FROM documents"""
+ORACLES["mail_corpus"] = f"""
+SELECT label, source, count(*) AS n, CAST(sum(copies) AS BIGINT) AS mails, max(number) AS most
+FROM (
+  SELECT 1 AS label, {q(v.SOURCE_MBOX)} AS source, doc_id AS mail, 1 AS copies, 1 AS number
+  FROM documents, (VALUES ('a'), ('b')) box WHERE doc_id % 4 <> 0
+  UNION ALL
+  SELECT 0, {q(v.SOURCE_HAM)}, min(doc_id), count(*), count(*) FROM documents
+  WHERE doc_id % 10 >= 3 GROUP BY text)
+GROUP BY label, source"""
+ORACLES["preprocess_mbox"] = preprocessed(
+    f"""SELECT CASE doc_id % 9 WHEN 7 THEN body ELSE concat({STRICT_BODY}, chr(10)) END AS raw_body,
+    {hdr('from')} AS sender, CAST(NULL AS INTEGER) AS label
+    FROM (SELECT * REPLACE (regexp_replace(body, '(^|\n)From ', '\\1>From ', 'g') AS body)
+          FROM ({HEADERS}))""", "sender AS mail").replace("sender, CAST(label", "sender, CAST(label")
+ORACLES["default_rows"] = """
+SELECT * FROM (VALUES ('blank', 0, 0, 0, 0), ('null', 0, 0, 0, 0), ('words', 2, 0, 0, 0))
+  t(kind, word_count, url_count, has_urls, uses_https)"""
 
 
 def url_corpus(sql: str, body: str, extra: str = "") -> str:
@@ -457,16 +543,30 @@ SELECT row_id, label, CAST(ntile(5) OVER (
 FROM ({_TEXTS})"""
 
 # --- evaluation ------------------------------------------------------------------------------
-_CELLS = f"""
+def cells(sql: str) -> str:
+    return f"""
 SELECT count(*) FILTER (label = 0 AND prediction = 0) AS tn,
   count(*) FILTER (label = 0 AND prediction = 1) AS fp,
   count(*) FILTER (label = 1 AND prediction = 0) AS fn,
-  count(*) FILTER (label = 1 AND prediction = 1) AS tp FROM ({SCORE_ORACLE})"""
+  count(*) FILTER (label = 1 AND prediction = 1) AS tp FROM ({sql})"""
+
+
+_CELLS = cells(SCORE_ORACLE)
 ORACLES["confusion"] = _CELLS
-_AUC = f"""
-(SELECT (sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END)
-   ::DOUBLE / count(*))
- FROM ({SCORE_ORACLE}) p, ({SCORE_ORACLE}) n WHERE p.label = 1 AND n.label = 0)"""
+
+
+def auc(sql: str) -> str:
+    """Mean rank of the positives among all scores, ties at their middle."""
+    return f"""
+(SELECT (sum(place) FILTER (label = 1) - count(*) FILTER (label = 1)
+    * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE)
+   / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0))
+ FROM (SELECT label, rank() OVER (ORDER BY score)
+     + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS place
+   FROM ({sql}) WHERE label IN (0, 1)))"""
+
+
+_AUC = auc(SCORE_ORACLE)
 
 
 def rate(part: str, whole: str) -> str:
@@ -474,7 +574,11 @@ def rate(part: str, whole: str) -> str:
 
 
 ORACLES["roc_auc"] = f"SELECT round({_AUC}, 6) AS roc_auc"
-ORACLES["metrics"] = f"""
+
+
+def twelve(sql: str) -> str:
+    """The twelve metrics of ``label, prediction, score`` rows."""
+    return f"""
 SELECT round({rate('tp + tn', '(tp + tn + fp + fn)')}, 6) AS accuracy,
   round({rate('tp', '(tp + fp)')}, 6) AS precision, round({rate('tp', '(tp + fn)')}, 6) AS recall,
   round({rate('2 * tp', '(2 * tp + fp + fn)')}, 6) AS f1_score,
@@ -482,8 +586,12 @@ SELECT round({rate('tp + tn', '(tp + tn + fp + fn)')}, 6) AS accuracy,
   round({rate('fp', '(fp + tn)')}, 6) AS false_positive_rate,
   round({rate('fn', '(fn + tp)')}, 6) AS false_negative_rate,
   round({rate('tn', '(tn + fp)')}, 6) AS true_negative_rate,
-  round({_AUC}, 6) AS roc_auc
-FROM ({_CELLS})"""
+  round({auc(sql)}, 6) AS roc_auc
+FROM ({cells(sql)})"""
+
+
+ORACLES["metrics"] = twelve(SCORE_ORACLE)
+ORACLES["stored_metrics"] = ORACLES["metrics"]
 
 
 def curve(sql: str, digits: int) -> str:
@@ -538,11 +646,14 @@ SELECT msg_id, round(p0, 6) AS p0, round(p1, 6) AS p1,
 ORACLES["fusion"] = f"""
 SELECT msg_id, round(p, 6) AS p1, round(1 - p, 6) AS p0, round(t, 6) AS p_text,
   round(u, 6) AS p_url, round(h, 6) AS p_header,
-  CASE WHEN p > 0.5 THEN 'Phishing' ELSE 'Legitimate' END AS verdict
-FROM (SELECT t.msg_id, t.p1 AS t, u.p1 AS u, h.p1 AS h,
-    (2 * t.p1 + u.p1 + coalesce(h.p1, 0)) / (3 + CASE WHEN h.p1 IS NULL THEN 0 ELSE 1 END) AS p
-  FROM ({scores(37)}) t JOIN ({scores(53)}) u USING (msg_id)
-  LEFT JOIN ({scores(71, 'doc_id % 5 <> 0')}) h USING (msg_id))"""
+  CASE WHEN p > 0.5 THEN 'Phishing' WHEN p IS NOT NULL THEN 'Legitimate' END AS verdict
+FROM (SELECT *, (2 * coalesce(t, 0) + coalesce(u, 0) + coalesce(h, 0)) / nullif(
+    CASE WHEN t IS NULL THEN 0 ELSE 2 END + CASE WHEN u IS NULL THEN 0 ELSE 1 END
+    + CASE WHEN h IS NULL THEN 0 ELSE 1 END, 0) AS p
+  FROM (SELECT t.msg_id, CASE WHEN t.msg_id % 35 <> 0 THEN t.p1 END AS t,
+      CASE WHEN t.msg_id % 7 <> 0 THEN u.p1 END AS u, h.p1 AS h
+    FROM ({scores(37)}) t JOIN ({scores(53)}) u USING (msg_id)
+    LEFT JOIN ({scores(71, 'doc_id % 5 <> 0')}) h USING (msg_id)))"""
 
 
 def percent(p: str) -> str:
@@ -603,3 +714,47 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text_length ELSE 0 END AS text_leng
   0 AS url_count, word_count
 FROM (SELECT doc_id, {listed({n: DOC_TEXT[n] for n in ('text_length', 'word_count')})}
       FROM ({with_lower('SELECT * FROM documents', 'text')}))"""
+
+
+# --- stored tables and models ----------------------------------------------------------------
+ORACLES["stored_batch"] = ORACLES["batch_table"]
+ORACLES["stored_explanations"] = f"""
+SELECT concat(doc_id, '.eml') AS file, source AS subject,
+  CASE WHEN p1 > 0.5 THEN 'PHISHING' ELSE 'SAFE' END AS prediction,
+  round(greatest(p0, p1), 6) AS confidence, round(p0, 6) AS p_safe, round(p1, 6) AS p_phishing,
+  lang AS token, round(p1, 6) AS weight
+FROM ({scores()}) s JOIN documents d ON d.doc_id = s.msg_id"""
+
+
+def held_out(rows: str) -> str:
+    """The 30 % of ``id, label, rule`` rows that the split holds out, in md5 order per class."""
+    return f"""
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', id))) AS rn
+           FROM ({rows})),
+c AS (SELECT label, count(*) AS n FROM x GROUP BY label),
+t AS (SELECT label, ceil(sum(n) OVER () * 0.3::DOUBLE) AS test,
+  n * ceil(sum(n) OVER () * 0.3::DOUBLE) / sum(n) OVER () AS exact FROM c),
+r AS (SELECT label, floor(exact) + CASE WHEN row_number() OVER (
+    ORDER BY exact - floor(exact) DESC, label) <= test - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS size
+  FROM t)
+SELECT id, x.label, rule FROM x JOIN r ON r.label = x.label WHERE rn <= size"""
+
+
+# What the headers show: a result of the sender check other than the ones legitimate mail has.
+_MAIL_RULE = """SELECT doc_id AS id, CAST(doc_id % 10 < 3 AS INTEGER) AS label,
+  CASE WHEN contains(header_text, 'X-Mailer: m') THEN
+    CASE WHEN contains(header_text, 'softfail') OR contains(header_text, 'SPF: fail') THEN 1 ELSE 0 END
+  WHEN contains(header_text, 'SPF: Pass') THEN 1 ELSE 0 END AS rule FROM ({mail})"""
+_HEADER_HELD = held_out(_MAIL_RULE.format(mail=MAIL_ORACLE))
+ORACLES["header_forest_verdicts"] = (
+    f"SELECT id AS msg_id, label, rule AS prediction FROM ({_HEADER_HELD})")
+ORACLES["header_forest_metrics"] = twelve(
+    f"SELECT label, rule AS prediction, rule AS score FROM ({_HEADER_HELD})")
+# What the URLs show: an address of numbers, a user name, a risky ending or a look-alike.
+_URL_RULE = """SELECT doc_id AS id, CAST(doc_id % 7 IN (0, 1, 5, 6) AS INTEGER) AS label,
+  CAST(contains(body, '.tk/') OR contains(body, '//192.168.') OR contains(body, 'u:p@')
+    OR contains(body, 'goggle.com') AS INTEGER) AS rule FROM ({mail})"""
+_URL_HELD = held_out(_URL_RULE.format(mail=MAIL_ORACLE))
+ORACLES["url_forest_verdicts"] = (
+    f"SELECT id AS url_id, label, rule AS prediction FROM ({_URL_HELD})")
+ORACLES["stored_agent"] = f"SELECT count(*) AS n, count(*) AS equal FROM ({_URL_HELD})"

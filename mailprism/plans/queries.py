@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailprism.functions import bodies as B
@@ -26,13 +25,18 @@ from mailprism.plans.agents import classify_batch
 from mailprism.plans.derived_mail import (
     derived_mail, derived_raw_mail, derived_scores, documents, table,
 )
+from mailprism.sources import corpora
 from mailprism.sources.corpora import (
-    body_urls, build_url_corpus, mail_bodies, preprocess_mail,
+    body_urls, build_mail_corpus, build_url_corpus, mail_bodies, preprocess_mail,
 )
-from mailprism.session import checkpoint_dir, spread
+from mailprism.session import shared_folder, stored
 from mailprism.sources.mail_files import read_mbox
+from mailprism.sinks import write_batch_csv, write_explanations, write_metrics
 from mailprism.streaming.mail_stream import write_features
-from mailprism.sources.tables import domains_to_urls, first_rows, rebuild_ham
+from mailprism.sources.tables import (
+    domains_to_urls, first_rows, read_all_splits, read_labelled_csv, read_phishing_urls,
+    read_ranked_domains, read_split, rebuild_ham,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +47,10 @@ def query(build: Query) -> Query:
     return build
 
 
+def _shared(spark: SparkSession) -> str:
+    return shared_folder(spark, "query")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_messages(derived_raw_mail(spark, sf_dir))
 
@@ -79,7 +87,7 @@ def text_features(spark, sf_dir):
 @query
 def streamed_text_features(spark, sf_dir):
     """The text features on a stream of document files, through a parquet sink."""
-    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "stream")
     stream = (
         spark.readStream.schema("doc_id bigint, text string")
         .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
@@ -127,7 +135,7 @@ def page_url_features(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("url_id"), F.col("url").alias("url_text")
     )
-    return url_corpus_features(urls).drop("potential_typosquatting")
+    return url_corpus_features(urls)
 
 
 @query
@@ -140,14 +148,12 @@ def text_url_features_55(spark, sf_dir):
     corpus = derived_mail(spark, sf_dir).select(
         F.col("doc_id").alias("row_id"), F.col("body").alias("text"), "label"
     )
-    return text_url_features(corpus).drop("potential_typosquatting")
+    return text_url_features(corpus)
 
 
 @query
 def flat_features_92(spark, sf_dir):
-    return flat_features(_messages(spark, sf_dir), ("msg_id", "label")).drop(
-        "potential_typosquatting"
-    )
+    return flat_features(_messages(spark, sf_dir), ("msg_id", "label"))
 
 
 @query
@@ -200,7 +206,7 @@ def ham_envelope(spark, sf_dir):
             "label"
         ),
     )
-    return rebuild_ham(ham, 5000, "doc_id").withColumn(
+    return rebuild_ham(ham, key="doc_id").withColumn(
         "raw_bytes", F.decode("raw_bytes", "UTF-8")
     )
 
@@ -212,20 +218,115 @@ def ranked_domains(spark, sf_dir):
         F.when(F.col("page_id") % 11 != 0, F.regexp_extract("url", "^https?://([^/?#]*)", 1))
         .alias("domain"),
     )
-    return domains_to_urls(ranked, 50000)
+    return domains_to_urls(ranked)
 
 
 @query
 def phishing_urls(spark, sf_dir):
-    """URL list: the cap counts rows, then null URLs go."""
-    rows = table(spark, sf_dir, "pages").select(
-        "page_id", F.when(F.col("page_id") % 13 != 0, F.col("url")).alias("url_text")
+    """URL list written as CSV, some URLs missing, and read back whole."""
+    path = f"{_shared(spark)}/urls"
+    table(spark, sf_dir, "pages").select(
+        F.when(F.col("page_id") % 13 != 0, F.col("url")).alias("url"), "page_id"
+    ).write.option("header", "true").csv(path)
+    return read_phishing_urls(spark, path)
+
+
+@query
+def capped_corpora(spark, sf_dir):
+    """The row caps, given by the caller: a hundred URLs, ranks and ham mails."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", (F.col("page_id") + 1).cast("int").alias("rank"),
+        F.when(F.col("page_id") % 13 != 0, F.col("url")).alias("url_text"),
+        F.when(F.col("page_id") % 11 != 0, F.regexp_extract("url", "^https?://([^/?#]*)", 1))
+        .alias("domain"),
     )
-    return first_rows(rows, 50000, "page_id").dropna().select(
-        "page_id", "url_text", F.lit(1).alias("label")
+    urls = first_rows(pages.select("page_id", "url_text"), 100, "page_id").dropna()
+    ham = _texts(spark, sf_dir).select("row_id", "text", "label")
+    capped = rebuild_ham(ham, 100, "row_id").withColumn("raw", F.decode("raw_bytes", "UTF-8"))
+    return (
+        urls.select(F.lit("urls").alias("kind"), F.col("url_text").alias("text"))
+        .unionByName(domains_to_urls(pages, 100).select(
+            F.lit("domains").alias("kind"), F.col("url_text").alias("text")))
+        .unionByName(capped.select(
+            F.lit("ham").alias("kind"), F.expr("substr(raw, instr(raw, '\\r\\n\\r\\n') + 4)").alias("text")))
+    )
+
+
+@query
+def csv_corpora(spark, sf_dir):
+    """The three CSV corpora written to the shared folder and read back by their readers."""
+    out = _shared(spark)
+    pages = table(spark, sf_dir, "pages")
+    pages.select("page_id", "url").write.option("header", "true").csv(f"{out}/phishing")
+    pages.select(
+        (F.col("page_id") + 1).alias("rank"), F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    ).write.csv(f"{out}/ranked")
+    _texts(spark, sf_dir).select("text", "label").write.option("header", "true").option(
+        "escape", '"'
+    ).csv(f"{out}/labelled")
+    found = {
+        "phishing": read_phishing_urls(spark, f"{out}/phishing"),
+        "ranked": read_ranked_domains(spark, f"{out}/ranked"),
+        "labelled": read_labelled_csv(spark, f"{out}/labelled").withColumnRenamed("text", "url_text"),
+    }
+    rows = [f.select(F.lit(k).alias("kind"), F.col("url_text").alias("text"), "label") for k, f in found.items()]
+    return harmonise.union_corpora(*rows).groupBy("kind", "text", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def split_corpora(spark, sf_dir):
+    """A corpus of two splits: the train split alone, and all splits, one without a column."""
+    out = _shared(spark)
+    docs = table(spark, sf_dir, "documents")
+    docs.filter("doc_id % 5 <> 0").select("doc_id", "lang").write.parquet(f"{out}/train")
+    docs.filter("doc_id % 5 = 0").select("doc_id").write.parquet(f"{out}/test")
+    splits = {"test": f"{out}/test", "train": f"{out}/train"}
+    return read_split(spark, splits).select(F.lit("train").alias("part"), "doc_id", "lang").unionByName(
+        read_all_splits(spark, splits).select(F.lit("all").alias("part"), "doc_id", "lang")
     )
 
 
+@query
+def mail_corpus(spark, sf_dir):
+    """Two equal mbox files and the ham of the documents as one corpus, counted by source.
+
+    Copies get running numbers, so ids are unique and the largest number is the count of copies.
+    """
+    out = _shared(spark)
+    for name in ("a", "b"):
+        _write_mbox(spark, sf_dir, f"{out}/{name}")
+    ham = _texts(spark, sf_dir).select("text", "label")
+    corpus = build_mail_corpus(spark, phishing_mboxes=[f"{out}/a", f"{out}/b"], ham=ham)
+    parts = F.split("msg_id", "-")
+    mails = corpus.groupBy("label", "source", parts[0].alias("hash")).agg(
+        F.countDistinct("msg_id").alias("ids"), F.max(parts[1].cast("long")).alias("number")
+    )
+    return mails.groupBy("label", "source").agg(
+        F.count("*").alias("n"), F.sum("ids").alias("mails"), F.max("number").alias("most")
+    )
+
+
+@query
+def preprocess_mbox(spark, sf_dir):
+    """Cleaned texts of an mbox file that begins with lines of no message."""
+    box = f"{_shared(spark)}/box"
+    _write_mbox(spark, sf_dir, box)
+    return corpora.preprocess_mbox(spark, box).drop("msg_id").withColumn("mail", F.col("sender"))
+
+
+@query
+def default_rows(spark, sf_dir):
+    """Features of texts that are null, blank or have no URL, one row per kind."""
+    kinds = F.array(F.lit("null"), F.lit("blank"), F.lit("words"))
+    kind = F.get(kinds, (F.col("doc_id") % 3).cast("int"))
+    texts = table(spark, sf_dir, "documents").select(
+        kind.alias("source"), F.when(kind == "blank", " \n").when(kind == "words", "two words").alias("text")
+    )
+    return text_url_features(texts, "text", ("source",)).select(
+        F.col("source").alias("kind"), "word_count", "url_count", "has_urls", "uses_https"
+    ).distinct()
+
+
 @query
 def mail_url_corpus(spark, sf_dir):
     """URLs of all mail bodies and of the page list, by URL, label and source."""
@@ -247,17 +348,26 @@ def parsed_url_corpus(spark, sf_dir):
     ).agg(F.count("*").alias("n"))
 
 
-@query
-def mbox_messages(spark, sf_dir):
-    """The derived mail written as mbox files to the shared folder and read back from 2022 on."""
-    box = f"{checkpoint_dir(spark)}/mbox-{uuid.uuid4().hex}"
-    derived_raw_mail(spark, sf_dir).select(
+def _write_mbox(spark, sf_dir, path: str) -> None:
+    """The derived mail as mbox files, each with a line of no message in front."""
+    mails = derived_raw_mail(spark, sf_dir).select(
         F.concat(
             F.lit("From sender@example.com Mon Jan  1 00:00:00 2024\n"),
             # as mbox writers do, lest a body line be taken for a separator
             F.regexp_replace(F.decode("raw_bytes", "UTF-8"), "\nFrom ", "\n>From "),
-        )
-    ).write.text(box)
+        ).alias("value"), F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"),
+    )
+    first = F.row_number().over(Window.partitionBy("file").orderBy("place")) == 1
+    mails.select(
+        F.when(first, F.concat(F.lit("a line of no message\n"), "value")).otherwise(F.col("value"))
+    ).write.text(path)
+
+
+@query
+def mbox_messages(spark, sf_dir):
+    """The derived mail written as mbox files to the shared folder and read back from 2022 on."""
+    box = f"{_shared(spark)}/mbox"
+    _write_mbox(spark, sf_dir, box)
     messages = parse_messages(read_mbox(spark, box, 1, after_year=2022))
     headers = F.col("headers")
     return messages.select(
@@ -310,7 +420,7 @@ def normalised_corpus(spark, sf_dir):
 
 @query
 def json_flatten(spark, sf_dir):
-    events = spread(table(spark, sf_dir, "events").select("event_id", "props"))
+    events = table(spark, sf_dir, "events").select("event_id", "props")
     return harmonise.with_flat_mail(events, "props").drop("props")
 
 
@@ -494,10 +604,10 @@ def classification_report(spark, sf_dir):
 
 
 # --- scoring ---------------------------------------------------------------------------------
-def _scores(spark, sf_dir, factor: int = 37) -> DataFrame:
+def _scores(spark, sf_dir, factor: int = 37, *keep) -> DataFrame:
     p1 = (F.col("doc_id") * factor % 101).cast("double") / 101
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("msg_id"), (1 - p1).alias("p0"), p1.alias("p1")
+        F.col("doc_id").alias("msg_id"), (1 - p1).alias("p0"), p1.alias("p1"), *keep
     )
 
 
@@ -518,9 +628,15 @@ def threshold_verdicts(spark, sf_dir):
 
 @query
 def fusion(spark, sf_dir):
+    """Mails without a header row, with a null URL score, and without any score but null."""
+    def unless(condition, scores):
+        return scores.withColumn("p1", F.when(~condition, F.col("p1")))
+
+    mail = F.col("msg_id")
     agents = {
-        "text": _scores(spark, sf_dir, 37), "url": _scores(spark, sf_dir, 53),
-        "header": _scores(spark, sf_dir, 71).filter(F.col("msg_id") % 5 != 0),
+        "text": unless(mail % 35 == 0, _scores(spark, sf_dir, 37)),
+        "url": unless(mail % 7 == 0, _scores(spark, sf_dir, 53)),
+        "header": _scores(spark, sf_dir, 71).filter(mail % 5 != 0),
     }
     return _round(scoring.fuse(agents, {"text": 2.0, "url": 1.0, "header": 1.0}))
 
@@ -528,12 +644,7 @@ def fusion(spark, sf_dir):
 @query
 def batch_table(spark, sf_dir):
     """The eight-column result table for given scores and tokens."""
-    scored = _scores(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("msg_id"), "lang", "source", F.col("text").alias("body")
-        ),
-        "msg_id",
-    )
+    scored = _scores(spark, sf_dir, 37, "lang", "source", F.col("text").alias("body"))
     weight = F.col("p1") - F.lit(0.5)
     tops = F.array(
         F.struct(F.col("lang").alias("token"), weight.alias("weight")),
@@ -570,7 +681,7 @@ def truncated_tokens(spark, sf_dir):
     return documents(spark, sf_dir).select(
         "doc_id",
         F.size(tokens(F.col("text"), None)).alias("n_words"),
-        F.array_join(tokens(F.col("text")), " ").alias("read"),
+        F.array_join(tokens(F.col("text"), v.TRAIN_TOKENS), " ").alias("read"),
     )
 
 
@@ -594,61 +705,115 @@ def aligned_features(spark, sf_dir):
     return harmonise.align_features(feats, ("text_length", "url_count", "word_count"), ("doc_id",))
 
 
-# --- models (no SQL twin) --------------------------------------------------------------------
+# --- models ----------------------------------------------------------------------------------
 def _phishing_line(key: str):
     """1 where the derived mail carries one of the four phishing lines."""
     return F.when(F.col(key) % 8 < 4, 1).otherwise(0).alias("label")
 
 
 def _model_mail(spark, sf_dir) -> DataFrame:
-    """``row_id, text, label``: the closing line leads, so that it is within the model's tokens."""
+    """``row_id, text, label``: whole bodies as they are."""
     return derived_mail(spark, sf_dir).select(
-        F.col("doc_id").alias("row_id"),
-        F.concat(F.substring_index("body", "\n", -1), F.lit("\n"), "body").alias("text"),
-        _phishing_line("doc_id"),
+        F.col("doc_id").alias("row_id"), F.col("body").alias("text"), _phishing_line("doc_id"),
     )
 
 
 def _split_scores(agent, feats: DataFrame, key: str) -> tuple:
-    feats = feats.persist()  # read by the split, the training and the evaluation
-    parts = sampling.stratified_split(feats, 0.3, "label", key)
+    """The trained agent and the held-out rows; the features are computed once."""
+    parts = sampling.stratified_split(stored(feats, "features"), 0.3, "label", key)
     train, test = parts.filter("is_test = 0"), parts.filter("is_test = 1")
     return agent.train(train, "label", key, validate=False), test
 
 
+def _header_forest(spark, sf_dir) -> tuple:
+    """The label a derived mail carries shows in its SPF result and its X-Mailer."""
+    feats = header_features(_messages(spark, sf_dir), ("msg_id", "label"))
+    return _split_scores(header_agent(), feats, "msg_id")
+
+
 @query
 def header_forest_metrics(spark, sf_dir):
-    feats = header_features(_messages(spark, sf_dir), ("msg_id",)).withColumn(
-        "label", _phishing_line("msg_id")
-    )
-    agent, test = _split_scores(header_agent(), feats, "msg_id")
-    return agent.evaluate(test)
+    agent, test = _header_forest(spark, sf_dir)
+    return _round(agent.evaluate(test))
 
 
 @query
-def url_forest_scores(spark, sf_dir):
-    """Verdicts of a URL forest on the held-out URLs of all mail."""
-    pages = table(spark, sf_dir, "pages").select(
-        F.col("url").alias("url_text"), F.lit(0).alias("label")
-    )
-    urls = body_urls(derived_mail(spark, sf_dir), "body").select(
-        "url_text", F.lit(1).alias("label")
-    ).unionByName(pages).groupBy("url_text").agg(F.min("label").alias("label")).withColumn(
-        "url_id", F.sha2("url_text", 256)
+def header_forest_verdicts(spark, sf_dir):
+    """Verdict per held-out mail."""
+    agent, test = _header_forest(spark, sf_dir)
+    return agent.predict(test, ("msg_id", "label")).select("msg_id", "label", "prediction")
+
+
+def _mail_urls(spark, sf_dir) -> DataFrame:
+    """URL features of each mail; four of the seven closing URLs are phishing."""
+    return url_corpus_features(
+        derived_mail(spark, sf_dir).select(
+            F.col("doc_id").alias("url_id"), F.col("body").alias("url_text"),
+            (F.col("doc_id") % 7).isin(0, 1, 5, 6).cast("int").alias("label"),
+        )
     )
-    agent, test = _split_scores(url_agent(), url_corpus_features(urls, ("url_id", "label")), "url_id")
-    return scoring.verdicts(agent.predict(test, ("url_id", "label")))
+
+
+@query
+def url_forest_verdicts(spark, sf_dir):
+    """Verdict of a URL forest per held-out mail, by all URLs of the mail."""
+    agent, test = _split_scores(url_agent(), _mail_urls(spark, sf_dir), "url_id")
+    return agent.predict(test, ("url_id", "label")).select("url_id", "label", "prediction")
+
+
+@query
+def stored_agent(spark, sf_dir):
+    """A forest saved to the shared folder and loaded again: equal scores for every held-out mail."""
+    agent, test = _split_scores(url_agent(), _mail_urls(spark, sf_dir), "url_id")
+    path = _shared(spark)
+    agent.save(path)
+    again = type(agent).load(spark, path).predict(test, ("url_id",)).select("url_id", F.col("p1").alias("again"))
+    both = agent.predict(test, ("url_id",)).join(again, "url_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p1") == F.col("again")).alias("equal"))
+
+
+@query
+def stored_metrics(spark, sf_dir):
+    """The twelve metrics as the JSON object a run leaves behind."""
+    path = _shared(spark)
+    write_metrics(evaluation.metrics(derived_scores(spark, sf_dir)), path)
+    names = evaluation.metrics(derived_scores(spark, sf_dir)).columns
+    return _round(spark.read.json(path).select(*names))
+
+
+@query
+def stored_batch(spark, sf_dir):
+    """The result table written as CSV and read back."""
+    path = _shared(spark)
+    rows = batch_table(spark, sf_dir)
+    write_batch_csv(rows, path)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').select(*rows.columns)
+
+
+@query
+def stored_explanations(spark, sf_dir):
+    """Explanations written as JSON lines and read back."""
+    path = _shared(spark)
+    tops = F.array(F.struct(F.col("lang").alias("token"), F.col("p1").alias("weight")))
+    explained = _scores(
+        spark, sf_dir, 37, F.concat(F.col("doc_id"), F.lit(".eml")).alias("file"),
+        F.col("source").alias("subject"), "lang",
+    ).withColumn("top_features", tops)
+    write_explanations(explained, path)
+    return _round(spark.read.json(path).select(
+        "file", "subject", "prediction", "confidence", "p_safe", "p_phishing",
+        F.col("top_features")[0]["token"].alias("token"), F.col("top_features")[0]["weight"].alias("weight"),
+    ))
 
 
 @query
 def forest_importances(spark, sf_dir):
-    feats = text_url_features(_model_mail(spark, sf_dir))
-    agent, _ = _split_scores(text_url_agent(), feats, "row_id")
+    agent, _ = _split_scores(text_url_agent(), text_url_features(_model_mail(spark, sf_dir)), "row_id")
     return agent.importances(spark, 15)
 
 
 def _text_agent(spark, sf_dir) -> tuple[TextAgent, DataFrame]:
-    parts = sampling.stratified_split(_model_mail(spark, sf_dir).persist(), 0.2)
+    parts = stored(sampling.stratified_split(_model_mail(spark, sf_dir), 0.2), "texts")
     return TextAgent().train(parts.filter("is_test = 0")), parts.filter("is_test = 1")
 
 

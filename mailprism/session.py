@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,37 +28,31 @@ def local_session(cores: str = "8", app: str = "mailprism", **conf: str) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a new one if unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session (one machine, as in tests) gets a folder of its own; a
+    cluster is told to name one, as its machines share no other place.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not found and context.getCheckpointDir():
+        found = context.getCheckpointDir().rsplit("/", 1)[0]
     if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="run-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small to be split by size.
-
-    A file below one scan split per core would leave cores idle in the row-wise text work. Beyond
-    that size, or 1 GiB, the scan splits by itself and nothing is shuffled.
-    """
-    spark = df.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < min(cores * split, 1 << 30) else df
-
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder that all machines share."""
+    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
-def packed(df: DataFrame) -> DataFrame:
-    """Fewer, fuller partitions for a scan of many small files; nothing is shuffled.
 
-    The scan charges every file an opening cost of megabytes, so thousands of small files end up
-    in as many tasks of a few files each.
-    """
-    spark = df.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    target = max(spark.sparkContext.defaultParallelism, -(-size // split))
-    planned = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.coalesce(target) if planned > target else df
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder, for all that reads it again."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

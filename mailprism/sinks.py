@@ -39,4 +39,8 @@ def write_explanations(explained: DataFrame, path: str) -> None:
 
 
 def write_batch_csv(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """CSV with quotes doubled; white space at the ends of a value stays."""
+    writer = results.write.mode("overwrite").option("header", "true").option("escape", '"')
+    for end in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{end}WhiteSpace", "false")
+    writer.csv(path)

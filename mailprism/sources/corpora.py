@@ -13,7 +13,7 @@ from mailprism.functions.text import with_preprocessed
 from mailprism.functions.urls import extract_urls
 from mailprism.operators.harmonise import union_corpora
 from mailprism.operators.mime import parse_messages
-from mailprism.sources.mail_files import read_eml_tree, read_mbox
+from mailprism.sources.mail_files import number_copies, read_eml_tree, read_mbox
 from mailprism.sources.tables import read_phishing_urls, read_ranked_domains, rebuild_ham
 
 MAIL_COLUMNS = "msg_id string, raw_bytes binary, label int, source string"
@@ -25,7 +25,7 @@ def build_mail_corpus(
     phishing_dirs=(),
     phishing_mboxes=(),
     ham: DataFrame | None = None,
-    ham_max: int = 5000,
+    ham_max: int | None = None,
     ham_key: str | None = None,
     mbox_after_year: int | None = 2022,
 ) -> DataFrame:
@@ -41,13 +41,14 @@ def build_mail_corpus(
     if ham is not None:
         rebuilt = rebuild_ham(ham, ham_max, ham_key)
         # the rebuilt mail shares one Message-ID, and equal texts are separate mails
-        number = F.col(ham_key) if ham_key else F.monotonically_increasing_id()
-        frames.append(
-            rebuilt.withColumn(
-                "msg_id",
-                F.concat_ws("-", F.sha2("raw_bytes", 256), number.cast("string")),
-            ).withColumn("source", F.lit(v.SOURCE_HAM))
-        )
+        if ham_key:
+            number = F.col(ham_key).cast("string")
+            rebuilt = rebuilt.withColumn(
+                "msg_id", F.concat_ws("-", F.sha2("raw_bytes", 256), number)
+            )
+        else:
+            rebuilt = number_copies(rebuilt, "raw_bytes")
+        frames.append(rebuilt.withColumn("source", F.lit(v.SOURCE_HAM)))
     if not frames:
         return spark.createDataFrame([], MAIL_COLUMNS)
     columns = ["msg_id", "raw_bytes", "label", "source"]
@@ -79,7 +80,7 @@ def build_url_corpus(
     messages: DataFrame | None = None,
     phishing_csv: str | None = None,
     domains_csv: str | None = None,
-    domains_limit: int = 50000,
+    domains_limit: int | None = None,
 ) -> DataFrame:
     """URLs of all mail bodies and lists: ``url_text, label, source``. No duplicates are removed."""
     frames = []

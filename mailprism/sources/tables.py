@@ -38,8 +38,13 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("text", F.col("label").cast("int").alias("label"))
 
 
-def first_rows(df: DataFrame, n: int, key: str | None = None) -> DataFrame:
-    """The first ``n`` rows by ``key``, or in reading order without one (top-n, no full sort)."""
+def first_rows(df: DataFrame, n: int | None, key: str | None = None) -> DataFrame:
+    """The first ``n`` rows by ``key``, or in reading order without one (top-n, no full sort).
+
+    Without ``n`` all rows stay. The cap is meant for samples: a task hands on ``n`` rows at most.
+    """
+    if n is None:
+        return df
     if key is not None:
         return df.orderBy(key).limit(n)
     return (
@@ -53,33 +58,41 @@ def _typed_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_phishing_urls(spark: SparkSession, path: str, max_urls: int = 50000) -> DataFrame:
-    """Column ``url`` of a CSV; the cap counts rows before null URLs are dropped."""
+def read_phishing_urls(
+    spark: SparkSession, path: str, max_urls: int | None = None
+) -> DataFrame:
+    """Column ``url`` of a CSV; a cap counts rows before null URLs are dropped."""
     if not path_exists(spark, path):
         return _typed_empty(spark, path, "url_text string, label int")
     rows = spark.read.csv(path, header=True, escape='"').select(F.col("url").alias("url_text"))
     return first_rows(rows, max_urls).dropna().withColumn("label", F.lit(1))
 
 
-def domains_to_urls(ranked: DataFrame, limit: int = 50000) -> DataFrame:
-    """``(rank, domain)`` to legitimate URLs for the best ``limit`` ranks."""
-    return ranked.filter((F.col("rank") <= limit) & F.col("domain").isNotNull()).select(
+def domains_to_urls(ranked: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(rank, domain)`` to legitimate URLs, of the best ``limit`` ranks if one is given."""
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
+    return ranked.filter(F.col("domain").isNotNull()).select(
         F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url_text"),
         F.lit(0).alias("label"),
     )
 
 
-def read_ranked_domains(spark: SparkSession, path: str, limit: int = 50000) -> DataFrame:
+def read_ranked_domains(
+    spark: SparkSession, path: str, limit: int | None = None
+) -> DataFrame:
     """Headerless ``rank,domain`` CSV as legitimate URLs."""
     if not path_exists(spark, path):
         return _typed_empty(spark, path, "url_text string, label int")
     return domains_to_urls(spark.read.schema("rank INT, domain STRING").csv(path), limit)
 
 
-def rebuild_ham(df: DataFrame, max_samples: int = 5000, key: str | None = None) -> DataFrame:
+def rebuild_ham(
+    df: DataFrame, max_samples: int | None = None, key: str | None = None
+) -> DataFrame:
     """Ham rows (``text, subject, sender, label``) as raw mail in a minimal envelope.
 
-    ``key`` makes the cap repeatable; a null label counts as spam.
+    ``key`` makes a cap repeatable; a null label counts as spam.
     """
     have = set(df.columns)
 

@@ -104,15 +104,57 @@ def test_sampling_does_not_depend_on_partitioning(spark):
     assert 0.25 < stateless < 0.35
 
 
-def test_test_sizes_use_largest_remainder():
-    assert sampling.test_sizes({0: 7, 1: 3}, 0.3) == {0: 2, 1: 1}
-    assert sampling.test_sizes({0: 5, 1: 5, 2: 1}, 0.3) == {0: 2, 1: 2, 2: 0}
-
-
-def test_too_many_classes(spark):
-    df = spark.range(100).select(F.col("id").alias("row_id"), F.col("id").alias("label"))
-    with pytest.raises(ValueError, match="classes"):
-        sampling.stratified_split(df)
+def test_test_sizes_use_largest_remainder(spark):
+    def sizes(counts: dict) -> dict:
+        frame = spark.createDataFrame(list(counts.items()), "label int, n long")
+        return {r["label"]: r["rank"] for r in sampling.test_sizes(frame, 0.3).collect()}
+
+    assert sizes({0: 7, 1: 3}) == {0: 2, 1: 1}
+    assert sizes({0: 5, 1: 5, 2: 1}) == {0: 2, 1: 2, 2: 0}
+
+
+def test_split_of_many_classes(spark):
+    """There is no limit on classes, and nothing runs while the plan is built."""
+    rows = spark.range(3000).selectExpr("id AS row_id", "CAST(id % 40 AS INT) AS label")
+    found = sampling.stratified_split(rows, 0.3).groupBy("label").agg({"is_test": "sum"}).collect()
+    assert len(found) == 40 and all(r[1] in (22, 23) for r in found)
+    folds = sampling.stratified_folds(rows, 5).groupBy("label", "fold").count().collect()
+    assert len(folds) == 200 and {r["count"] for r in folds} == {15}
+
+
+def test_json_mail_as_python_prints_it(spark):
+    raws = [
+        ('{"other": true, "x": false}', "\nother: True x: False"),
+        ("{'subject': 'S', 'body': 'b'}", "{'subject': 'S', 'body': 'b'}"),
+        ('{"a": 1} x}', '{"a": 1} x}'),
+        ('{"subject": "one", "subject": "two", "body": [1, {"k": null}]}', "Subject: two\n\n[1, {'k': None}]"),
+        ('{"n": NaN, "big": 10000000000000000000000}', "\nn: nan big: 10000000000000000000000"),
+        ("[1, 2]", "[1, 2]"), ('{"from": 0, "body": "", "text": "t"}', "\nt"), (None, ""), ("{}", "\n"),
+    ]
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(raws)], "id int, raw string")
+    got = [r["text"] for r in harmonise.with_flat_mail(df, "raw").orderBy("id").collect()]
+    assert got == [text for _, text in raws]
+
+
+def test_dedup_keeps_one_of_equal_rows(spark):
+    rows = [("a", 1, 5), ("a", 1, 5), ("a", 0, 9), (None, 2, 2), (None, 1, 7), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "text string, priority int, row_id int")
+    got = sorted(map(tuple, harmonise.dedup_keep_first(df).collect()), key=str)
+    assert got == [("a", 0, 9), ("b", 1, 1), (None, 1, 7)]
+    assert len(harmonise.dedup_keep_first(df.filter("row_id = 5")).collect()) == 1
+
+
+def test_scores_that_are_missing(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, None), (0, 0.4)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert evaluation.roc_auc(df).first()[0] is None
+    assert evaluation.roc_auc(df.filter("score IS NOT NULL")).first()[0] == 1.0
+    assert evaluation.roc_curve(df).count() == 3
+    one = spark.createDataFrame([("m", 0.1, 0.9), ("n", None, None)], "msg_id string, p0 double, p1 double")
+    none = spark.createDataFrame([("m", None, None), ("n", None, None)], "msg_id string, p0 double, p1 double")
+    fused = {r["msg_id"]: r for r in scoring.fuse({"a": one, "b": none}).collect()}
+    assert (fused["m"]["p1"], fused["m"]["verdict"]) == (0.9, "Phishing")
+    assert fused["n"]["p1"] is None and fused["n"]["verdict"] is None
 
 
 def test_weights_with_one_class(spark):
