@@ -16,6 +16,8 @@ def local_session(cores: str = "8", app: str = "mailprism", **conf: str) -> Spar
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
+        # many small mail files share a task; large files split by size as ever
+        .config("spark.sql.files.openCostInBytes", str(64 << 10))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MAILPRISM_DRIVER_MEMORY", "12g"))
