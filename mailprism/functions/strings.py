@@ -65,9 +65,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def single_spaced(text: Column) -> Column:
-    """Every whitespace run as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{JAVA_SPACE}]+", " "))
+    """Every whitespace run as one blank, none at the ends. Most texts need the ASCII class alone."""
+    ascii_space = r"[\x09-\x0d\x1c-\x20]+"
+    return F.trim(
+        F.when(is_ascii(text), F.regexp_replace(text, ascii_space, " "))
+        .otherwise(F.regexp_replace(text, f"[{JAVA_SPACE}]+", " "))
+    )
 
 
 def not_blank(text: Column) -> Column:
@@ -92,8 +100,8 @@ ODD_DIGITS = _odd_digits()
 
 
 def count_digits(text: Column, size: Column) -> Column:
-    """Digits of any script; the odd ones are looked for only in texts that are not ASCII."""
-    odd = size - F.length(F.regexp_replace(text, f"[{ODD_DIGITS}]+", ""))
-    return F.length(F.regexp_replace(text, r"\P{Nd}+", "")) + F.when(
-        F.octet_length(text) > size, odd
-    ).otherwise(0)
+    """Digits of any script, in one pass: ASCII texts have ten, others may have odd ones too."""
+    return F.length(
+        F.when(F.octet_length(text) == size, F.regexp_replace(text, "[^0-9]+", ""))
+        .otherwise(F.regexp_replace(text, f"[^\\p{{Nd}}{ODD_DIGITS}]+", ""))
+    )
