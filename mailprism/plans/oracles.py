@@ -726,14 +726,14 @@ SELECT concat(doc_id, '.eml') AS file, source AS subject,
 FROM ({scores()}) s JOIN documents d ON d.doc_id = s.msg_id"""
 
 
-def held_out(rows: str) -> str:
-    """The 30 % of ``id, label, rule`` rows that the split holds out, in md5 order per class."""
+def held_out(rows: str, share: float = 0.3) -> str:
+    """The share of ``id, label, rule`` rows that the split holds out, in md5 order per class."""
     return f"""
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', id))) AS rn
            FROM ({rows})),
 c AS (SELECT label, count(*) AS n FROM x GROUP BY label),
-t AS (SELECT label, ceil(sum(n) OVER () * 0.3::DOUBLE) AS test,
-  n * ceil(sum(n) OVER () * 0.3::DOUBLE) / sum(n) OVER () AS exact FROM c),
+t AS (SELECT label, ceil(sum(n) OVER () * {share}::DOUBLE) AS test,
+  n * ceil(sum(n) OVER () * {share}::DOUBLE) / sum(n) OVER () AS exact FROM c),
 r AS (SELECT label, floor(exact) + CASE WHEN row_number() OVER (
     ORDER BY exact - floor(exact) DESC, label) <= test - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS size
   FROM t)
@@ -758,3 +758,12 @@ _URL_HELD = held_out(_URL_RULE.format(mail=MAIL_ORACLE))
 ORACLES["url_forest_verdicts"] = (
     f"SELECT id AS url_id, label, rule AS prediction FROM ({_URL_HELD})")
 ORACLES["stored_agent"] = f"SELECT count(*) AS n, count(*) AS equal FROM ({_URL_HELD})"
+# What the texts show: one of the four phishing lines.
+_TEXT_RULE = """SELECT doc_id AS id, CAST(doc_id % 8 < 4 AS INTEGER) AS label,
+  CAST(contains(body, 'URGENT! Verify your account') OR contains(body, 'you won a prize')
+    OR contains(body, 'update your billing details') OR contains(body, 'Unauthorized access')
+    AS INTEGER) AS rule FROM ({mail})"""
+_TEXT_HELD = held_out(_TEXT_RULE.format(mail=MAIL_ORACLE), 0.2)
+ORACLES["text_verdicts"] = f"SELECT id AS row_id, label, rule AS prediction FROM ({_TEXT_HELD})"
+ORACLES["text_agent_metrics"] = twelve(
+    f"SELECT label, rule AS prediction, rule AS score FROM ({_TEXT_HELD})")

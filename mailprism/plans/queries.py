@@ -823,10 +823,19 @@ def text_scores(spark, sf_dir):
     return scoring.mail_verdicts(agent.predict(test))
 
 
+@query
+def text_verdicts(spark, sf_dir):
+    """Verdict per held-out mail."""
+    agent, test = _text_agent(spark, sf_dir)
+    return agent.predict(test).select(
+        "row_id", "label", (F.col("p1") > F.col("p0")).cast("int").alias("prediction")
+    )
+
+
 @query
 def text_agent_metrics(spark, sf_dir):
     agent, test = _text_agent(spark, sf_dir)
-    return agent.evaluate(test)
+    return _round(agent.evaluate(test))
 
 
 @query
