@@ -35,13 +35,14 @@ def utf8(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
-def batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """An Arrow map that handles one record batch at a time."""
+def batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024):
+    """An Arrow map that handles ``rows`` rows at a time, whatever the session's batches are."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := work(batch.slice(at, rows))) is not None:
+                    yield out
 
     return run
 
