@@ -38,7 +38,8 @@ CONTEXTS = (
         r"""|credentials?|auth(?:entication|orization)?|pin)["']?(?:\x20*(?:[:=]|=>|->)\x20*|\x20+is\x20+)["']?([^\s"'<>,;]+)""",
         re.A | re.I,
     ),
-    re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@"),
+    # a scheme begins where a word does, so that a long word is read once
+    re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@]++:([^\s/@]++)@"),
     re.compile(r"(?<![A-Za-z])Bearer\x20+([A-Za-z0-9+/_.=-]+)"),
 )
 #: log10 of the guesses from which on a value counts as a secret.
