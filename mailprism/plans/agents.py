@@ -24,8 +24,10 @@ from mailprism.sources.corpora import build_url_corpus, mail_bodies
 def _train_forest(
     agent: ForestAgent, feats: DataFrame, key: str, test_size: float, validate: bool, tune: bool
 ) -> tuple[ForestAgent, DataFrame, DataFrame]:
-    """Features are written once; split, training and evaluation read that table."""
-    parts = sampling.stratified_split(stored(feats, "features"), test_size, "label", key)
+    """Features and split are written once; training and evaluation read that table."""
+    parts = stored(
+        sampling.stratified_split(stored(feats, "features"), test_size, "label", key), "parts"
+    )
     agent.train(parts.filter("is_test = 0"), "label", key, validate, tune)
     test = parts.filter("is_test = 1")
     return agent, test, agent.evaluate(test)

@@ -719,8 +719,9 @@ def _model_mail(spark, sf_dir) -> DataFrame:
 
 
 def _split_scores(agent, feats: DataFrame, key: str) -> tuple:
-    """The trained agent and the held-out rows; the features are computed once."""
-    parts = sampling.stratified_split(stored(feats, "features"), 0.3, "label", key)
+    """The trained agent and the held-out rows; features and split are computed once."""
+    split = sampling.stratified_split(stored(feats, "features"), 0.3, "label", key)
+    parts = stored(split, "parts")
     train, test = parts.filter("is_test = 0"), parts.filter("is_test = 1")
     return agent.train(train, "label", key, validate=False), test
 
@@ -813,7 +814,8 @@ def forest_importances(spark, sf_dir):
 
 
 def _text_agent(spark, sf_dir) -> tuple[TextAgent, DataFrame]:
-    parts = stored(sampling.stratified_split(_model_mail(spark, sf_dir), 0.2), "texts")
+    mail = stored(_model_mail(spark, sf_dir), "texts")
+    parts = stored(sampling.stratified_split(mail, 0.2), "parts")
     return TextAgent().train(parts.filter("is_test = 0")), parts.filter("is_test = 1")
 
 
