@@ -88,11 +88,31 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def vectors(found: np.ndarray) -> np.ndarray:
+    """The transformed statistics of rows of ``COUNTS``, in whole units; zeros without words."""
+    words, chars, symbols, dup, repeats, lines, capitals = found.T.astype(np.float64)
+    least = np.maximum(words, 1)
+    each = {
+        "length": np.log(least), "word_length": chars / least, "symbols": np.sqrt(symbols / least),
+        "dup_lines": np.sqrt(dup / np.maximum(lines, 1)), "repeats": np.sqrt(repeats / least),
+        "capitals": np.sqrt(capitals / np.maximum(chars, 1)),
+    }
+    # a statistic without bound (one word of a million letters) is cut where it is an outlier anyhow
+    return np.floor(np.minimum(np.stack([each[k] for k in FLOORS], axis=1), 64.0) * UNIT + 0.5).astype(np.int64)
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("x", T.ArrayType(T.LongType()))]))
 def counts(texts: pa.Array) -> pa.Array:
-    """The ``COUNTS`` of each UTF-8 text."""
-    found = np.array([text_counts(x) for x in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
-    return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], COUNTS)
+    """The ``COUNTS`` of each UTF-8 text and their vector ``x``, null without words."""
+    found = np.array([text_counts(x.as_py()) for x in texts], np.int64).reshape(-1, len(COUNTS))
+    x = vectors(found)
+    offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    lists = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()), mask=pa.array(found[:, 0] == 0))
+    return pa.StructArray.from_arrays([*[pa.array(found[:, i]) for i in range(len(COUNTS))], lists], [*COUNTS, "x"])
+
+
+# else projections that are merged would count each text more than once
+counts = counts.asNondeterministic()
 
 
 def group_of(lang: str = "lang", source: str = "source") -> Column:
@@ -100,19 +120,6 @@ def group_of(lang: str = "lang", source: str = "source") -> Column:
     return F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")), {"ignoreNullFields": "false"})
 
 
-def vector() -> list[Column]:
-    """The transformed statistics, in whole units; null without words."""
-    words = F.col("n_words").cast("double")
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b).cast("double"), F.lit(1.0)))
-    each = {
-        "length": F.log(words), "word_length": F.col("word_chars") / words, "symbols": share("n_symbols", "n_words"),
-        "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"),
-        "capitals": share("n_capitals", "word_chars"),
-    }
-    # a statistic without bound (one word of a million letters) is cut where it is an outlier anyhow
-    return [F.when(words > 0, F.round(F.least(each[k], F.lit(64.0)) * UNIT).cast("long")).alias(k) for k in FLOORS]
-
-
 def _even_chi2_below(x: float, degrees: int) -> float:
     half = x / 2
     return 1 - math.exp(-half) * sum(half**k / math.factorial(k) for k in range(degrees // 2))
@@ -151,18 +158,12 @@ def _shapes(moments: DataFrame, factor: float) -> DataFrame:
     return moments.mapInArrow(batches(work), "g string, mean array<double>, inverse array<double>, log_det double")
 
 
-@F.arrow_udf(T.DoubleType())
-def distance(x: pa.Array, mean: pa.Array, inverse: pa.Array) -> pa.Array:
-    """Squared Mahalanobis distance of each vector from its group's mean; null for a null vector."""
+def distance() -> Column:
+    """Squared Mahalanobis distance of the vector ``x`` from its group's ``mean``."""
     p = len(FLOORS)
-    has = x.is_valid().to_numpy(zero_copy_only=False) & mean.is_valid().to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(has)
-    out = np.zeros(len(has))
-    if len(rows):
-        flat = lambda a, size: a.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        off = flat(x, p) - flat(mean, p)
-        out[rows] = np.einsum("ni,nij,nj->n", off, flat(inverse, p * p).reshape(-1, p, p), off)
-    return pa.array(out, mask=~has)
+    off = [F.col("x")[i].cast("double") - F.col("mean")[i] for i in range(p)]
+    terms = [off[i] * off[j] * F.col("inverse")[i * p + j] * (1.0 if i == j else 2.0) for i in range(p) for j in range(i, p)]
+    return sum(terms[1:], terms[0])
 
 
 def outlier_model(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -185,7 +186,7 @@ def outlier_model(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     inside = chi2_point(HALF, p)
     factor = HALF / _even_chi2_below(inside, p + 2)
     for _ in range(steps):
-        far = rows.join(near(shape.drop("log_det")), "g").withColumn("d", distance("x", "mean", "inverse"))
+        far = rows.join(near(shape.drop("log_det")), "g").withColumn("d", distance())
         far = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d"), F.lit(0.0)) + 2**-20) * BINS_PER_DOUBLING))
         bins = far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("g").orderBy("bin")
@@ -215,8 +216,7 @@ def with_verdicts(docs: DataFrame, verdict: str = "verdict") -> DataFrame:
     The counts are taken once for the estimates and once for the verdicts, so that texts are never shuffled.
     """
     counted = F.struct(group_of().alias("g"), counts(utf8("text")).alias("n"))
-    narrow = docs.select(counted.alias("c")).select("c.g", "c.n.*")
-    rows = cut_lineage(narrow.where("n_words > 0").select("g", F.array(*vector()).alias("x")))
+    rows = cut_lineage(docs.select(counted.alias("c")).select("c.g", "c.n.x").where("x IS NOT NULL"))
     model = outlier_model(rows)
     model = model.select(F.struct("g", "mean", "inverse").alias("m"))
     few = model.count() < BROADCAST_GROUPS
@@ -225,7 +225,7 @@ def with_verdicts(docs: DataFrame, verdict: str = "verdict") -> DataFrame:
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), counted.alias("c"))
     joined = own.join(F.broadcast(model) if few else model, F.col("c.g") == F.col("m.g"), "left")
     flat = joined.select("d", "c.n.*", "m.mean", "m.inverse")
-    measured = flat.withColumn("x", F.when(F.col("n_words") > 0, F.array(*vector()))).withColumn("distance", distance("x", "mean", "inverse"))
+    measured = flat.withColumn("distance", distance())
     kept = ~base_failed() & F.coalesce(F.col("distance") <= limit, F.lit(False))
     found = F.struct(*COUNTS, base_failed().alias("base_failed"), "distance", kept.alias("kept"))
     return measured.select("d", found.alias("v")).select("d.*", F.col("v").alias(verdict))
