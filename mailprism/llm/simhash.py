@@ -64,6 +64,10 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x) for x in texts.to_pylist()], dtype=np.uint64).view(np.int64))
 
 
+# else a filter on a join key that the optimizer adds would compute each fingerprint twice
+fingerprints = fingerprints.asNondeterministic()
+
+
 def _key(byte: list, at: tuple[int, ...]):
     """The positions and their bytes as one number."""
     out = F.lit(sum(1 << p for p in at)).cast("long")
