@@ -40,6 +40,8 @@ GRAM = 24
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 BLOCK = 1 << 15
+#: Contents sorted at a time.
+PORTION = 1 << 15
 OUTSIDE = 0xFF  # never in UTF-8: stands for bytes beyond the document
 NO_ID = -(1 << 63)
 HASH_BITS = 44
@@ -113,7 +115,10 @@ def anchors(chunk: Chunk, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         if len(best):
             last = int(best[-1]) + at
             found.append(best + at)
-            hashes.append(h[best] >> np.uint64(64 - HASH_BITS))
+            # the anchors' hashes are all small: mixed again, they fill the whole range
+            again = h[best] * _STEPS[6]
+            again ^= again >> np.uint64(29)
+            hashes.append(again * _STEPS[7] >> np.uint64(64 - HASH_BITS))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(found), np.concatenate(hashes)
@@ -306,6 +311,16 @@ def first_documents(rows: np.ndarray, docs: np.ndarray, least: int = LEAST) -> n
     return out
 
 
+def _portions(grams: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in portions of about ``PORTION``, equal grams in the same one: only these can have equal windows."""
+    words = np.ascontiguousarray(grams).view(np.uint64).reshape(len(grams), -1)
+    mixed = words[:, 0] * _STEPS[0] ^ words[:, 1] * _STEPS[1] ^ words[:, 2] * _STEPS[2]
+    portion = (mixed >> np.uint64(32)) % np.uint64(-(-len(grams) // PORTION))
+    order = np.argsort(portion, kind="stable")
+    for _, a, b in _slices(portion[order].astype(np.int64)):
+        yield order[a:b]
+
+
 def _settle(least: int):
     """Sorts a bucket's contents and sends each chunk its byte ranges; ranges settled before pass through."""
 
@@ -317,23 +332,30 @@ def _settle(least: int):
         front = least - GRAM
         each = [_unpack(b, np.uint8, np.int64, np.int32, np.int32, np.int64) for b in table.column("blob").to_pylist()]
         rows = np.concatenate([x[0] for x in each]).reshape(-1, front + least)
-        docs = np.concatenate([x[1] for x in each])
-        content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows.tobytes())])
-        encoded = content.dictionary_encode()
-        kind = encoded.indices.to_numpy()
-        first = np.full(len(encoded.dictionary), len(kind))
+        each = [x[1:] for x in each]
+        docs = np.concatenate([x[0] for x in each])
+        content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)])
+        kind = content.dictionary_encode().indices.to_numpy()
+        first = np.full(kind.max() + 1, len(kind))
         np.minimum.at(first, kind, np.arange(len(kind)))
         least_doc = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least_doc, kind, docs)
-        best = first_documents(rows[first], least_doc, least)
+        # for the smallest document of each content, a bit per offset: is there a smaller one with the same window?
+        smaller = np.zeros(len(first), np.uint32)
+        powers = np.uint32(1) << np.arange(front + 1, dtype=np.uint32)
+        for part in _portions(rows[first, front:front + GRAM]):
+            best = first_documents(rows[first[part]], least_doc[part], least)
+            smaller[part] = ((best < least_doc[part][:, None]) * powers).sum(axis=1, dtype=np.uint32)
         out = []
         at = 0
-        for name, (_, own_docs, counts, member_doc, member_place) in zip(names, each):
+        for name, (own_docs, counts, member_doc, member_place) in zip(names, each):
             part = slice(at, at + len(own_docs))
             at += len(own_docs)
             low, high = _ranges(rows[part], least)
             offsets = np.arange(front + 1)
-            gone = (best[kind[part]] < own_docs[:, None]) & (offsets >= low[:, None]) & (offsets <= high[:, None])
+            later = own_docs > least_doc[kind[part]]  # the same content stands in a smaller document
+            gone = later[:, None] | ((smaller[kind[part]][:, None] & powers) > 0)
+            gone &= (offsets >= low[:, None]) & (offsets <= high[:, None])
             edge = np.zeros((len(gone), front + 3), np.int8)
             edge[:, 1:-1] = gone
             edge = np.diff(edge, axis=1)
