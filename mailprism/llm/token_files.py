@@ -15,7 +15,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from mailprism.session import checkpoint_dir
 SHARD_TOKENS = 1 << 18
 END_ID = 0
 #: Words whose ids a Python worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 NO_ID = -(1 << 63)
 
 
@@ -41,17 +43,24 @@ def public_model(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself, or the next free letter from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, word by word where that is the same, with the words' ids remembered.
 
-    A byte-level tokenizer of this kind splits a text before anything else, and always between a character
-    and the blank behind it. So words parted by single blanks or line ends can be encoded one by one. A text
-    with other white space is cut only at blanks and line ends behind other characters, or if it has
-    further kinds of white space, not at all.
+    A byte-level tokenizer of this kind splits a text before anything else, always between a character and
+    the blank behind it, and between letters and marks. So words parted by single blanks or line ends can be
+    encoded one by one, and a word's trailing marks apart from it. A text with other white space is encoded whole.
     """
 
     UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    OTHER_SPACE = re.compile(r"[^\S \n]")
+    #: Letters (up to where all versions of Unicode agree) and ASCII marks behind them but the apostrophe, which begins short forms.
+    WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,45 +68,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words: dict[str, bytes] = {}
-        newline = self._ids(["\n"])[0]
-        self.newline = newline if len(newline) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Adds the units' ids; many are encoded as lines of one text, whose line ends part the ids again."""
-        new = [u for u in units if u not in self.words]
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
-            new = list(units)
-        lines = [u for u in new if self.newline is not None and "\n" not in u and u.strip() and not u[-1].isspace()]
-        for at in range(0, len(lines), 256):
-            part = lines[at:at + 256]
-            ids = self._ids(["\n".join(part)])[0]
-            ends = np.flatnonzero(ids == self.newline[0])
-            if len(ends) != len(part) - 1:
-                continue
-            for unit, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]):
-                self.words[unit] = ids[a:b].tobytes()
-        rest = [u for u in new if u not in self.words]
-        for unit, ids in zip(rest, self._ids(rest) if rest else []):
-            self.words[unit] = ids.tobytes()
-
-    def _units(self, text: str) -> list[str] | None:
-        if self.OTHER_SPACE.search(text):
-            return None
-        return self.UNITS.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``dtype``."""
-        units = [self._units(t) for t in texts]
-        self._learn(set().union(*[u for u in units if u]))
-        whole = [i for i, u in enumerate(units) if u is None]
-        found = dict(zip(whole, self._ids([texts[i] for i in whole]) if whole else []))
-        known = self.words.__getitem__
-        return [found[i].tobytes() if u is None else b"".join(map(known, u)) for i, u in enumerate(units)]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.units = _Known(self._unit)
+        self.words = _Known(lambda w: self._unit(w if w[:1] == "\n" else " " + w))  # behind a blank, or with their line end
+        self.marks = _Known(self._ids)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _unit(self, unit: str) -> bytes | None:
+        """Ids of a unit; None if it has white space of other kinds, and needs the text around it."""
+        found = self.WORD.fullmatch(unit)
+        if found is None:
+            return None if any(c.isspace() and c not in " \n" for c in unit) else self._ids(unit)
+        core, marks = found.groups()
+        piece = core.encode().decode("latin-1").translate(self.letters)  # letters are one piece to the tokenizer
+        ids = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return ids + self.marks[marks] if marks else ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes of ``dtype``."""
+        try:
+            if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+                return b"".join(map(self.units.__getitem__, self.UNITS.findall(text)))
+            first, *rest = text.replace("\n", " \n").split(" ")  # blanks are single here
+            return b"".join([self.units[first], *map(self.words.__getitem__, rest)])
+        except TypeError:  # one of the units is None
+            return self._ids(text)
+
+
+class _Known(dict):
+    """What a function gave for its last ``MOST_WORDS`` arguments or so."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key: str) -> bytes | None:
+        if len(self) >= MOST_WORDS:
+            for old in list(islice(self, MOST_WORDS // 2)):
+                del self[old]
+        self[key] = found = self.of(key)
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -143,16 +156,15 @@ def write_token_files(docs: DataFrame, model: str, folder: str, end_id: int = EN
             )
 
         for batch in found:
-            for at in range(0, batch.num_rows, 256):  # the words of a few documents at a time
-                some = batch.slice(at, 256)
-                for doc, out in zip(some.column(0).to_pylist(), use.encode(some.column(1).to_pylist())):
-                    parts += [out, end]
-                    ids.append(doc)
-                    lengths.append(len(out) // use.dtype().itemsize + 1)
-                    total += lengths[-1]
-                    if total >= shard_tokens:
-                        yield close()
-                        parts, ids, lengths, total, made = [], [], [], 0, made + 1
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out = use.encode(text.as_py())
+                parts += [out, end]
+                ids.append(doc)
+                lengths.append(len(out) // use.dtype().itemsize + 1)
+                total += lengths[-1]
+                if total >= shard_tokens:
+                    yield close()
+                    parts, ids, lengths, total, made = [], [], [], 0, made + 1
         if ids:
             yield close()
 

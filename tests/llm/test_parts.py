@@ -232,7 +232,7 @@ def test_encoder_is_the_tokenizer():
     use = token_files.encoder(token_files.public_model())
     texts = HARD + ["".join(random.choices(" \n\tab.1'é \x1c", k=30)) for _ in range(300)]
     want = [x.ids for x in use.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, use.dtype).tolist() for x in use.encode(texts)] == want
+    assert [np.frombuffer(use.encode(t), use.dtype).tolist() for t in texts] == want
 
 
 def test_wavelet_matrix():
