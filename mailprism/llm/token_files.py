@@ -56,6 +56,7 @@ class Encoder:
     A byte-level tokenizer of this kind splits a text before anything else, always between a character and
     the blank behind it, and between letters and marks. So words parted by single blanks or line ends can be
     encoded one by one, and a word's trailing marks apart from it. A text with other white space is encoded whole.
+    A special token in a text gets its own id, as the tokenizer gives it; it holds no blank, so its word has all of it.
     """
 
     UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -66,7 +67,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.code = "H" if self.dtype is np.uint16 else "I"

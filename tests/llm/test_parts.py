@@ -235,6 +235,19 @@ def test_encoder_is_the_tokenizer():
     assert [np.frombuffer(use.encode(t), use.dtype).tolist() for t in texts] == want
 
 
+def test_special_tokens_as_the_library_alone():
+    """Wanted ids come from a tokenizer of the test's own, with nothing set."""
+    from tokenizers import Tokenizer
+
+    random.seed(2)
+    use, plain = token_files.Encoder(token_files.public_model()), Tokenizer.from_file(token_files.public_model())
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\n\n", "a", "word,", "é", "'s", "\t", "1"]
+    texts = HARD + ["a <|endoftext|> b"] + ["".join(random.choices(parts, k=12)) for _ in range(500)]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(use.encode(t), use.dtype).tolist() for t in texts] == want
+    assert want[len(HARD)] == [64, 220, 50256, 275]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 511, 512, 513, 3000):
