@@ -12,9 +12,13 @@ at the same place, and a window in fourteen or so has an anchor of its own.
 4. A bucket sorts the suffixes from the anchors on, and the reversed texts in front of them, by deep-shallow
    sorting. Common prefixes of neighbours then give, for each offset of a window before its anchor, the classes of
    equal windows and the smallest document in each. Windows of larger documents go back as byte ranges.
+   An anchor hash with more than ``HOT_ROWS`` places in the corpus is no group of its own: each chunk keeps its windows
+   around such anchors one per content, that of its smallest document, and sends a 128-bit digest of each to the digest's
+   bucket, which finds the smallest document. So a line of all documents with other text around it is spread by that text.
 5. The chunks remove what these ranges cover.
 
-Nothing depends on the hashes but the traffic: equal windows always meet, and are compared by content.
+Nothing depends on the anchor hashes but the traffic: equal windows always meet, and are compared by content, or by
+digests of it around hot anchors.
 
 Null text counts as empty. Rows that repeat an id are one document, so they cannot remove each other's bytes,
 but each gets its own result; a row without an id counts as the smallest. Documents shorter than ``LEAST`` keep
@@ -42,6 +46,9 @@ BUCKET_BYTES = 16 << 20
 BLOCK = 1 << 15
 #: Contents sorted at a time.
 PORTION = 1 << 15
+#: Places of an anchor hash from which on its windows are compared one by one; a chunk with fewer than ``FEW`` counts as one.
+HOT_ROWS = 1 << 15
+FEW = 4
 OUTSIDE = 0xFF  # never in UTF-8: stands for bytes beyond the document
 NO_ID = -(1 << 63)
 HASH_BITS = 44
@@ -182,28 +189,58 @@ def _read_hashes(blob: bytes) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(blob, np.uint64, 1, 1), np.frombuffer(blob, np.uint32, offset=9).astype(np.uint64)], dtype=np.uint64)
 
 
+def _counted(counts: np.ndarray) -> bytes:
+    """Indices and counts of the hashes with ``FEW`` places or more, led by how many these are."""
+    many = np.flatnonzero(counts >= FEW).astype(np.uint32)
+    return np.uint32(len(many)).tobytes() + many.tobytes() + counts[many].tobytes()
+
+
+def _read_counted(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Indices, counts, and the rest."""
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    found = np.frombuffer(blob, np.uint32, 2 * n, 4)
+    return found[:n], found[n:], blob[4 + 8 * n:]
+
+
 def _send_hashes(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, distinct, _ = _distinct(Chunk.of(table))
-        return _messages([(b, key[0].as_py(), _hash_blob(distinct[x:y])) for b, x, y in _slices(_bucket(distinct, buckets))])
+        _, number, distinct, _ = _distinct(Chunk.of(table))
+        counts = np.bincount(number, minlength=len(distinct)).astype(np.uint32)
+        return _messages([
+            (b, key[0].as_py(), _counted(counts[x:y]) + _hash_blob(distinct[x:y])) for b, x, y in _slices(_bucket(distinct, buckets))
+        ])
 
     return run
 
 
-def _find_repeated(key: tuple, table: pa.Table) -> pa.Table:
-    """For each chunk's hashes in this bucket, a bit that says whether another chunk has it."""
-    chunks = table.column("chunk").to_pylist()
-    each = [_read_hashes(b) for b in table.column("blob").to_pylist()]
-    hashes = np.concatenate(each)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    again = np.zeros(len(hashes), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in each])
-    return _messages([
-        (key[0].as_py(), c, np.packbits(again[e - len(x):e]).tobytes()) for c, x, e in zip(chunks, each, ends.tolist())
-    ])
+def _find_repeated(hot_rows: int):
+    """For each chunk's hashes in this bucket, a bit that says whether another chunk has it, and the indices of the hot ones."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_pylist()
+        each, places = [], []
+        for blob in table.column("blob").to_pylist():
+            many, counts, rest = _read_counted(blob)
+            each.append(_read_hashes(rest))
+            places.append(np.ones(len(each[-1]), np.int64))
+            places[-1][many] = counts
+        hashes = np.concatenate(each)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        again = np.zeros(len(hashes), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        starts = np.flatnonzero(np.r_[True, ~same])
+        total = np.add.reduceat(np.concatenate(places)[order], starts)
+        hot = np.zeros(len(hashes), bool)
+        hot[order] = np.repeat(total > hot_rows, np.diff(np.r_[starts, len(order)]))
+        ends = np.cumsum([len(x) for x in each])
+        return _messages([
+            (key[0].as_py(), c, np.packbits(again[e - len(x):e]).tobytes() + np.flatnonzero(hot[e - len(x):e]).astype(np.uint32).tobytes())
+            for c, x, e in zip(chunks, each, ends.tolist())
+        ])
+
+    return run
 
 
 def _contexts(chunk: Chunk, places: np.ndarray, least: int) -> np.ndarray:
@@ -229,7 +266,8 @@ def _ranges(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_contexts(buckets: int, least: int):
-    """Messages with the contents around surviving anchors; at bucket ``-1 - b`` byte ranges settled in the chunk."""
+    """Messages with the contents around surviving anchors; at bucket ``-1 - b`` byte ranges settled in the chunk, at
+    ``buckets + b`` windows around hot anchors."""
 
     def run(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -238,12 +276,15 @@ def _send_contexts(buckets: int, least: int):
         chunk = Chunk.of(table)
         places, number, distinct, alive = _distinct(chunk)
         flags = dict(zip(bits.column("bucket").to_pylist(), bits.column("blob").to_pylist()))
+        hot = np.zeros(len(distinct), bool)
         for b, x, y in _slices(_bucket(distinct, buckets)):
-            alive[x:y] |= np.unpackbits(np.frombuffer(flags[b], np.uint8), count=y - x).astype(bool)
-        stay = np.flatnonzero(alive[number])
+            size = -(-(y - x) // 8)
+            alive[x:y] |= np.unpackbits(np.frombuffer(flags[b], np.uint8, size), count=y - x).astype(bool)
+            hot[x:y][np.frombuffer(flags[b][size:], np.uint32)] = True
+        out = _windows_of_hot(chunk, name, np.sort(places[(alive & hot)[number]]), buckets, least)
+        stay = np.flatnonzero((alive & ~hot)[number])
         stay = stay[np.argsort(number[stay], kind="stable")]  # by hash, then by place
         places, hashes = places[stay], distinct[number[stay]]
-        out = []
         if len(places):
             rows = _contexts(chunk, places, least)
             width = rows.shape[1]
@@ -276,6 +317,81 @@ def _send_contexts(buckets: int, least: int):
     return run
 
 
+def _digests(chunk: Chunk, starts: np.ndarray, least: int) -> np.ndarray:
+    """16 bytes for each window's content, as two numbers."""
+    out = np.empty((len(starts), 2), np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(chunk.bytes, least) if len(starts) else None
+    for at in range(0, len(starts), BLOCK):
+        rows = windows[starts[at:at + BLOCK]]
+        content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(least), len(rows), [None, pa.py_buffer(rows.tobytes())]).dictionary_encode()
+        made = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in content.dictionary.to_pylist())
+        out[at:at + len(rows)] = np.frombuffer(made, np.uint64).reshape(-1, 2)[content.indices.to_numpy()]
+    return out
+
+
+def _kinds(digests: np.ndarray) -> np.ndarray:
+    """A number per content, from 0 on."""
+    values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests))])
+    return values.dictionary_encode().indices.to_numpy()
+
+
+def _windows_of_hot(chunk: Chunk, name: int, places: np.ndarray, buckets: int, least: int) -> list[tuple[int, int, bytes]]:
+    """Messages with the windows around hot anchors (``places`` rise), one per content, and ranges settled in the chunk."""
+    room = np.zeros(len(chunk.bytes) + 1, np.int32)
+    owner = chunk.owner(places)
+    low = np.maximum(places - (least - GRAM), chunk.starts[owner])
+    high = np.minimum(places, chunk.ends[owner] - least)
+    fits = low <= high
+    np.add.at(room, low[fits], 1)
+    np.add.at(room, high[fits] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(room) > 0)
+    if not len(starts):
+        return []
+    out = []
+    digests = _digests(chunk, starts, least)
+    kind = _kinds(digests)
+    first = np.full(kind.max() + 1, len(kind))
+    np.minimum.at(first, kind, np.arange(len(kind)))  # smallest document: places stand in its order
+    doc = chunk.owner(starts)
+    lead = chunk.ids[doc] == chunk.ids[doc[first[kind]]]
+    rest = np.flatnonzero(~lead)
+    if len(rest):
+        out.append((-1 - name % buckets, name, _pack(_joined(np.stack([doc[rest], starts[rest], starts[rest] + least], axis=1)))))
+    order = np.flatnonzero(lead)
+    to = (digests[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = order[np.lexsort((kind[order], to[order]))]  # by bucket, members of a content side by side
+    heads = np.flatnonzero(np.r_[True, kind[order[1:]] != kind[order[:-1]]])
+    counts = np.diff(np.r_[heads, len(order)])
+    lead_rows = order[heads]
+    for b, x, y in _slices(to[lead_rows].astype(np.int64)):
+        members = order[heads[x]:heads[y] if y < len(heads) else len(order)]
+        out.append((buckets + b, name, _pack(
+            digests[lead_rows[x:y]], chunk.ids[doc[lead_rows[x:y]]], counts[x:y].astype(np.int32),
+            doc[members].astype(np.int32), starts[members].astype(np.int64),
+        )))
+    return out
+
+
+def _settle_windows(bucket: int, table: pa.Table, least: int) -> pa.Table:
+    """Sends each chunk the windows around hot anchors that a smaller document has too."""
+    names = table.column("chunk").to_pylist()
+    each = [_unpack(b, np.uint64, np.int64, np.int32, np.int32, np.int64) for b in table.column("blob").to_pylist()]
+    kind = _kinds(np.concatenate([x[0] for x in each]).reshape(-1, 2))
+    docs = np.concatenate([x[1] for x in each])
+    least_doc = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least_doc, kind, docs)
+    later = docs > least_doc[kind]
+    out = []
+    at = 0
+    for name, (_, own_docs, counts, member_doc, member_place) in zip(names, each):
+        gone = np.repeat(later[at:at + len(own_docs)], counts)
+        at += len(own_docs)
+        if gone.any():
+            place = member_place[gone]
+            out.append((bucket, name, _pack(_joined(np.stack([member_doc[gone].astype(np.int64), place, place + least], axis=1)))))
+    return _messages(out)
+
+
 def _joined(spans: np.ndarray) -> np.ndarray:
     """Spans (document row, start, end) of one chunk with overlapping ones joined; places are the chunk's."""
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
@@ -321,13 +437,15 @@ def _portions(grams: np.ndarray) -> Iterator[np.ndarray]:
         yield order[a:b]
 
 
-def _settle(least: int):
+def _settle(least: int, buckets: int):
     """Sorts a bucket's contents and sends each chunk its byte ranges; ranges settled before pass through."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket < 0:
             return table.select(["bucket", "chunk", "blob"])
+        if bucket >= buckets:
+            return _settle_windows(bucket, table, least)
         names = table.column("chunk").to_pylist()
         front = least - GRAM
         each = [_unpack(b, np.uint8, np.int64, np.int32, np.int32, np.int64) for b in table.column("blob").to_pylist()]
@@ -405,7 +523,9 @@ def _remove(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, with_bytes: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, least: int = LEAST, with_bytes: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and the ``kept`` bytes) for each row of ``docs(doc_id, text)``."""
     raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8("text").alias("raw"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -413,8 +533,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, with_bytes: bool = False
     buckets = max(1, -(-total // max(chunk_bytes, BUCKET_BYTES)))
     dealt = raw.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")
     hashes = dealt.applyInArrow(_send_hashes(buckets), MESSAGE)
-    repeated = hashes.groupBy("bucket").applyInArrow(_find_repeated, MESSAGE)
+    repeated = hashes.groupBy("bucket").applyInArrow(_find_repeated(hot_rows), MESSAGE)
     contexts = dealt.cogroup(repeated.groupBy("chunk")).applyInArrow(_send_contexts(buckets, least), MESSAGE)
-    found = contexts.groupBy("bucket").applyInArrow(_settle(least), MESSAGE)
+    found = contexts.groupBy("bucket").applyInArrow(_settle(least, buckets), MESSAGE)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     return dealt.cogroup(found.groupBy("chunk")).applyInArrow(_remove(with_bytes), schema)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,54 @@ def test_repeats_over_chunks(spark, chunk_bytes):
     assert kept and all(bytes(r["kept"]).decode() == docs[r["doc_id"]] for r in kept)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 40])
+def test_repeats_around_hot_anchors(spark, hot_rows):
+    """A line of most documents with other text around it: the same bytes go, and no call gets a row per document."""
+    random.seed(12)
+    line = "This text may be copied under the terms of a licence that nobody has ever read whole."
+    docs = {}
+    for d in range(150):
+        own = ["".join(random.choices("abcdé \n", k=random.randrange(5, 90))) for _ in range(2)]
+        docs[d] = own[0] + (line if d % 3 else line[9:70]) + own[1] + "xy" * (d % 5) * 20
+    docs[150] = docs[3]
+    frame = spark.createDataFrame([*docs.items(), (7, docs[8])], "doc_id long, text string")
+    want = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(frame.where("doc_id != 7"), hot_rows=1 << 40).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(frame.where("doc_id != 7"), hot_rows=hot_rows, chunk_bytes=1 << 11).collect()}
+    assert got == want == brute.removed_bytes({d: t for d, t in docs.items() if d != 7})
+    twice = [sorted(map(tuple, substring_dedup.remove_repeats(frame, hot_rows=h, chunk_bytes=1 << 11).collect())) for h in (hot_rows, 1 << 40)]
+    assert twice[0] == twice[1]
+
+
+def test_hot_anchors_are_no_group():
+    """Contexts of a hot anchor in many documents are not sent to its bucket."""
+    random.seed(13)
+    line = "This text may be copied under the terms of a licence that nobody has ever read whole."
+    texts = ["".join(random.choices("abcdefgh", k=60)) + line + "".join(random.choices("abcdefgh", k=60)) for _ in range(400)]
+    rows = lambda part: pa.table({"doc_id": pa.array(part), "raw": pa.array([texts[i].encode() for i in part])})
+    chunks = {c: rows(list(range(c, 400, 4))) for c in range(4)}
+    buckets = 8
+    sent = pa.concat_tables([substring_dedup._send_hashes(buckets)((pa.scalar(c),), t) for c, t in chunks.items()])
+    most = {}
+    for hot_rows in (1 << 40, 50):
+        told = []
+        for b in sorted(set(sent.column("bucket").to_pylist())):
+            part = sent.filter(pa.compute.equal(sent.column("bucket"), b))
+            told.append(substring_dedup._find_repeated(hot_rows)((pa.scalar(b),), part))
+        told = pa.concat_tables(told)
+        grams = {}
+        windows = 0
+        for c, t in chunks.items():
+            out = substring_dedup._send_contexts(buckets, 50)((pa.scalar(c),), t, told.filter(pa.compute.equal(told.column("chunk"), c)))
+            for b, blob in zip(out.column("bucket").to_pylist(), out.column("blob").to_pylist()):
+                windows += b >= buckets
+                if 0 <= b < buckets:
+                    for row in substring_dedup._unpack(blob, np.uint8, np.int64, np.int32, np.int32, np.int64)[0].reshape(-1, 76):
+                        grams[bytes(row[26:50])] = grams.get(bytes(row[26:50]), 0) + 1
+        most[hot_rows] = max(grams.values(), default=0), windows
+    assert most[1 << 40][0] >= 300 and most[1 << 40][1] == 0
+    assert most[50][0] <= 50 * substring_dedup.FEW and most[50][1] > 0
+
+
 # --- mixing, quality -----------------------------------------------------------------------------
 def test_targets_share_what_is_over(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 500), ("d", 1), ("e", 0), ("f", 70)]
