@@ -4,8 +4,8 @@ Three patterns give the base spans. Besides, values that stand in a credential c
 ``passphrase is ...``, ``user:...@host``) are put to a guess-cost dynamic program: the value is cut into
 common words, dates, repeats, keyboard walks, sequences and brute-force spans so that the cost, the logarithm
 of the number of guesses, is least. A value that would take ``LEAST_COST`` or more is a secret, one like
-"password" or "changeme" is not. Base spans always stay; added ones have kind ``guess``, and none overlaps
-a base span.
+"password" or "changeme" is not. Base spans always stay; added ones have kind ``guess``. A value is left out only
+where one span covers the whole of it: a base span that ends inside a value does not stand for the rest.
 
 Offsets are code points, ends exclusive. Null text counts as empty and has no spans. Repeated rows are
 scanned one by one; values of any length are scanned whole. An empty table gives an empty result.
@@ -160,13 +160,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[str, int, int]], least_cost: float = LEAST_COST) -> list[tuple[str, int, int]]:
-    """Values in a credential context that would take too many guesses, apart from the base spans."""
-    taken = sorted((a, b) for _, a, b in base)
+    """Values in a credential context that would take too many guesses, but for those that lie in another span."""
+    taken = [(a, b) for _, a, b in base]
     out = []
     for context in CONTEXTS:
         for m in context.finditer(text):
             a, b = m.span(m.lastindex)
-            if not any(x < b and a < y for x, y in taken) and guess_cost(text[a:b]) >= least_cost:
+            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b]) >= least_cost:
                 out.append(("guess", a, b))
                 taken.append((a, b))
     return out

@@ -367,6 +367,18 @@ def test_added_spans():
     assert secret_scan.guess_cost("y" * 5000) < 10
 
 
+def test_values_beyond_a_base_span():
+    """A base span that ends inside a value leaves the value to the guess cost; one around it does not."""
+    for text, value in (
+        ("password=Sup3rSecr$t!x9 end", "Sup3rSecr$t!x9"), ('api_key: "abcDEF1#kq9?Zz" end', "abcDEF1#kq9?Zz"), ("token = kbzqrf1%9Kq end", "kbzqrf1%9Kq"),
+    ):
+        base = secret_scan.base_spans(text)
+        assert len(base) == 1 and [text[a:b] for _, a, b in secret_scan.guessed_spans(text, base)] == [value]
+    for text in ("password=Sup3rSecrtx9 end", "password=password! end"):
+        base = secret_scan.base_spans(text)
+        assert len(base) == 1 and secret_scan.guessed_spans(text, base) == []
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_cut_is_least(seed):
     random.seed(seed)
