@@ -7,6 +7,10 @@ of the number of guesses, is least. A value that would take ``LEAST_COST`` or mo
 "password" or "changeme" is not. Base spans always stay; added ones have kind ``guess``. A value is left out only
 where one span covers the whole of it: a base span that ends inside a value does not stand for the rest.
 
+The words are the common ones of passwords and the ``MOST_WORDS`` words that the corpus itself has most often, so that
+ordinary prose behind "is" costs little. They are counted on Spark before the scan; the values of credential contexts
+are not counted, as a secret in many copies would become a word by them.
+
 Offsets are code points, ends exclusive. Null text counts as empty and has no spans. Repeated rows are
 scanned one by one; values of any length are scanned whole. An empty table gives an empty result.
 """
@@ -15,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
 
@@ -42,6 +48,12 @@ CONTEXTS = (
     re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@]++:([^\s/@]++)@"),
     re.compile(r"(?<![A-Za-z])Bearer\x20+([A-Za-z0-9+/_.=-]+)"),
 )
+#: Ranked words of the corpus, their letters, how often one has to stand in the corpus, and words a task counts at a time.
+MOST_WORDS = 1 << 15
+WORD_LETTERS = range(3, 25)
+LEAST_SEEN = 3
+COUNTED_AT_ONCE = 1 << 18
+MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’…"
 #: log10 of the guesses from which on a value counts as a secret.
 LEAST_COST = 10.0
 
@@ -65,9 +77,19 @@ DATE = re.compile(
 JOINT = log10(4)
 
 
+class Words:
+    """Cost of each word: log10 of its rank, in the fixed list or among the corpus' own ``ranked`` words."""
+
+    def __init__(self, ranked: list[str] = ()):
+        self.cost = {w: log10(i + 2) for i, w in enumerate(ranked)}
+        for i, w in enumerate(WORDS):
+            self.cost[w] = min(self.cost.get(w, 99.0), log10(i + 2))
+        self.longest = max(map(len, self.cost))
+
+
 @lru_cache(1)
-def _ranks() -> tuple[dict[str, float], int]:
-    return {w: log10(i + 2) for i, w in enumerate(WORDS)}, max(map(len, WORDS))
+def _fixed() -> Words:
+    return Words()
 
 
 @lru_cache(1)
@@ -90,9 +112,10 @@ def _symbols(c: str) -> float:
     return log10(33)
 
 
-def pieces(value: str) -> list[tuple[int, int, float, str]]:
+def pieces(value: str, words: Words | None = None) -> list[tuple[int, int, float, str]]:
     """``start, end, cost, kind`` of all words, dates, and maximal repeats, walks and sequences of ``value``."""
-    ranks, longest = _ranks()
+    words = words or _fixed()
+    ranks, longest = words.cost, words.longest
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
@@ -131,11 +154,11 @@ def pieces(value: str) -> list[tuple[int, int, float, str]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words | None = None) -> float:
     """log10 of the guesses for ``value``: least over all ways to cut it up. One pass over the ends."""
     n = len(value)
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for start, end, cost, _ in pieces(value):
+    for start, end, cost, _ in pieces(value, words):
         by_end.setdefault(end, []).append((start, cost))
     best = np.zeros(n + 1)  # least cost of value[:i]
     brute = np.zeros(n + 1)  # the same, with a brute-force span up to i
@@ -159,14 +182,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def guessed_spans(text: str, base: list[tuple[str, int, int]], least_cost: float = LEAST_COST) -> list[tuple[str, int, int]]:
+def guessed_spans(
+    text: str, base: list[tuple[str, int, int]], least_cost: float = LEAST_COST, words: Words | None = None
+) -> list[tuple[str, int, int]]:
     """Values in a credential context that would take too many guesses, but for those that lie in another span."""
     taken = [(a, b) for _, a, b in base]
     out = []
     for context in CONTEXTS:
         for m in context.finditer(text):
             a, b = m.span(m.lastindex)
-            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b]) >= least_cost:
+            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b], words) >= least_cost:
                 out.append(("guess", a, b))
                 taken.append((a, b))
     return out
@@ -176,14 +201,54 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
+def words_of(text: str) -> Counter[str]:
+    """How often each word in small letters stands in the text, apart from the values of credential contexts."""
+    values = sorted(m.span(m.lastindex) for context in CONTEXTS for m in context.finditer(text))
+    at, rest = 0, []
+    for a, b in values:
+        if a >= at:
+            rest.append(text[at:a])
+        at = max(at, b)
+    rest.append(text[at:])
+    found: Counter[str] = Counter()
+    for token, n in Counter(" ".join(rest).lower().split()).items():
+        word = token.strip(MARKS)
+        if len(word) in WORD_LETTERS and word.isalpha():
+            found[word] += n
+    return found
+
+
+def ranked_words(docs: DataFrame, most: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> list[str]:
+    """The corpus' words, most common first: at most ``most`` come to the driver."""
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+
+        for batch in found:
+            for text in batch.column(0).to_pylist():
+                total.update(words_of(text))
+                if len(total) >= COUNTED_AT_ONCE:
+                    yield told()
+                    total.clear()
+        yield told()
+
+    counts = docs.select("text").where("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = counts.where(F.col("n") >= least_seen).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in ranked.collect()]
+
+
 def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` for each row of ``docs(doc_id, text)``."""
+    words = Words(ranked_words(docs))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, spans = [], [], []
         for text in batch.column(1).to_pylist():
             base = base_spans(text)
-            more = guessed_spans(text, base, least_cost)
+            more = guessed_spans(text, base, least_cost, words)
             kinds = [k for k, _, _ in base]
             counts.append([*map(kinds.count, KINDS[:3]), len(more)])
             digests.append(hashlib.sha256(listed(base).encode()).hexdigest())

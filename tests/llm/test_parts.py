@@ -379,6 +379,20 @@ def test_values_beyond_a_base_span():
         assert len(base) == 1 and secret_scan.guessed_spans(text, base) == []
 
 
+def test_words_of_the_corpus_are_cheap(spark):
+    """Prose behind a credential word is no secret if the corpus uses its words; a copied secret is no word."""
+    prose = "A number generated by machines. The art of persuasion, they say; Department of state."
+    secret = "my passphrase is qhzvkwmrtjx now"
+    rows = [(i, prose) for i in range(5)] + [(10, "the token is generated by us"), (11, "the secret is persuasion"), (12, "authorization: Department of")]
+    rows += [(20 + i, secret) for i in range(50)] + [(90, None), (91, "pwd: kV9generated%xQz7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert [got[d]["n_guess"] for d in (0, 10, 11, 12, 90)] == [0] * 5
+    assert got[20]["spans"] == "guess:17:28" and got[91]["n_guess"] == 1
+    assert "qhzvkwmrtjx" not in secret_scan.ranked_words(docs) and "persuasion" in secret_scan.ranked_words(docs)
+    assert len(secret_scan.ranked_words(docs, most=2)) == 2
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_cut_is_least(seed):
     random.seed(seed)
