@@ -7,7 +7,8 @@ further apart they are in the element tree. The minimum cut, found by max-flow,
 
 Content blocks are joined in page order. Each page is labelled alone, in the task that reads it, so nothing
 is shuffled. Null or empty html gives empty text; pages without content blocks too. Malformed markup is
-read as far as it goes: unclosed elements end with their parent, an unclosed tag is text. Repeated rows are
+read as far as it goes: unclosed elements end with their parent, an unclosed tag is text, a self-closed or unclosed
+``svg`` and the like is empty. Repeated rows are
 extracted one by one; white space is any Unicode white space after decoding.
 """
 
@@ -32,6 +33,10 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s
 
 # fixed values: HTML element names
 RAW = frozenset("script style noscript template iframe object canvas svg title textarea select audio video noframes".split())
+#: Of these, the ones that hold no markup; the others can hold each other.
+PLAIN = frozenset("script style iframe title textarea noframes".split())
+#: Code runs to the end of the page where its end tag is missing; other elements of ``RAW`` are then empty.
+CODE = frozenset(("script", "style"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
@@ -55,6 +60,8 @@ CONTENT_WORDS = frozenset("article body content entry main post story text".spli
 
 #: Weights of the logistic score, in log odds for content.
 BASE, IN_MAIN, IN_BOILER, NAMED_CONTENT = -1.0, 6.0, -9.0, 2.0
+#: A name that speaks for boilerplate inside the main part takes its bonus away; the other weights and the cut decide.
+NAMED_IN_MAIN = -6.0
 PER_TEN_WORDS, MOST_WORDS, LINKS, PARAGRAPH, SENTENCE = 0.8, 40, -4.0, 0.8, 0.8
 #: Capacities of ties between neighbours and between the blocks of a parent.
 NEXT, SIBLING = 1.5, 0.75
@@ -79,6 +86,8 @@ class Page:
         self._stack = [0]
         self._links = 0
         self._block: Block | None = None
+        self._ends: dict[int, int] | None = None
+        self._endless: dict[str, int] = {}  # no end tag from this place on
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -97,8 +106,7 @@ class Page:
             name = name.lower()
             closing = bool(m.group(1) or m.group(4))
             if name in RAW and not closing:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-                at = end.end()
+                at = self._raw_end(html, name, at, (m.group(3) if m.group(2) else m.group(6)).endswith("/"))
                 self._space(name)
             elif closing:
                 self._close(name)
@@ -106,6 +114,39 @@ class Page:
                 self._open(name, m.group(3) if m.group(2) else m.group(6))
         self._end_block()
 
+    def _raw_end(self, html: str, name: str, at: int, closed: bool) -> int:
+        """Where a raw element ends whose start tag ends at ``at``."""
+        if name in PLAIN:
+            if at < self._endless.get(name, len(html) + 1):
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                if end is not None:
+                    return end.end()
+                self._endless[name] = at
+            return len(html) if name in CODE else at
+        if closed:
+            return at
+        if self._ends is None:
+            self._ends = self._match(html, at, name)
+        return self._ends.get(at, at)
+
+    def _match(self, html: str, at: int, name: str) -> dict[int, int]:
+        """Ends of all raw elements that can hold markup, by the ends of their start tags; the first tag ends at ``at``."""
+        out: dict[int, int] = {}
+        opened: dict[str, list[int]] = {name: [at]}
+        while (m := TAG.search(html, at)) is not None:
+            at = m.end()
+            name = (m.group(2) or m.group(5) or "").lower()
+            if name not in RAW:
+                continue
+            if m.group(1) or m.group(4):
+                if opened.get(name):
+                    out[opened[name].pop()] = at
+            elif name in PLAIN:
+                at = self._raw_end(html, name, at, False)
+            elif not (m.group(3) if m.group(2) else m.group(6)).endswith("/"):
+                opened.setdefault(name, []).append(at)
+        return out
+
     def _space(self, name: str) -> None:
         if self._block is not None and name in ("br", "hr", "img", "svg", "video", "audio", "canvas", "iframe", "object"):
             self._block.parts.append(" ")
@@ -156,7 +197,11 @@ class Page:
                     words.update(re.split(r"[^a-z0-9]+", value))
         top = self._stack[-1]
         boiler = 0
-        if name in BOILER_TAGS or hidden or words & COMMENT_WORDS:
+        if name in BOILER_TAGS or hidden:
+            boiler = 2
+        elif words & (BOILER_WORDS | COMMENT_WORDS) and self._inside_main():
+            boiler = 3  # by its name alone
+        elif words & COMMENT_WORDS:
             boiler = 2
         elif name not in ("body", "html") and words & BOILER_WORDS or name == "header" and not self._inside_main():
             boiler = 1
@@ -208,7 +253,7 @@ def score(page: Page, block: Block) -> float:
     if any(page.boiler[e] == 2 or page.boiler[e] == 1 and not page.wraps[e] for e in path):
         return out + IN_BOILER
     if any(page.tags[e] in MAIN_TAGS for e in path):
-        return out + IN_MAIN
+        return out + IN_MAIN + NAMED_IN_MAIN * any(page.boiler[e] == 3 for e in path)
     return out + NAMED_CONTENT * any(page.content[e] for e in path)
 
 

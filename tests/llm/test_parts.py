@@ -422,6 +422,31 @@ def test_pages_of_other_makes():
     assert not any(x in text for x in ("cookies", "Email", "Other stories", "great piece", "2020", "Site", "no</p>"))
 
 
+def test_names_inside_the_article():
+    """Names alone drop nothing of an article; names with links do."""
+    page = """<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>The first paragraph of the article has words enough.</p>
+    <section id="discussion"><h2 class="section-header">Results</h2><p>We discuss what was found, at some length and with care.</p></section>
+    <p id="share-price">The price rose by a tenth.</p><div class="legal-text">The law asks for a longer statement at this place, so here it is.</div>
+    <div class="share"><a href=/t>Tweet this</a> <a href=/f>Send it on</a></div></article>
+    <section class="comments"><p>I love this, it is really a great piece of writing.</p></section></body>"""
+    text = html_extract.main_text(page)
+    for kept in ("Results", "We discuss", "The price rose", "The law asks", "first paragraph"):
+        assert kept in text
+    assert not any(x in text for x in ("Tweet", "I love", "Home"))
+
+
+@pytest.mark.parametrize("tag", ["<svg class=i />", "<svg>", "<canvas/>", '<object data="x">', '<video src="v"/>', "<template>", "<textarea>", "<select>"])
+def test_raw_elements_without_an_end(tag):
+    name = tag[1:].split()[0].strip("<>/")
+    first, last = "<p>One paragraph that is long enough to be kept.</p>", "<p>Another one that follows it, to be kept as well.</p>"
+    want = "One paragraph that is long enough to be kept. Another one that follows it, to be kept as well."
+    assert html_extract.main_text(f"<article>{first}{tag}{last}</article>") == want
+    if name not in html_extract.PLAIN:
+        assert html_extract.main_text(f"<article>{first}{tag}{last}<{name}>no<{name}>no</{name}>no</{name}></article>") == want
+    assert html_extract.main_text(f"<article>{first}<{name}>no</{name}>{last}<script>no</article>") == want
+    assert html_extract.main_text(f"<svg>no</svg><iframe>no</iframe><article>{first}{last}</article><iframe>") == want
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x<"), (4, "u", "<nav>" * 3000), (5, "u", "<!-- never closed <p>hello</p>"), (5, "u", "<article>kept</article>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
