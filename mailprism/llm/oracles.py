@@ -70,3 +70,83 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS item,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (
+  SELECT item, item_id, term, count(*) AS often FROM i GROUP BY ALL
+), corpus AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d
+), tf AS (
+  SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus
+), m AS (
+  SELECT row_id, doc_id, 75 + ((25 * len(terms) * n_docs) // n_terms) AS m FROM d, corpus WHERE len(terms) > 0
+), s AS (
+  SELECT a.item, a.item_id, m.doc_id, m.row_id,
+         CAST(sum(a.often * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m))) AS BIGINT) AS score
+  FROM asked a JOIN tf ON a.term = tf.term JOIN w ON a.term = w.term JOIN m ON tf.row_id = m.row_id GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), q AS (
+  SELECT lang, row_number() OVER () AS piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), t AS (
+  SELECT lang, piece_id, unnest(words) AS w1, generate_subscripts(words, 1) AS pos FROM q
+), g AS (
+  SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM t WINDOW s AS (PARTITION BY piece_id ORDER BY pos)
+), f1 AS (
+  SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL
+), f2 AS (
+  SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+), f3 AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+), c2 AS (
+  SELECT x.lang, x.w1, x.w2, x.f AS a, y.f AS l, z.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * x.f * x.f) // (CAST(y.f AS HUGEINT) * z.f) AS BIGINT) AS score
+  FROM f2 x JOIN f1 y ON x.lang = y.lang AND x.w1 = y.w1 JOIN f1 z ON x.lang = z.lang AND x.w2 = z.w1 WHERE x.f >= 10
+), cuts AS (
+  SELECT x.lang, x.w1, x.w2, x.w3, x.f AS a, 1 AS k, y.f AS l, z.f AS r
+  FROM f3 x JOIN f1 y ON x.lang = y.lang AND x.w1 = y.w1 JOIN f2 z ON x.lang = z.lang AND x.w2 = z.w1 AND x.w3 = z.w2 WHERE x.f >= 10
+  UNION ALL
+  SELECT x.lang, x.w1, x.w2, x.w3, x.f AS a, 2 AS k, y.f AS l, z.f AS r
+  FROM f3 x JOIN f2 y ON x.lang = y.lang AND x.w1 = y.w1 AND x.w2 = y.w2 JOIN f1 z ON x.lang = z.lang AND x.w3 = z.w1 WHERE x.f >= 10
+), scored AS (
+  SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), c3 AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, w1, w2, max(a) AS most FROM (
+    SELECT lang, w1, w2, a FROM c3 UNION ALL SELECT lang, w2 AS w1, w3 AS w2, a FROM c3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, a, l, r, score FROM c3
+  UNION ALL
+  SELECT c2.lang, c2.w1 || ' ' || c2.w2 AS phrase, a, l, r, score
+  FROM c2 LEFT JOIN longer ON c2.lang = longer.lang AND c2.w1 = longer.w1 AND c2.w2 = longer.w2
+  WHERE most IS NULL OR 100 * most < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, (SELECT CAST(sum(f) AS BIGINT) FROM f1 WHERE f1.lang = ranked.lang) AS n, score
+FROM ranked WHERE rank <= 2000
+"""

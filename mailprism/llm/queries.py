@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailprism.llm.collocations import collocations
 from mailprism.llm.common import documents
 from mailprism.llm.exact_dedup import exact_dedup
 from mailprism.llm.html_extract import extract
+from mailprism.llm.lexical_search import search
 from mailprism.llm.line_dedup import line_dedup_report
 from mailprism.llm.mixing import mix
 from mailprism.llm.quality import quality_rules
@@ -75,3 +77,13 @@ def op9_secrets(spark, sf_dir):
 @query
 def op10_main_text(spark, sf_dir):
     return extract(documents(spark, sf_dir, "pages"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))
