@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.llm.common import shuffle_partitions, utf8
+from mailprism.llm.common import bitmap, is_set, mixed, shuffle_partitions, utf8
 from mailprism.session import stored
 
 LEAST = 10
@@ -55,16 +55,10 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(_END, b" A ").split()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _turn(lanes: list[np.ndarray], at: int, step: int) -> None:
     """One step of the network: a lane is combined with a function of the others; the same step undoes it."""
     others = [np.uint64(_ODD[i]) * x for i, x in enumerate(lanes) if i != at]
-    lanes[at] = lanes[at] ^ _mixed(sum(others, np.full(len(lanes[at]), step * _ODD[0] % (1 << 64), np.uint64)))
+    lanes[at] = lanes[at] ^ mixed(sum(others, np.full(len(lanes[at]), step * _ODD[0] % (1 << 64), np.uint64)))
 
 
 def _steps(n: int) -> list[tuple[int, int]]:
@@ -87,7 +81,7 @@ def restored(lanes: list[np.ndarray]) -> list[np.ndarray]:
 
 def bit_of(ids: list[np.ndarray], bits: int = FILTER_BITS) -> np.ndarray:
     """The place of each code in a bitmap."""
-    return (_mixed(sum((np.uint64(_ODD[i]) * x for i, x in enumerate(ids)), np.uint64(0))) % np.uint64(bits)).astype(np.int64)
+    return (mixed(sum((np.uint64(_ODD[i]) * x for i, x in enumerate(ids)), np.uint64(0))) % np.uint64(bits)).astype(np.int64)
 
 
 def summed(lanes: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -233,22 +227,6 @@ def word_table(docs: DataFrame) -> tuple[DataFrame, int]:
     return table, seed
 
 
-def bitmap(codes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap (as bytes, lowest bit first) of the ``bit`` of each row: a fixed number of bytes."""
-    place = F.col("bit") + 1
-    parts = codes.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
-    out = np.zeros(bits // 8, np.uint8)
-    size = 1 << 12
-    for row in parts.collect():
-        part = np.frombuffer(bytes(row["b"]), np.uint8)[:len(out) - (row["at"] - 1) * size]
-        out[(row["at"] - 1) * size:(row["at"] - 1) * size + len(part)] = part
-    return out
-
-
-def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def phrases_of(names: list[tuple[bytes, bytes]], places: np.ndarray, n: int, seed: int, frequent: list[np.ndarray]) -> QuotientFilter:
     """A chunk's phrases of ``n`` words whose words, and parts of n - 1 words, may be frequent enough."""
     ids = ids_of(names, seed)
@@ -347,9 +325,9 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, share: i
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of two and three words of each language."""
     table, seed = word_table(docs)
     words = table.where(F.col("f") >= least)
-    frequent = [bitmap(words.select(_word_bit("id").alias("bit")))]
+    frequent = [bitmap(words.select(_word_bit("id").alias("bit")), FILTER_BITS)]
     pairs = phrase_table(docs, 2, seed, frequent, least)
-    frequent.append(bitmap(pairs))
+    frequent.append(bitmap(pairs, FILTER_BITS))
     triples = phrase_table(docs, 3, seed, frequent, least)
     longer = triples.select(F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "f")
     longer = longer.groupBy("p").agg(F.max("f").alias("longer")).select("p.*", "longer")

@@ -52,3 +52,26 @@ def lists(values: np.ndarray, sizes: list[int] | np.ndarray, kind: pa.DataType)
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers, scrambled one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap (as bytes, lowest bit first) of the ``bit`` of each row: a fixed size, whatever the rows."""
+    place = F.col("bit") + 1
+    at = F.bitmap_bucket_number(place).alias("at")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.groupBy(at).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect():
+        start = (row["at"] - 1) << 12  # of 4096 bytes each
+        part = np.frombuffer(bytes(row["b"]), np.uint8)[:len(out) - start]
+        out[start:start + len(part)] = part
+    return out
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -103,6 +103,34 @@ WITH d AS (
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20
 """
 
+ORACLES["op12_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []
+         WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingles
+  FROM d
+), n AS (
+  SELECT shingles, min(doc_id) AS node, len(shingles) AS size FROM s WHERE len(shingles) > 0 GROUP BY shingles
+), t AS (
+  SELECT node, size, unnest(shingles) AS shingle FROM n
+), links AS (
+  SELECT x.node AS a, y.node AS b FROM t x JOIN t y ON x.shingle = y.shingle AND x.node <> y.node
+  GROUP BY x.node, y.node, x.size, y.size HAVING 100 * count(*) >= 80 * (x.size + y.size - count(*))
+), reach AS (
+  SELECT node AS a, node AS b FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), roots AS (
+  SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(roots.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN n ON s.shingles = n.shingles LEFT JOIN roots ON n.node = roots.node
+"""
+
 ORACLES["op13_collocations"] = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(

@@ -10,6 +10,7 @@ from mailprism.llm.collocations import collocations
 from mailprism.llm.common import documents
 from mailprism.llm.exact_dedup import exact_dedup
 from mailprism.llm.html_extract import extract
+from mailprism.llm.jaccard_join import near_texts
 from mailprism.llm.lexical_search import search
 from mailprism.llm.line_dedup import line_dedup_report
 from mailprism.llm.mixing import mix
@@ -84,6 +85,11 @@ def op11_lexical_search(spark, sf_dir):
     return search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_jaccard_join(spark, sf_dir):
+    return near_texts(documents(spark, sf_dir))
+
+
 @query
 def op13_collocations(spark, sf_dir):
     return collocations(documents(spark, sf_dir))
