@@ -16,8 +16,8 @@ two sets, and each allocation posts all that cheaper ones do):
 Parts that are not empty and equal are counted per pair. A set with ``u`` such parts shares at least ``u - H`` with
 any partner, so pairs with fewer are dropped unread. Lists of up to ``LIST_ROWS`` sets are tallied pair by pair. A set
 in ``n`` longer lists can share at most ``n`` parts there, which is taken off what its pairs need elsewhere; only sets
-in which the long lists alone could suffice are compared inside these, each with the list's first set, then (as
-long as a list holds several components) with the next ones. So a passage that a third of all texts share makes no
+in which the long lists alone could suffice are compared inside these, each with the list's first set, then (if
+a list still holds several components) with the next ones. So a passage that a third of all texts share makes no
 pairs, and a group of n near copies costs about n comparisons. The remaining pairs are verified on the sets.
 
 Shingles are compared by 64-bit hashes (a false match inside one compared pair: about one in 10^13), sets by the sum of those.
@@ -43,7 +43,7 @@ from mailprism.session import stored
 WORDS = 5
 SHARE = 80
 #: Longest posting list that is tallied pair by pair.
-LIST_ROWS = 32
+LIST_ROWS = 256
 #: Bits of the filter that tells tasks which texts are to be compared.
 FILTER_BITS = 1 << 24
 NO_ID = -(1 << 63)
@@ -193,8 +193,10 @@ def tally(key: np.ndarray, node: np.ndarray, list_rows: int) -> list[np.ndarray]
     a, b, k = [node[long]], [node[long]], [key[long]]
     some = np.flatnonzero((size > 1) & (size <= list_rows))
     key, node = key[some], node[some]
+    at = np.arange(len(key))
     for step in range(1, list_rows):
-        at = np.flatnonzero(key[step:] == key[:-step])
+        at = at[:np.searchsorted(at, len(key) - step)]
+        at = at[key[at + step] == key[at]]
         if not len(at):
             break
         a.append(node[at])
@@ -241,7 +243,7 @@ def lists(postings: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
 
 
 def candidates(found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a, b``: pairs of short lists that may link, and ``key, node``: long lists with the sets that may link by these alone."""
+    """``a, b, shared``: pairs of short lists that may link, and ``key, node``: long lists with the sets that may link by these alone."""
     band = F.col("key").bitwiseAND(F.lit(255)).alias("band")
     needs = nodes.select("node", F.explode(F.arrays_zip("bands", "needs")).alias("r"))
     needs = needs.select("node", F.col("r.bands").alias("band"), F.col("r.needs").alias("need"))
@@ -254,7 +256,7 @@ def candidates(found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     enough = F.greatest("need_a", "need_b") - F.least("long_a", "long_b")
     heavy = known.where("n_long > 0 and n_long >= need").select("node", "band")
     return (
-        pairs.where(F.col("shared") >= enough).select("a", "b").distinct(),
+        pairs.where(F.col("shared") >= enough).groupBy("a", "b").agg(F.max("shared").alias("shared")),
         long.join(heavy, ["node", "band"], "left_semi").select("key", "node"),
     )
 
@@ -302,27 +304,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(_linked("set_a", "set_b")).select("a", "b")
 
 
-def long_links(heavy: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those that connect what the long lists ``heavy(key, node)`` hold together.
+def _named(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the known component of ``column`` as ``<column>_root``."""
+    known = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return rows.join(known, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
-    Each round compares the first set of a list, later up to ``LIST_ROWS`` sets, with those of other components, and
-    takes these first ones out. A list ends when it holds one component.
+
+def _first_ones(lists: DataFrame, slots: int) -> DataFrame:
+    """``key, c, c_root``: up to so many sets of each list, to be compared with the list's others."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+    first = lists.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "node_root")).alias("c"))
+    return first.select("key", F.col("c.node").alias("c"), F.col("c.node_root").alias("c_root"))
+
+
+def _pairs_with(lists: DataFrame, first: DataFrame) -> DataFrame:
+    """``a, b``: the sets of each list with its first ones, where their known components differ."""
+    pairs = lists.join(first, "key").where("node_root <> c_root")
+    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+
+
+def _divided(lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one known component."""
+    several = lists.groupBy("key").agg(F.min("node_root").alias("x"), F.max("node_root").alias("y")).where("x <> y")
+    return lists.join(several.select("key"), "key", "left_semi")
+
+
+def all_links(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect all that candidates ``a, b, shared`` and long lists ``key, node`` connect.
+
+    A set is first compared with the smaller one that it shares most parts with; then candidates in different
+    components, and each long list's first set with the others, are; then the lists that still hold
+    several components, a number of sets at a time that doubles.
     """
-    links, heavy = cut_lineage(links), cut_lineage(heavy)
-    at_once = 1
-    while not heavy.isEmpty():
-        roots = components(links).withColumnRenamed("root", "known")
-        rows = heavy.join(roots, "node", "left").select("key", "node", F.coalesce("known", "node").alias("root"))
-        mixed_lists = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        rows = cut_lineage(rows.join(mixed_lists, "key"))
-        slot = F.pmod(F.xxhash64("node"), F.lit(at_once))
-        first = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("c"))
-        first = cut_lineage(first.select("key", F.col("c.node").alias("c"), F.col("c.root").alias("c_root")))
-        pairs = rows.join(first, "key").where("root <> c_root")
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        links = cut_lineage(links.unionByName(verified(pairs, sets)))
-        heavy = cut_lineage(rows.join(first.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
-        at_once = LIST_ROWS
+    nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")).select("a", "b")
+    links = cut_lineage(verified(nearest, sets))
+    roots = components(links)
+    apart = _named(_named(pairs.select("a", "b"), roots, "a"), roots, "b").where("a_root <> b_root").select("a", "b")
+    lists = cut_lineage(_divided(_named(heavy, roots, "node")))
+    if not lists.isEmpty():
+        apart = apart.unionByName(_pairs_with(lists, _first_ones(lists, 1))).distinct()
+    links = cut_lineage(links.unionByName(verified(apart, sets)))
+    if lists.isEmpty():
+        return links
+    lists = cut_lineage(_divided(_named(lists.select("key", "node"), components(links), "node")))
+    slots = LIST_ROWS
+    while not lists.isEmpty():
+        first = cut_lineage(_first_ones(lists, slots))
+        links = cut_lineage(links.unionByName(verified(_pairs_with(lists, first).distinct(), sets)))
+        rest = lists.join(first.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
+        lists, slots = cut_lineage(_divided(rest)), 2 * slots
     return links
 
 
@@ -337,7 +367,7 @@ def near_texts(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     wanted = cut_lineage(nodes.join(asked, nodes["node"] == asked["a"], "left_semi").select("node", "doc"))
     sets = stored(sets_of(docs, wanted), "shingle-sets")
-    links = long_links(heavy, sets, verified(pairs, sets))
+    links = all_links(pairs, heavy, sets)
     roots = nodes.join(components(links).withColumnRenamed("root", "known"), "node", "left").select("node", "least", F.coalesce("known", "node").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(names, "root").select("node", "component_id")
