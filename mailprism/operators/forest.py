@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.functions import fixed_values as v
+from mailprism.operators import node_table
 from mailprism.operators.evaluation import metrics
 from mailprism.operators.harmonise import align_features
 from mailprism.operators.profile import balanced_weights
 from mailprism.operators.sampling import stratified_folds
+from mailprism.session import stored
 
 
 class ForestAgent:
@@ -40,10 +41,13 @@ class ForestAgent:
         self.history: dict = {}
 
     # --- training ---------------------------------------------------------------------------
-    def _forest(self) -> RandomForestClassifier:
+    def _forest(
+        self, trees: int | None = None, depth: int | None = None, min_leaf: int | None = None
+    ) -> RandomForestClassifier:
         return RandomForestClassifier(
-            featuresCol="scaled", labelCol="label", weightCol="weight", numTrees=self.trees,
-            maxDepth=self.depth, minInstancesPerNode=self.min_leaf,
+            featuresCol="scaled", labelCol="label", weightCol="weight",
+            numTrees=trees or self.trees, maxDepth=depth or self.depth,
+            minInstancesPerNode=min_leaf or self.min_leaf,
             featureSubsetStrategy="sqrt", seed=self.seed, maxMemoryInMB=512,
         )
 
@@ -72,18 +76,10 @@ class ForestAgent:
         """Fit on ``df``. ``key`` (unique) places the rows in folds for ``validate`` and ``tune``."""
         if (validate or tune) and key is None:
             raise ValueError("folds need a unique key column")
-        matrix = self._matrix(df, label, key)
-        found = df.count()
-        if found > self.max_train_rows:
-            matrix = matrix.sample(self.max_train_rows / found, self.seed)
-        rows = balanced_weights(matrix, "label")
-        if validate or tune:
-            rows = stratified_folds(rows, 5, "label", "__key", self.seed)
-        # every tree level reads the matrix again
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self._training_rows(df, label, key, validate or tune)
         try:
             if tune:
-                self._tune(rows)
+                self._choose(self._grid_scores(rows))
             self.model = self._pipeline(self._forest()).fit(rows)
             if validate:
                 self._validate(rows)
@@ -95,41 +91,79 @@ class ForestAgent:
         self.history["feature_importance"] = self._importances()
         return self
 
-    def _tune(self, rows: DataFrame) -> None:
-        forest = self._forest()
-        grid = (
-            ParamGridBuilder()
-            .addGrid(forest.numTrees, v.GRID_TREES)
-            .addGrid(forest.maxDepth, v.GRID_DEPTH)
-            .addGrid(forest.minInstancesPerNode, v.GRID_MIN_LEAF)
-            .build()
-        )
-        search = CrossValidator(
-            estimator=self._pipeline(forest), estimatorParamMaps=grid, foldCol="fold",
-            numFolds=5, parallelism=2,
-            evaluator=MulticlassClassificationEvaluator(
-                metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label"
-            ),
-        )
-        found = search.fit(rows)
-        best = grid[max(range(len(grid)), key=lambda i: found.avgMetrics[i])]
-        self.trees, self.depth, self.min_leaf = (
-            best[p] for p in (forest.numTrees, forest.maxDepth, forest.minInstancesPerNode)
+    def _training_rows(self, df: DataFrame, label: str, key: str | None, folds: bool) -> DataFrame:
+        """Features, label and weight (and fold) of the rows to fit on; every tree level reads them again."""
+        matrix = self._matrix(df, label, key)
+        found = df.count()
+        if found > self.max_train_rows:
+            matrix = matrix.sample(self.max_train_rows / found, self.seed)
+        rows = balanced_weights(matrix, "label")
+        if folds:
+            rows = stratified_folds(rows, 5, "label", "__key", self.seed)
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    # --- grid search ------------------------------------------------------------------------
+    def grid_scores(self, df: DataFrame, label: str = "label", key: str = "row_id") -> DataFrame:
+        """``trees, depth, min_leaf, f1``: the mean F1 over five folds of each point of the grid."""
+        rows = self._training_rows(df, label, key, True)
+        try:
+            return self._grid_scores(rows)
+        finally:
+            rows.unpersist()
+
+    def _grid_scores(self, rows: DataFrame) -> DataFrame:
+        """One forest per fold and leaf size: its prefixes and cuts are the other forests of the grid."""
+        spark = rows.sparkSession
+        points = [(t, d) for t in v.GRID_TREES for d in v.GRID_DEPTH]
+        held = []
+        for fold in range(5):
+            for min_leaf in v.GRID_MIN_LEAF:
+                forest = self._forest(max(v.GRID_TREES), max(v.GRID_DEPTH), min_leaf)
+                model = self._pipeline(forest).fit(rows.filter(F.col("fold") != fold))
+                trees = node_table.trees_of(node_table.node_table(spark, model.stages[-1]))
+                vote = node_table.voter(trees, v.GRID_TREES, v.GRID_DEPTH)
+                scaled = PipelineModel(model.stages[:-1]).transform(rows.filter(F.col("fold") == fold))
+                held.append(
+                    scaled.select(
+                        F.lit(fold).alias("fold"), F.lit(min_leaf).alias("min_leaf"), "label",
+                        F.posexplode(vote(vector_to_array("scaled"))).alias("point", "prediction"),
+                    ).groupBy("fold", "min_leaf", "point").agg(node_table.f1().alias("f1"))
+                )
+        names = F.array(*[F.struct(F.lit(t).alias("trees"), F.lit(d).alias("depth")) for t, d in points])
+        by_fold = stored(reduce(DataFrame.unionAll, held), "grid")
+        return (
+            by_fold.groupBy("point", "min_leaf").agg(F.avg("f1").alias("f1"))
+            .select(F.get(names, F.col("point")).alias("p"), "min_leaf", "f1")
+            .select("p.trees", "p.depth", "min_leaf", "f1")
         )
-        self.best_params = {
-            "trees": self.trees, "depth": self.depth, "min_leaf": self.min_leaf,
-            "f1": max(found.avgMetrics),
-        }
 
-    def _validate(self, rows: DataFrame) -> None:
-        scores = []
+    def _choose(self, scores: DataFrame) -> None:
+        """The best point; of equal ones the smallest forest."""
+        best = scores.orderBy(F.desc("f1"), "trees", "depth", F.desc("min_leaf")).first()
+        self.trees, self.depth, self.min_leaf = best["trees"], best["depth"], best["min_leaf"]
+        self.best_params = best.asDict()
+
+    # --- cross-validation -------------------------------------------------------------------
+    def cross_predict(self, df: DataFrame, label: str = "label", key: str = "row_id") -> DataFrame:
+        """``key, label, fold, prediction``: each row's verdict by the forest of the four other folds."""
+        rows = self._training_rows(df, label, key, True)
+        try:
+            return stored(self._cross_predictions(rows, "__key"), "folds").withColumnRenamed("__key", key)
+        finally:
+            rows.unpersist()
+
+    def _cross_predictions(self, rows: DataFrame, *keep: str) -> DataFrame:
+        held = []
         for fold in range(5):
             model = self._pipeline(self._forest()).fit(rows.filter(F.col("fold") != fold))
-            held = model.transform(rows.filter(F.col("fold") == fold))
-            row = metrics(held, "label", "prediction", None).first()
-            scores.append((row["accuracy"], row["f1_score"]))
-        self.history["cv_accuracy"] = [s[0] for s in scores]
-        self.history["cv_f1"] = [s[1] for s in scores]
+            scored = model.transform(rows.filter(F.col("fold") == fold))
+            held.append(scored.select(*keep, "label", "fold", F.col("prediction").cast("int").alias("prediction")))
+        return reduce(DataFrame.unionAll, held)
+
+    def _validate(self, rows: DataFrame) -> None:
+        scores = fold_scores(self._cross_predictions(rows)).orderBy("fold").collect()
+        self.history["cv_accuracy"] = [s["accuracy"] for s in scores]
+        self.history["cv_f1"] = [s["f1"] for s in scores]
 
     # --- results ----------------------------------------------------------------------------
     def _require_trained(self) -> PipelineModel:
@@ -142,9 +176,9 @@ class ForestAgent:
         return [[n, float(x)] for n, x in zip(self.feature_names, values)]
 
     def importances(self, spark: SparkSession, top: int | None = None) -> DataFrame:
-        """``feature, importance`` in descending order."""
-        rows = spark.createDataFrame(self._importances(), "feature string, importance double")
-        ordered = rows.orderBy(F.desc("importance"), "feature")
+        """``feature, importance`` in descending order, from the table of the forest's nodes."""
+        nodes = node_table.node_table(spark, self._require_trained().stages[-1])
+        ordered = node_table.importances(nodes, self.feature_names).orderBy(F.desc("importance"), "feature")
         return ordered.limit(top) if top else ordered
 
     def cv_summary(self, spark: SparkSession) -> DataFrame:
@@ -197,6 +231,14 @@ class ForestAgent:
         return agent
 
 
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """``fold, n, accuracy, f1`` of cross-validated verdicts."""
+    return predictions.groupBy("fold").agg(
+        F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"),
+        node_table.f1().alias("f1"),
+    )
+
+
 def url_agent(**options) -> ForestAgent:
     return ForestAgent(v.URL_FEATURES, **options)
 

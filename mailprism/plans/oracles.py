@@ -758,6 +758,11 @@ _URL_HELD = held_out(_URL_RULE.format(mail=MAIL_ORACLE))
 ORACLES["url_forest_verdicts"] = (
     f"SELECT id AS url_id, label, rule AS prediction FROM ({_URL_HELD})")
 ORACLES["stored_agent"] = f"SELECT count(*) AS n, count(*) AS equal FROM ({_URL_HELD})"
+# Every fold's forest finds the rule in the four other folds.
+ORACLES["fold_verdicts"] = f"""
+SELECT id AS url_id, label, CAST(ntile(5) OVER (
+  PARTITION BY label ORDER BY md5(concat('42|', id))) - 1 AS INTEGER) AS fold, rule AS prediction
+FROM ({_URL_RULE.format(mail=MAIL_ORACLE)})"""
 # What the texts show: one of the four phishing lines.
 _TEXT_RULE = """SELECT doc_id AS id, CAST(doc_id % 8 < 4 AS INTEGER) AS label,
   CAST(contains(body, 'URGENT! Verify your account') OR contains(body, 'you won a prize')

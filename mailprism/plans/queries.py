@@ -813,6 +813,12 @@ def forest_importances(spark, sf_dir):
     return agent.importances(spark, 15)
 
 
+@query
+def fold_verdicts(spark, sf_dir):
+    """Each mail's verdict by the URL forest of the four other folds."""
+    return url_agent().cross_predict(_mail_urls(spark, sf_dir), key="url_id")
+
+
 def _text_agent(spark, sf_dir) -> tuple[TextAgent, DataFrame]:
     mail = stored(_model_mail(spark, sf_dir), "texts")
     parts = stored(sampling.stratified_split(mail, 0.2), "parts")

@@ -8,7 +8,7 @@ from tests.compare import differences, run_sql
 
 #: Queries that train a model need the larger tables; one of each model is run here.
 MODELS = {"header_forest_metrics", "url_forest_verdicts", "text_agent_metrics"}
-SAME_MODELS = {"header_forest_verdicts", "text_verdicts", "stored_agent"}
+SAME_MODELS = {"fold_verdicts", "header_forest_verdicts", "text_verdicts", "stored_agent"}
 
 
 def test_every_twin_has_a_query():
