@@ -352,16 +352,8 @@ _PARSED = f"SELECT * REPLACE ({STRICT_BODY} AS body) FROM ({HEADERS})"
 ORACLES["flat_features_92"] = url_table(
     with_lower(_PARSED, "body"), "body", "doc_id AS msg_id, label",
     more=TEXT_EXPRS | _HEADER_EXPRS)
-_nested = {
-    "word_count": TEXT_EXPRS["word_count"], "special_char_ratio": TEXT_EXPRS["special_char_ratio"],
-    "url_count": url_exprs("facts")["url_count"],
-    "domain_length": url_exprs("facts")["domain_length"],
-    "subject_length": _HEADER_EXPRS["subject_length"], "spf_none": _HEADER_EXPRS["spf_none"],
-}
-ORACLES["nested_feature_groups"] = f"""
-SELECT doc_id AS msg_id, {listed(_nested)}
-FROM (SELECT *, {url_facts('parts')} AS facts
-      FROM (SELECT *, {url_parts('body')} AS parts FROM ({with_lower(_PARSED, 'body')})))"""
+ORACLES["nested_feature_groups"] = url_table(
+    with_lower(_PARSED, "body"), "body", "doc_id AS msg_id", more=TEXT_EXPRS | _HEADER_EXPRS)
 # A mail that is not multipart keeps its tags in the explained and batch forms.
 ORACLES["body_choice"] = f"""
 SELECT doc_id AS msg_id, {STRICT_BODY} AS strict, {STRICT_BODY} AS corpus,
@@ -423,9 +415,13 @@ ORACLES["preprocess_mbox"] = preprocessed(
     {hdr('from')} AS sender, CAST(NULL AS INTEGER) AS label
     FROM (SELECT * REPLACE (regexp_replace(body, '(^|\n)From ', '\\1>From ', 'g') AS body)
           FROM ({HEADERS}))""", "sender AS mail").replace("sender, CAST(label", "sender, CAST(label")
-ORACLES["default_rows"] = """
-SELECT * FROM (VALUES ('blank', 0, 0, 0, 0), ('null', 0, 0, 0, 0), ('words', 2, 0, 0, 0))
-  t(kind, word_count, url_count, has_urls, uses_https)"""
+ORACLES["default_rows"] = url_table(
+    with_lower("""SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN concat(' ', chr(10)) WHEN 2 THEN coalesce(text, '') ELSE '' END AS body
+                  FROM documents""", "body"), "body", "doc_id", more=TEXT_EXPRS)
+_ZEROS = ", ".join(f"CASE WHEN msg_id % 4 < 2 THEN 0 ELSE {n} END AS {n}" for n in _HEADER_EXPRS)
+ORACLES["default_headers"] = f"SELECT msg_id, {_ZEROS} FROM ({ORACLES['mail_header_features']})"
+ORACLES["text_column_choice"] = """
+SELECT doc_id, ['text', 'body', 'email_body', 'content', 'email', 'Email Text'][doc_id % 6 + 1] AS chosen, text FROM documents"""
 
 
 def url_corpus(sql: str, body: str, extra: str = "") -> str:

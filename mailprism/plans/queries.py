@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,10 +160,7 @@ def flat_features_92(spark, sf_dir):
 @query
 def nested_feature_groups(spark, sf_dir):
     nested = nested_features(_messages(spark, sf_dir), keep=("msg_id",))
-    return nested.select(
-        "msg_id", "text.word_count", "text.special_char_ratio", "url.url_count",
-        "url.domain_length", "metadata.subject_length", "metadata.spf_none",
-    )
+    return nested.select("msg_id", "text.*", "url.*", "metadata.*")
 
 
 @query
@@ -316,15 +314,34 @@ def preprocess_mbox(spark, sf_dir):
 
 @query
 def default_rows(spark, sf_dir):
-    """Features of texts that are null, blank or have no URL, one row per kind."""
-    kinds = F.array(F.lit("null"), F.lit("blank"), F.lit("words"))
-    kind = F.get(kinds, (F.col("doc_id") % 3).cast("int"))
-    texts = table(spark, sf_dir, "documents").select(
-        kind.alias("source"), F.when(kind == "blank", " \n").when(kind == "words", "two words").alias("text")
-    )
-    return text_url_features(texts, "text", ("source",)).select(
-        F.col("source").alias("kind"), "word_count", "url_count", "has_urls", "uses_https"
-    ).distinct()
+    """The 55 text and URL features; every third text is null, every third blank, the others are as they are."""
+    kind = F.col("doc_id") % 3
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 1, " \n").when(kind == 2, F.col("text")).alias("text"))
+    return text_url_features(texts, "text", ("doc_id",))
+
+
+@query
+def default_headers(spark, sf_dir):
+    """The 37 header features; every fourth mail has no readable headers, every fourth one that cannot be decoded."""
+    unread = F.transform("headers", lambda h: F.struct(
+        h["name"].alias("name"), F.when(F.lower(h["name"]) != "from", h["value"]).alias("value")
+    ))
+    part = F.col("msg_id") % 4
+    headers = F.when(part == 1, unread).when(part > 1, F.col("headers"))
+    return header_features(_messages(spark, sf_dir).withColumn("headers", headers), ("msg_id",))
+
+
+@query
+def text_column_choice(spark, sf_dir):
+    """Corpora that name their text in different ways, each with all the less likely names beside it."""
+    docs, names = table(spark, sf_dir, "documents"), v.TEXT_COLUMNS
+    out = []
+    for i, name in enumerate(names):
+        others = [F.upper("source").alias(n) for n in reversed(names[i + 1:])]
+        corpus = docs.where(F.pmod("doc_id", F.lit(len(names))) == i).select("doc_id", *others, F.col("text").alias(name))
+        chosen = harmonise.resolve_text(corpus)
+        out.append(corpus.select("doc_id", F.lit(chosen).alias("chosen"), F.col(f"`{chosen}`").alias("text")))
+    return reduce(DataFrame.unionAll, out)
 
 
 @query
