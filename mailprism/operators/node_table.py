@@ -52,7 +52,7 @@ def importances(nodes: DataFrame, feature_names: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Tree:
-    """One tree's nodes as arrays, children before none: a node's place is its id."""
+    """One tree as arrays; a node stands at the place that its id names."""
 
     left: np.ndarray
     right: np.ndarray
