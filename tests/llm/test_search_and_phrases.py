@@ -190,8 +190,7 @@ def test_collocations_with_a_hot_phrase_and_ties(spark, monkeypatch):
 
 
 def test_a_full_bitmap_only_costs_work(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "FILTER_BITS", 8)
-    monkeypatch.setattr(collocations.bit_of, "__defaults__", (8,))
+    monkeypatch.setattr(collocations, "bitmap", lambda rows, bits: np.full(bits // 8, 255, np.uint8))
     docs = [("a b c d", "en")] * 3 + [("a b x", "en"), ("p q", "de")]
     table = spark.createDataFrame(docs, "text string, lang string")
     assert rows(collocations.collocations(table, 2)) == phrases(docs, 2, 2000)
