@@ -35,6 +35,8 @@ END_ID = 0
 #: Words whose ids a Python worker remembers.
 MOST_WORDS = 600_000
 NO_ID = -(1 << 63)
+#: ASCII marks but the apostrophe, which begins short forms.
+MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
 def public_model(name: str = "byte_bpe_50k.json") -> str:
@@ -69,9 +71,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.blank = self.letters[32]
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.units = _Known(self._unit)
-        self.words = _Known(lambda w: self._unit(w if w[:1] == "\n" else " " + w))  # behind a blank, or with their line end
+        self.words = _Known(self._word)
         self.marks = _Known(self._ids)
 
     def _ids(self, text: str) -> bytes:
@@ -87,6 +90,15 @@ class Encoder:
         ids = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
         return ids + self.marks[marks] if marks else ids
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word behind a blank, or with its line end in front of it."""
+        core = word.rstrip(MARKS)
+        if core.isascii() and core.isalpha():
+            if len(core) < len(word):  # the plain word is likely known
+                return self.words[core] + self.marks[word[len(core):]]
+            return array(self.code, [t.id for t in self.model.tokenize(self.blank + core)]).tobytes()
+        return self._unit(word if word[:1] == "\n" else " " + word)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes of ``dtype``."""
         try:
