@@ -7,9 +7,11 @@ of the number of guesses, is least. A value that would take ``LEAST_COST`` or mo
 "password" or "changeme" is not. Base spans always stay; added ones have kind ``guess``. A value is left out only
 where one span covers the whole of it: a base span that ends inside a value does not stand for the rest.
 
-The words are the common ones of passwords and the ``MOST_WORDS`` words that the corpus itself has most often, so that
-ordinary prose behind "is" costs little. They are counted on Spark before the scan; the values of credential contexts
-are not counted, as a secret in many copies would become a word by them.
+The words are the common ones of passwords and all runs of letters that the corpus has ``LEAST_SEEN`` times or more, ranked
+by how often they stand in it, so that ordinary prose behind "is" costs little. They are counted on Spark before the scan;
+the values of credential contexts are not counted, as a secret in many copies would become a word by them. The ranked words
+stay a table: the parts of the values, of which there are few, are joined to it, so no list of words reaches the driver or
+a task. Texts are read twice and never shuffled.
 
 Offsets are code points, ends exclusive. Null text counts as empty and has no spans. Repeated rows are
 scanned one by one; values of any length are scanned whole. An empty table gives an empty result.
@@ -28,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from mailprism.llm.common import batches
+from mailprism.llm.common import batches, cut_lineage
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -48,12 +51,12 @@ CONTEXTS = (
     re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@]++:([^\s/@]++)@"),
     re.compile(r"(?<![A-Za-z])Bearer\x20+([A-Za-z0-9+/_.=-]+)"),
 )
-#: Ranked words of the corpus, their letters, how often one has to stand in the corpus, and words a task counts at a time.
-MOST_WORDS = 1 << 15
-WORD_LETTERS = range(3, 25)
+#: A word of the corpus: its letters, how often it has to stand there at least, and words a task counts at a time.
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 LEAST_SEEN = 3
 COUNTED_AT_ONCE = 1 << 18
-MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’…"
+#: Shares that rows with the same value are dealt to.
+SHARES = 16
 #: log10 of the guesses from which on a value counts as a secret.
 LEAST_COST = 10.0
 
@@ -78,10 +81,10 @@ JOINT = log10(4)
 
 
 class Words:
-    """Cost of each word: log10 of its rank, in the fixed list or among the corpus' own ``ranked`` words."""
+    """Cost of each word: log10 of its rank, in the fixed list or among the corpus' own, given as ``{word: rank}``."""
 
-    def __init__(self, ranked: list[str] = ()):
-        self.cost = {w: log10(i + 2) for i, w in enumerate(ranked)}
+    def __init__(self, ranks: dict[str, int] | None = None):
+        self.cost = {w: log10(rank + 1) for w, rank in (ranks or {}).items()}
         for i, w in enumerate(WORDS):
             self.cost[w] = min(self.cost.get(w, 99.0), log10(i + 2))
         self.longest = max(map(len, self.cost))
@@ -182,19 +185,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Values in a credential context, in the order of the contexts, but for those that lie in a base span."""
+    found = (m.span(m.lastindex) for context in CONTEXTS for m in context.finditer(text))
+    return [(a, b) for a, b in found if not any(x <= a and b <= y for _, x, y in base)]
+
+
+def chosen(values: list[tuple[int, int, bool]]) -> list[tuple[str, int, int]]:
+    """The spans of the secret values, but for those that lie in an earlier one."""
+    out: list[tuple[str, int, int]] = []
+    for a, b, secret in values:
+        if secret and not any(x <= a and b <= y for _, x, y in out):
+            out.append(("guess", a, b))
+    return out
+
+
 def guessed_spans(
     text: str, base: list[tuple[str, int, int]], least_cost: float = LEAST_COST, words: Words | None = None
 ) -> list[tuple[str, int, int]]:
     """Values in a credential context that would take too many guesses, but for those that lie in another span."""
-    taken = [(a, b) for _, a, b in base]
-    out = []
-    for context in CONTEXTS:
-        for m in context.finditer(text):
-            a, b = m.span(m.lastindex)
-            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b], words) >= least_cost:
-                out.append(("guess", a, b))
-                taken.append((a, b))
-    return out
+    return chosen([(a, b, guess_cost(text[a:b], words) >= least_cost) for a, b in candidates(text, base)])
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
@@ -212,14 +222,16 @@ def words_of(text: str) -> Counter[str]:
     rest.append(text[at:])
     found: Counter[str] = Counter()
     for token, n in Counter(" ".join(rest).lower().split()).items():
-        word = token.strip(MARKS)
-        if len(word) in WORD_LETTERS and word.isalpha():
+        for word in (token,) if token.isalpha() and len(token) > 2 else LETTERS.findall(token):
             found[word] += n
     return found
 
 
-def ranked_words(docs: DataFrame, most: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> list[str]:
-    """The corpus' words, most common first: at most ``most`` come to the driver."""
+def ranked_words(docs: DataFrame, least_seen: int = LEAST_SEEN) -> DataFrame:
+    """``word, rank`` of all words seen ``least_seen`` times: how many words are seen as often or more.
+
+    The running sum is over the different frequencies, of which there are far fewer than words.
+    """
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -236,30 +248,88 @@ def ranked_words(docs: DataFrame, most: int = MOST_WORDS, least_seen: int = LEAS
         yield told()
 
     counts = docs.select("text").where("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = counts.where(F.col("n") >= least_seen).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in ranked.collect()]
+    counts = cut_lineage(counts.where(F.col("n") >= least_seen))
+    often = Window.orderBy(F.desc("n"))
+    ranks = counts.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(often).alias("rank"))
+    return counts.join(ranks, "n").select("word", "rank")
+
+
+def word_parts(value: str, lengths: list[int]) -> set[str]:
+    """Parts of the value that could be words: runs of letters of these lengths, as they stand or with stand-ins read as letters."""
+    low = value.lower()
+    out = set()
+    for run in {r for text in {low, low.translate(LEET)} for r in LETTERS.findall(text)}:
+        for size in lengths:
+            out.update(run[i:i + size] for i in range(len(run) - size + 1))
+    return out
+
+
+def secret_values(values: DataFrame, ranked: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
+    """``value, secret`` for the different ``value`` of the rows."""
+    lengths = sorted(r[0] for r in ranked.select(F.length("word")).distinct().collect())  # few: words of n lengths hold n * n / 2 letters
+    values = values.select("value").distinct()
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(v, w) for v in batch.column(0).to_pylist() for w in word_parts(v, lengths)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["value", "word"])
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = zip(batch.column("value").to_pylist(), batch.column("words").to_pylist())
+        verdicts = [guess_cost(v, Words({w["word"]: w["rank"] for w in words or ()})) >= least_cost for v, words in found]
+        return pa.RecordBatch.from_arrays([batch.column("value"), pa.array(verdicts, pa.bool_())], ["value", "secret"])
+
+    known = values.mapInArrow(batches(part, 64), "value string, word string").join(ranked, "word")
+    known = known.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+    return values.join(known, "value", "left").select("value", "words").mapInArrow(batches(judge), "value string, secret boolean")
 
 
 def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` for each row of ``docs(doc_id, text)``."""
-    words = Words(ranked_words(docs))
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base"]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, spans = [], [], []
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, digests, spans, values = [], [], [], []
         for text in batch.column(1).to_pylist():
             base = base_spans(text)
-            more = guessed_spans(text, base, least_cost, words)
             kinds = [k for k, _, _ in base]
-            counts.append([*map(kinds.count, KINDS[:3]), len(more)])
-            digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-            spans.append(listed(base + more))
+            counts.append([*map(kinds.count, KINDS[:3])])
+            spans.append(listed(base))
+            digests.append(hashlib.sha256(spans[-1].encode()).hexdigest())
+            values.append([{"a": a, "b": b, "value": text[a:b]} for a, b in candidates(text, base)])
         numbers = np.array(counts, np.int64)
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("value", pa.string())]))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(numbers[:, i]) for i in range(4)], pa.array(digests), pa.array(spans, pa.string())],
-            ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"],
+            [batch.column(0), *[pa.array(numbers[:, i]) for i in range(3)], pa.array(digests), pa.array(spans, pa.string()), pa.array(values, kind)],
+            [*columns, "found"],
         )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        batches(work),
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        more = [
+            chosen([(v["a"], v["b"], v["secret"]) for v in sorted(values or (), key=lambda v: v["place"])])
+            for values in batch.column("judged").to_pylist()
+        ]
+        spans = [
+            listed([(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)] + added) if added else base
+            for base, added in zip(batch.column("base").to_pylist(), more)
+        ]
+        kept = [batch.column(c) for c in columns[:4]]
+        return pa.RecordBatch.from_arrays(
+            [*kept, pa.array(list(map(len, more)), pa.int64()), batch.column("base_sha256"), pa.array(spans, pa.string())],
+            [*columns[:4], "n_guess", "base_sha256", "spans"],
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
+        batches(find),
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<a:long,b:long,value:string>>",
+    )
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))  # narrow; the numbers stay as written
+    values = rows.select("row", F.posexplode("found").alias("place", "v")).select("row", "place", "v.*")
+    verdicts = secret_values(values, ranked_words(docs), least_cost)
+    # a value in a third of all rows is dealt to several shares
+    verdicts = verdicts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    judged = values.withColumn("share", F.pmod("row", F.lit(SHARES)).cast("int")).join(verdicts, ["value", "share"])
+    judged = judged.groupBy("row").agg(F.collect_list(F.struct("place", "a", "b", "secret")).alias("judged"))
+    return rows.drop("found").join(judged, "row", "left").select(*columns, "judged").mapInArrow(
+        batches(settle),
         "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string",
     )

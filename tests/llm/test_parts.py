@@ -389,8 +389,12 @@ def test_words_of_the_corpus_are_cheap(spark):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
     assert [got[d]["n_guess"] for d in (0, 10, 11, 12, 90)] == [0] * 5
     assert got[20]["spans"] == "guess:17:28" and got[91]["n_guess"] == 1
-    assert "qhzvkwmrtjx" not in secret_scan.ranked_words(docs) and "persuasion" in secret_scan.ranked_words(docs)
-    assert len(secret_scan.ranked_words(docs, most=2)) == 2
+    ranked = {r["word"]: r["rank"] for r in secret_scan.ranked_words(docs).collect()}
+    assert "qhzvkwmrtjx" not in ranked and "persuasion" in ranked
+    words = secret_scan.Words(ranked)  # all words at once judge as the joined parts do
+    for doc_id, text in rows:
+        base = secret_scan.base_spans(text or "")
+        assert got[doc_id]["spans"] == secret_scan.listed(base + secret_scan.guessed_spans(text or "", base, words=words))
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -452,3 +456,25 @@ def test_odd_pages(spark):
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert [(r["page_id"], r["text"]) for r in got if r["text"]] == [(5, "kept")] and len(got) == len(rows)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_secret_spans_are_those_of_all_words(spark, sf_dir):
+    """Whole table, with contexts of all three kinds in its texts, against one dictionary of every ranked word."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    value = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 12)
+    prose = F.regexp_extract(text, r"([A-Za-z]{4,})", 1)
+    more = F.element_at(F.array(
+        F.concat(F.lit("the passphrase is "), prose, F.lit("$"), value), F.concat(F.lit("Bearer "), F.base64(value)),
+        F.concat(F.lit("db://me:"), value, F.lit("%x@host/")), F.concat(F.lit("token is "), prose),
+    ), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    docs = table.select("doc_id", F.concat_ws(" ", text, more, F.lit("end")).alias("text"))
+    words = secret_scan.Words({r["word"]: r["rank"] for r in secret_scan.ranked_words(docs).collect()})
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    guessed = {0: 0, 1: 0, 2: 0, 3: 0}
+    for doc_id, text in docs.collect():
+        base = secret_scan.base_spans(text)
+        want = secret_scan.guessed_spans(text, base, words=words)
+        assert got[doc_id]["spans"] == secret_scan.listed(base + want) and got[doc_id]["n_guess"] == len(want)
+        guessed[doc_id % 4] += len(want) > 0
+    assert min(guessed[k] for k in (0, 1, 2)) > 0 and guessed[3] < guessed[0]
