@@ -7,8 +7,9 @@ further apart they are in the element tree. The minimum cut, found by max-flow,
 
 Content blocks are joined in page order. Each page is labelled alone, in the task that reads it, so nothing
 is shuffled. Null or empty html gives empty text; pages without content blocks too. Malformed markup is
-read as far as it goes: unclosed elements end with their parent, an unclosed tag is text, a self-closed or unclosed
-``svg`` and the like is empty. Repeated rows are
+read as far as it goes: unclosed elements end with their parent, a head ends at the first element or text that it cannot
+hold, an unclosed tag is text, a self-closed or unclosed ``svg`` and the like is empty. A form around the main element or
+most of the text is no boilerplate. Time grows with the page's length, not with its depth. Repeated rows are
 extracted one by one; white space is any Unicode white space after decoding.
 """
 
@@ -46,6 +47,10 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset datal
 MAIN_TAGS = frozenset(("article", "main"))
 #: Elements that an opening tag ends, if open in the same parent.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a head can hold besides raw elements; anything else ends it, as its end tag is optional.
+HEAD_VOIDS = frozenset("base link meta".split())
+#: Elements that servers wrap around a whole page; one that holds most of the page's text says nothing about it.
+WRAPPERS = frozenset("form fieldset dialog".split())
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body html".split())
 
 #: Words of class, id and role that speak for boilerplate or for content.
@@ -82,13 +87,17 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parent, self.depth, self.boiler, self.content, self.wraps = ["#"], [-1], [0], [0], [False], [False]
+        self.hidden = [False]
         self.blocks: list[Block] = []
         self._stack = [0]
-        self._links = 0
+        # places on the stack: of each tag, of elements that are not inline, of those that end a search upwards
+        self._at: dict[str, list[int]] = {}
+        self._solid, self._scopes = [0], [0]
         self._block: Block | None = None
         self._ends: dict[int, int] | None = None
         self._endless: dict[str, int] = {}  # no end tag from this place on
         self._read(html)
+        self._inherit()
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -156,11 +165,11 @@ class Page:
         if block is None:
             if raw.isspace():
                 return
-            element = next(e for e in reversed(self._stack) if self.tags[e] not in INLINE)
-            block = self._block = Block(element)
+            self._end_head()
+            block = self._block = Block(self._stack[self._solid[-1]])
         block.parts.append(raw)
         block.chars += len(raw)
-        if self._links:
+        if self._at.get("a"):
             block.linked += len(raw)
 
     def _end_block(self) -> None:
@@ -172,18 +181,17 @@ class Page:
                 self.blocks.append(block)
 
     def _open(self, name: str, attributes: str) -> None:
+        if name not in HEAD_VOIDS:
+            self._end_head()
         if name in VOID:
             self._space(name)
             return
         if name not in INLINE:
             self._end_block()
-            for i in range(len(self._stack) - 1, 0, -1):  # a block element ends an open paragraph, an item the one before
-                tag = self.tags[self._stack[i]]
-                if tag == "p" or tag in ENDS.get(name, ()):
-                    self._pop(i)
-                    break
-                if tag in SCOPES:
-                    break
+            # a block element ends an open paragraph, an item the one before, up to the nearest scope
+            open_at = max((at[-1] for tag in ("p", *ENDS.get(name, ())) if (at := self._at.get(tag))), default=0)
+            if open_at > self._scopes[-1]:
+                self._pop(open_at)
         hidden = False
         words: set[str] = set()
         if attributes and "=" in attributes or "hidden" in attributes:
@@ -206,7 +214,9 @@ class Page:
         elif name not in ("body", "html") and words & BOILER_WORDS or name == "header" and not self._inside_main():
             boiler = 1
         if name in MAIN_TAGS and name != "body":
-            for e in self._stack:
+            for e in reversed(self._stack):
+                if self.wraps[e]:
+                    break  # and so do all above it
                 self.wraps[e] = True
         self.tags.append(name)
         self.parent.append(top)
@@ -214,47 +224,68 @@ class Page:
         self.boiler.append(boiler)
         self.content.append(bool(words & CONTENT_WORDS))
         self.wraps.append(False)
+        self.hidden.append(hidden or bool(words & COMMENT_WORDS))
+        place = len(self._stack)
         self._stack.append(len(self.tags) - 1)
-        self._links += name == "a"
+        self._at.setdefault(name, []).append(place)
+        if name not in INLINE:
+            self._solid.append(place)
+        if name in SCOPES:
+            self._scopes.append(place)
 
     def _inside_main(self) -> bool:
-        return any(self.tags[e] in MAIN_TAGS for e in self._stack)
+        return any(self._at.get(tag) for tag in MAIN_TAGS)
+
+    def _end_head(self) -> None:
+        if self._at.get("head"):
+            self._pop(self._at["head"][-1])
 
     def _pop(self, to: int) -> None:
-        self._links -= sum(self.tags[e] == "a" for e in self._stack[to:])
+        for e in self._stack[to:]:
+            self._at[self.tags[e]].pop()
         del self._stack[to:]
+        for places in (self._solid, self._scopes):
+            while places[-1] >= to:
+                places.pop()
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
             self._end_block()
-        for i in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[i]]
-            if tag == name:
-                self._pop(i)
-                return
-            if name in INLINE and tag not in INLINE:
-                return
-
-    def path(self, element: int) -> list[int]:
-        out = []
-        while element > 0:
-            out.append(element)
-            element = self.parent[element]
-        return out
+        # an inline element is looked for inside the nearest block only
+        if (at := self._at.get(name)) and not (name in INLINE and at[-1] < self._solid[-1]):
+            self._pop(at[-1])
+
+    def _inherit(self) -> None:
+        """What each element has from itself and all around it; parents stand before their children."""
+        n = len(self.tags)
+        chars = [0] * n  # of text in an element
+        for block in self.blocks:
+            chars[block.element] += len(block.text)
+        for e in range(n - 1, 0, -1):
+            chars[self.parent[e]] += chars[e]
+        self.in_boiler, self.in_main, self.in_name, self.in_content = ([False] * n for _ in range(4))
+        for e in range(1, n):
+            up, kind = self.parent[e], self.boiler[e]
+            # a name, or a form, means nothing around the main part of the page
+            around = self.tags[e] in WRAPPERS and not self.hidden[e] and (self.wraps[e] or 2 * chars[e] > chars[0])
+            own = kind == 2 and not around or kind == 1 and not self.wraps[e]
+            self.in_boiler[e] = self.in_boiler[up] or own
+            self.in_main[e] = self.in_main[up] or self.tags[e] in MAIN_TAGS
+            self.in_name[e] = self.in_name[up] or kind == 3
+            self.in_content[e] = self.in_content[up] or self.content[e]
 
 
 def score(page: Page, block: Block) -> float:
     """Log odds that the block is content."""
-    path = page.path(block.element)
+    at = block.element
     words = block.text.count(" ") + 1
     out = BASE + PER_TEN_WORDS * min(words, MOST_WORDS) / 10 + LINKS * block.linked / block.chars
     out += PARAGRAPH * (page.tags[block.element] in ("p", "blockquote", "pre")) + SENTENCE * (block.text[-1] in ".!?…。")
-    # a name that speaks for boilerplate means nothing on an element around the main part of the page
-    if any(page.boiler[e] == 2 or page.boiler[e] == 1 and not page.wraps[e] for e in path):
+    if page.in_boiler[at]:
         return out + IN_BOILER
-    if any(page.tags[e] in MAIN_TAGS for e in path):
-        return out + IN_MAIN + NAMED_IN_MAIN * any(page.boiler[e] == 3 for e in path)
-    return out + NAMED_CONTENT * any(page.content[e] for e in path)
+    if page.in_main[at]:
+        return out + IN_MAIN + NAMED_IN_MAIN * page.in_name[at]
+    return out + NAMED_CONTENT * page.in_content[at]
 
 
 def ties(page: Page) -> list[tuple[int, int, float]]:

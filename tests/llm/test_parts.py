@@ -478,3 +478,54 @@ def test_secret_spans_are_those_of_all_words(spark, sf_dir):
         assert got[doc_id]["spans"] == secret_scan.listed(base + want) and got[doc_id]["n_guess"] == len(want)
         guessed[doc_id % 4] += len(want) > 0
     assert min(guessed[k] for k in (0, 1, 2)) > 0 and guessed[3] < guessed[0]
+
+
+LONG = "The council met on Monday to speak about the new bridge, which is to open in spring. It will cost more than was planned."
+NAV = "<nav><a href=/>Home</a><a href=/b>News</a></nav>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><meta charset=utf-8><body>{nav}<article><p>{a}</p><p>{b}</p></article></body></html>",
+    "<head><title>T</title>{nav}<article><p>{a}<p>{b}</article>",
+    "<head><title>T</title><p>{a}<p>{b}",
+    "<body><form method=post>{nav}<article><p>{a}</p><p>{b}</p></article><input type=submit></form><footer>Imprint</footer>",
+    "<body><form method=post>{nav}<div><p>{a}</p><p>{b}</p></div></form>",
+    "<body>{nav}<div><p>{a}</p><p>{b}</p></div><form><p>Your mail address</p></form><footer>Imprint</footer>",
+    "<body>{nav}<p>{a}<p>{b}<footer>Imprint</footer>",
+    "<body><article><ul><li>{a}<li>{b}</ul></article><aside><article><p>{a}</article></aside>",
+])
+def test_pages_as_they_are_written(page):
+    """Optional end tags, forms around the page, no main element."""
+    a, b = LONG, LONG.replace("Monday", "Friday")
+    assert html_extract.main_text(page.format(nav=NAV, a=a, b=b)) == f"{a} {b}"
+
+
+def test_hidden_and_comment_forms_stay_out():
+    for mark in ("hidden", "class=comments"):
+        assert html_extract.main_text(f"<body><form {mark}><p>{LONG}</p><p>{LONG}</p></form>") == ""
+
+
+@pytest.mark.parametrize("tag", ["<b>", "<font>", "<div>", "<unknown>", "<ul><li>", "<li>", "<p>"])
+def test_deep_pages_take_linear_time(tag):
+    import time
+
+    times = []
+    for n in (10_000, 100_000):
+        start = time.process_time()
+        assert html_extract.main_text("<article>" + (tag + "word. ") * n).count("word") == n
+        times.append(time.process_time() - start)
+    assert times[1] < 40 * max(times[0], 0.02)
+
+
+def test_pages_without_a_main_element_keep_their_text(spark, sf_dir):
+    """A main text of a few words has little but its tag to speak for it, so such pages are apart."""
+    kept = total = 0
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        want = html_extract.main_text(row.html)
+        if want.count(" ") < 20:
+            continue
+        for other in ("div", "section"):
+            page = row.html.replace("<article>", f"<{other}>").replace("</article>", f"</{other}>")
+            kept += html_extract.main_text(page) == want
+            total += 1
+    assert total > 80 and kept >= 0.98 * total
