@@ -55,9 +55,17 @@ def _score_steps(counts: DataFrame) -> DataFrame:
     ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = [i / ranges for i in range(1, ranges)]
     bounds = counts.agg(F.percentile_approx("score", marks, 10000).alias("b")).scalar()
+    # bounds below the score, by halving; a place beyond the last bound is null and adds nothing
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
+    below = F.aggregate(
+        halves, F.lit(0),
+        lambda n, step: n + F.when(
+            F.get("__bounds", n + step - 1) < F.col("score"), step
+        ).otherwise(0),
+    )
+    # never null, or a null test of it would run on every row below the aggregate
     steps = counts.withColumn("__bounds", bounds).withColumn(
-        # never null, or a null test of it would run on every row below the aggregate
-        "bucket", F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("score"))), F.lit(0))
+        "bucket", F.coalesce(below, F.lit(0))
     ).drop("__bounds")
     higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(
         Window.unboundedPreceding, -1

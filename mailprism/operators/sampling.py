@@ -1,66 +1,59 @@
 """Repeatable sampling, shuffling and splitting, independent of partitioning.
 
 Rows are ordered by ``md5(seed|key)`` inside their class. Nothing here sorts a class in one task, and
-nothing runs while a plan is built: rows are counted per class and hash prefix, running sums of these
-small counts show the prefix that holds a wanted rank, and only rows of such prefixes are sorted. The
-hashes found, one per class and rank, are broadcast (there are as many as classes, or folds times
-classes), and every row compares its own hash. The wide rows are not shuffled. ``key`` must be
-unique.
+nothing runs while a plan is built. The narrow columns are read once to count rows per class and hash
+prefix; class sizes, wanted ranks and the prefixes that hold them all follow from these counts. They are
+read again for the rows of such prefixes, which alone are sorted. The hashes found, one per class and
+rank, are broadcast (there are as many as classes, or folds times classes), and every row compares its
+own hash. The wide rows are not shuffled. ``key`` must be unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailprism.functions.fixed_values import SEED
 
-# prefixes of 1, 2, ... digits: each level looks inside the prefixes that hold a rank only, so a
-# last prefix holds one row in 65 536 of a class, or fewer with more levels
-LEVELS = (2, 4)
+# hexadecimal digits of a prefix: one in 65 536 of a class's rows is sorted per wanted rank
+PREFIX_DIGITS = 4
 
 
 def order_hash(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
-    """``label, n`` for each class that is not null."""
-    rows = df.filter(F.col(label).isNotNull())
-    return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-
-
-def hash_cuts(df: DataFrame, label: str, key: str, seed: int, wanted: DataFrame) -> DataFrame:
-    """``label, cuts``: per class the hashes at the ranks of ``wanted(label, rank)``, 1-based.
+def hash_cuts(
+    df: DataFrame, label: str, key: str, seed: int, ranks: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``label, cuts``: per class the hashes at certain ranks, 1-based.
 
-    Level by level, counts per hash prefix leave of each rank a prefix and the rank inside it.
+    ``ranks`` makes ``label, rank`` of ``label, n``, the size of each class that is not null.
     """
-    hashed = df.select(F.col(label).alias("label"), order_hash(key, seed).alias("h")).filter(
-        F.col("label").isNotNull()
+    hashed = df.filter(F.col(label).isNotNull()).select(
+        F.col(label).alias("label"), order_hash(key, seed).alias("h")
+    ).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+    counts = hashed.groupBy("label", "prefix").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("label").orderBy("prefix")
+    spans = counts.withColumn("last", F.sum("n").over(up_to))
+    sizes = counts.groupBy("label").agg(F.sum("n").alias("n"))
+    wanted = ranks(sizes).select("label", "rank").filter("rank > 0")
+    # the prefix that holds each rank, and the ranks inside it
+    places = spans.join(F.broadcast(wanted), "label").filter(
+        (F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("n"))
+    ).groupBy("label", "prefix").agg(
+        F.collect_list(F.col("rank") - F.col("last") + F.col("n")).alias("ranks")
     )
-    places = wanted.select("label", "rank", F.lit("").alias("prefix"), F.col("rank").alias("at"))
-    rows = hashed
-    for digits in LEVELS:
-        longer = F.substring("h", 1, digits)
-        known = places.select("label", "prefix").distinct()
-        rows = rows.withColumn("prefix", F.substring("h", 1, digits - 2)).join(
-            F.broadcast(known), ["label", "prefix"], "left_semi"
-        ).drop("prefix")
-        counts = rows.groupBy("label", longer.alias("longer")).agg(F.count("*").alias("n"))
-        counts = counts.withColumn("prefix", F.substring("longer", 1, digits - 2))
-        up_to = Window.partitionBy("label", "prefix").orderBy("longer")
-        spans = counts.withColumn("last", F.sum("n").over(up_to))
-        places = places.join(spans, ["label", "prefix"]).filter(
-            (F.col("at") <= F.col("last")) & (F.col("at") > F.col("last") - F.col("n"))
-        ).select(
-            "label", "rank", F.col("longer").alias("prefix"),
-            (F.col("at") - F.col("last") + F.col("n")).alias("at"),
-        )
     inside = Window.partitionBy("label", "prefix").orderBy("h")
-    near = rows.withColumn("prefix", F.substring("h", 1, LEVELS[-1])).join(
-        F.broadcast(places.select("label", "prefix").distinct()), ["label", "prefix"], "left_semi"
-    ).withColumn("at", F.row_number().over(inside))
-    found = places.join(near, ["label", "prefix", "at"])
+    near = hashed.join(F.broadcast(places), ["label", "prefix"]).withColumn(
+        "at", F.row_number().over(inside)
+    )
+    # a rank that is wanted twice gives its hash twice
+    found = near.select(
+        "label", "h", F.explode(F.filter("ranks", lambda r: r == F.col("at"))).alias("rank")
+    )
     return found.groupBy("label").agg(F.array_sort(F.collect_list("h")).alias("cuts"))
 
 
@@ -84,8 +77,10 @@ def class_ratio_sample(
     n_legit = int(total * legit_ratio)
     binary = df.filter(F.col(label).isin(0, 1))
     target = F.when(F.col("label") == 0, n_legit).otherwise(total - n_legit)
-    wanted = class_counts(binary, label).select("label", F.least("n", target).alias("rank"))
-    cuts = hash_cuts(binary, label, key, seed, wanted.filter("rank > 0"))
+    cuts = hash_cuts(
+        binary, label, key, seed,
+        lambda sizes: sizes.select("label", F.least("n", target).alias("rank")),
+    )
     return _with_passed(binary, cuts, label, key, seed).filter("__passed = 0").drop("__passed")
 
 
@@ -118,8 +113,7 @@ def stratified_split(
     seed: int = SEED,
 ) -> DataFrame:
     """All rows with ``is_test``: the class shares are the same in both parts."""
-    wanted = test_sizes(class_counts(df, label), test_size).filter("rank > 0")
-    cuts = hash_cuts(df, label, key, seed, wanted)
+    cuts = hash_cuts(df, label, key, seed, lambda sizes: test_sizes(sizes, test_size))
     in_test = F.coalesce(F.col("__passed") == 0, F.lit(False)).cast("int")
     return _with_passed(df, cuts, label, key, seed).withColumn("is_test", in_test).drop("__passed")
 
@@ -134,8 +128,9 @@ def stratified_folds(
         F.sequence(F.lit(1), F.lit(k - 1)),
         lambda i: i * F.floor(n / k) + F.least(i.cast("long"), n % k),
     )
-    wanted = class_counts(df, label).select("label", F.explode(ends).alias("rank"))
-    cuts = hash_cuts(df, label, key, seed, wanted.filter("rank > 0"))
+    cuts = hash_cuts(
+        df, label, key, seed, lambda sizes: sizes.select("label", F.explode(ends).alias("rank"))
+    )
     passed = F.coalesce("__passed", F.lit(0))
     return _with_passed(df, cuts, label, key, seed).withColumn("fold", passed).drop("__passed")
 

@@ -1,5 +1,6 @@
 """Clean-up, sampling, profiles, evaluation: edge cases the driver tables do not have."""
 
+import hashlib
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mailprism.operators import evaluation, harmonise, profile, sampling, scoring
 from mailprism.plans.agents import build_text_corpus, with_url_ids
+from mailprism.plans.queries import QUERIES
 from mailprism.sources import tables
 
 
@@ -238,3 +240,48 @@ def test_value_counts_and_profile(spark):
     got = {(r["column"], r["value"], r["n"]) for r in profile.low_cardinality_profile(df).collect()}
     assert got == {("s", "a", 30), ("s", "b", 1)}
     assert profile.value_counts(df, "s").first()["s"] == "a"
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "stratified_folds", "class_ratio_sample"])
+def test_sampling_reads_its_table_three_times(spark, sf_dir, name):
+    """Once to count, once for the rows around the cuts, once for the result; counts are shuffled once."""
+    result = QUERIES[name](spark, sf_dir)
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert 0 < plan.count("FileScan") <= 3
+
+
+def test_cuts_at_ranks_of_a_sorted_class(spark):
+    """Against a plain sort: several ranks of a class, one wanted twice, a class without a wanted rank."""
+    rows = [(i, None if i % 7 == 6 else i % 3) for i in range(500)]
+    frame = spark.createDataFrame(rows, "row_id int, label int")
+
+    def ranks(sizes):
+        ends = F.array(F.lit(1), F.lit(3), F.lit(3), F.col("n").cast("int"))
+        return sizes.filter("label < 2").select("label", F.explode(ends).alias("rank"))
+
+    got = {r["label"]: r["cuts"] for r in sampling.hash_cuts(frame, "label", "row_id", 42, ranks).collect()}
+    want = {}
+    for label in (0, 1):
+        hashes = sorted(hashlib.md5(f"42|{i}".encode()).hexdigest() for i, other in rows if other == label)
+        want[label] = [hashes[0], hashes[2], hashes[2], hashes[-1]]
+    assert got == want
+
+
+@pytest.mark.parametrize("partitions", ["1", "2", "7", "64"])
+def test_auc_for_any_number_of_ranges(spark, partitions):
+    rows = [(int(i * 7919 % 11 < 5), (i * 37 % 101) / 100.0) for i in range(400)]
+    frame = spark.createDataFrame(rows, "label int, score double")
+    pos, neg = [[s for l, s in rows if l == k] for k in (1, 0)]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = evaluation.roc_auc(frame).first()["roc_auc"]
+        curve = evaluation.roc_curve(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == pytest.approx(want)
+    for r in curve:
+        assert r["tpr"] == pytest.approx(sum(p >= r["threshold"] for p in pos) / len(pos))
+        assert r["fpr"] == pytest.approx(sum(n >= r["threshold"] for n in neg) / len(neg))
