@@ -55,8 +55,8 @@ CONTEXTS = (
 LETTERS = re.compile(r"[^\W\d_]{3,}")
 LEAST_SEEN = 3
 COUNTED_AT_ONCE = 1 << 18
-#: Shares that rows with the same value are dealt to.
-SHARES = 16
+#: Shares that rows with the same value, or words with the same frequency, are dealt to.
+SHARES = 64
 #: log10 of the guesses from which on a value counts as a secret.
 LEAST_COST = 10.0
 
@@ -251,7 +251,10 @@ def ranked_words(docs: DataFrame, least_seen: int = LEAST_SEEN) -> DataFrame:
     counts = cut_lineage(counts.where(F.col("n") >= least_seen))
     often = Window.orderBy(F.desc("n"))
     ranks = counts.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(often).alias("rank"))
-    return counts.join(ranks, "n").select("word", "rank")
+    # most words are seen three or four times, so a frequency is dealt to several shares
+    ranks = ranks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    counts = counts.withColumn("share", F.pmod(F.xxhash64("word"), F.lit(SHARES)).cast("int"))
+    return counts.join(ranks, ["n", "share"]).select("word", "rank")
 
 
 def word_parts(value: str, lengths: list[int]) -> set[str]:
