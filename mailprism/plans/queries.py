@@ -89,14 +89,11 @@ def text_features(spark, sf_dir):
 def streamed_text_features(spark, sf_dir):
     """The text features on a stream of document files, through a parquet sink."""
     out = shared_folder(spark, "stream")
-    stream = (
-        spark.readStream.schema("doc_id bigint, text string")
-        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
-    write_features(
-        with_text_features(stream).drop("text"), f"{out}/rows", f"{out}/log"
-    ).awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    # a pattern, as the table may be one file or a folder of files; a stream takes a plain path for a folder
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parque[t]")
+    feats = with_text_features(stream).drop("text")
+    write_features(feats, f"{out}/rows", f"{out}/log").awaitTermination()
+    return spark.read.schema(feats.schema).parquet(f"{out}/rows")
 
 
 @query
