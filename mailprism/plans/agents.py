@@ -10,7 +10,7 @@ from mailprism.functions.headers import header
 from mailprism.functions.bodies import explained_body, explained_text
 from mailprism.functions.strings import not_blank
 from mailprism.operators import evaluation, harmonise, sampling, scoring
-from mailprism.operators.explain import explain
+from mailprism.operators.explain import explain_agent
 from mailprism.operators.features import (
     header_features, text_url_features, url_corpus_features,
 )
@@ -186,9 +186,8 @@ def explain_mail(
         "msg_id", F.element_at(F.split("source_path", "/"), -1).alias("file"),
         subject.alias("subject"), explained_text(subject, body).alias("text"),
     ).filter(not_blank(F.col("text")))
-    result = explain(
-        texts, agent.score_tokens, "text", "msg_id", num_features, num_samples, agent.limit,
-        ("file", "subject"),
+    result = explain_agent(
+        texts, agent, "text", "msg_id", num_features, num_samples, ("file", "subject")
     )
     if out:
         sinks.write_explanations(result, out)
@@ -204,9 +203,8 @@ def classify_batch(
     Each mail is explained once: the table is stored, and CSV and summary come from there.
     """
     mail = scoring.batch_input(parse_messages(mails, as_text=True))
-    found = explain(
-        mail, agent.score_tokens, "text", "msg_id", num_features, num_samples, agent.limit,
-        scoring.BATCH_COLUMNS,
+    found = explain_agent(
+        mail, agent, "text", "msg_id", num_features, num_samples, scoring.BATCH_COLUMNS
     )
     results = stored(scoring.batch_results(found), "batch")
     if csv:

@@ -15,7 +15,7 @@ from mailprism.functions.strings import drop_tags, strip
 from mailprism.functions.text import with_preprocessed, with_text_features
 from mailprism.functions.urls import with_url_features
 from mailprism.operators import evaluation, harmonise, profile, sampling, scoring
-from mailprism.operators.explain import explain, token_detail, top_tokens
+from mailprism.operators.explain import explain_agent, token_detail, top_tokens
 from mailprism.operators.features import (
     flat_features, header_features, nested_features, text_url_features, url_corpus_features,
 )
@@ -864,9 +864,7 @@ def text_agent_metrics(spark, sf_dir):
 def word_explanations(spark, sf_dir):
     """Ten strongest words of every held-out mail, over whole texts."""
     agent, test = _text_agent(spark, sf_dir)
-    explained = explain(
-        test, agent.score_tokens, "text", "row_id", num_features=10, num_samples=500
-    )
+    explained = explain_agent(test, agent, "text", "row_id", num_features=10, num_samples=500)
     return top_tokens(explained, 10, "row_id")
 
 

@@ -1,8 +1,12 @@
 """What only larger tables or tables in folders show; rows are built here."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from mailprism.functions.text import with_text_features
+from mailprism.operators.explain import explain, explain_agent
+from mailprism.operators.text_agent import TextAgent
 from mailprism.plans.queries import QUERIES
 
 
@@ -14,3 +18,42 @@ def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     got = QUERIES["streamed_text_features"](spark, str(tmp_path))
     want = with_text_features(docs).drop("text")
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def chance_texts(spark, n, seed):
+    """A telling line after words of chance; every tenth text has thousands of them."""
+    draw = random.Random(seed)
+    rows = [
+        (i, " ".join(f"w{draw.randrange(6000)}" for _ in range(4000 if i % 10 == 0 else 60))
+         + (" verify your account" if i // 10 % 2 else " see The notes the NOTES"), i // 10 % 2)
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "row_id long, text string, label int").repartition(4)
+
+
+def test_words_of_chance_do_not_outweigh_the_telling_ones(spark):
+    agent = TextAgent().train(chance_texts(spark, 800, 1))
+    found = agent.predict(chance_texts(spark, 800, 2))
+    assert found.where((F.col("p1") > F.col("p0")).cast("int") != F.col("label")).count() == 0
+
+
+def test_explanations_without_copies_are_those_of_the_copies(spark):
+    texts = chance_texts(spark, 60, 3)
+    agent = TextAgent().train(texts)
+    blank = spark.createDataFrame([(100, None, 0), (101, " ..", 1)], texts.schema)
+    some = texts.where("row_id >= 40").unionAll(blank).unionAll(texts.where("row_id = 41"))
+    assert agent.term_weights() is not None
+    quick, plain = (
+        {r["row_id"]: r for r in found.collect()}
+        for found in (
+            explain_agent(some, agent, "text", "row_id", 5, 60, ("label",)),
+            explain(some, agent.score_tokens, "text", "row_id", 5, 60, None, ("label",)),
+        )
+    )
+    assert set(quick) == set(plain) and len(quick) == 22
+    for i, a in quick.items():
+        b = plain[i]
+        assert a.label == b.label and abs(a.p0 - b.p0) + abs(a.p1 - b.p1) < 1e-9
+        assert len(a.top_features) == len(b.top_features)
+        weights = {f.token: f.weight for f in b.top_features}
+        assert all(abs(weights.get(f.token, 0.0) - f.weight) < 1e-6 for f in a.top_features)
