@@ -66,10 +66,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, source, lang, body, header_text, label``."""
-    return spark.sql(
-        MAIL_SQL, documents=documents(spark, sf_dir), pages=table(spark, sf_dir, "pages")
-    )
+    """``doc_id, source, lang, body, header_text, label``.
+
+    The number of pages is put in as a number. As a subquery in the join key it fails ("Subquery has not
+    finished") where pages seem too large to broadcast and prove small while the join runs.
+    """
+    pages = table(spark, sf_dir, "pages")
+    sql = MAIL_SQL.replace("(SELECT count(*) FROM {pages})", str(pages.count()))
+    return spark.sql(sql, documents=documents(spark, sf_dir), pages=pages)
 
 
 def derived_raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from mailprism.functions.text import with_text_features
 from mailprism.operators.explain import explain, explain_agent
+from mailprism.operators.forest import url_agent
 from mailprism.operators.text_agent import TextAgent
-from mailprism.plans.queries import QUERIES
+from mailprism.plans.queries import QUERIES, _mail_urls
 
 
 def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
@@ -57,3 +58,21 @@ def test_explanations_without_copies_are_those_of_the_copies(spark):
         assert len(a.top_features) == len(b.top_features)
         weights = {f.token: f.weight for f in b.top_features}
         assert all(abs(weights.get(f.token, 0.0) - f.weight) < 1e-6 for f in a.top_features)
+
+
+def test_folds_of_features_from_a_join_that_becomes_a_broadcast_late(spark, tmp_path):
+    """Pages seem too large to broadcast and prove small; the join key has a subquery."""
+    n = F.col("id").cast("string")
+    junk = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat(n, i.cast("string")), 256)), "")
+    docs = F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang")
+    spark.range(200).select(*docs).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), n).alias("url"), junk.alias("html"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "12k")
+    try:
+        found = url_agent(trees=3, depth=3).cross_predict(_mail_urls(spark, str(tmp_path)), key="url_id")
+        assert found.count() == 200
+    finally:
+        spark.conf.set(name, before)
