@@ -94,10 +94,19 @@ def _flat(raw: str) -> str:
     return "\n".join([*lines, "", str(body)])
 
 
+#: Mails that are held as Python objects at once.
+SLICE_ROWS = 256
+
+
 @F.arrow_udf(T.StringType())
 def flat_mail(raws: pa.Array) -> pa.Array:
     """JSON mail as flat text; null is empty text. Any JSON that Python reads is understood."""
-    return pa.array(["" if raw is None else _flat(raw) for raw in raws.to_pylist()], pa.string())
+    # in slices, as text is a multiple of its bytes as Python objects
+    parts = [
+        pa.array(["" if raw is None else _flat(raw) for raw in raws.slice(i, SLICE_ROWS).to_pylist()], pa.string())
+        for i in range(0, len(raws), SLICE_ROWS)
+    ]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
 def with_flat_mail(df: DataFrame, json_col: str, out_col: str = "text") -> DataFrame:
