@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.operators.mime import date_year
+from mailprism.operators.mime import date_year, slices
+from mailprism.session import stored
 
 log = logging.getLogger(__name__)
 
@@ -84,8 +85,10 @@ def _with_ids(numbered: DataFrame) -> DataFrame:
     """``msg_id`` from hash and running number, whatever task met which copy first.
 
     Equal mails are interchangeable, so the ids do not depend on how the input is split. Only the
-    copies per hash and task are summed; hashes that one task alone met need no offset.
+    copies per hash and task are summed; hashes that one task alone met need no offset. The rows are
+    written once, or the mails would be read and numbered a second time for the sums.
     """
+    numbered = stored(numbered, "numbered")
     each = numbered.groupBy("__hash", "__task").agg(F.max("__copy").alias("__n"))
     before = Window.partitionBy("__hash").orderBy("__task").rowsBetween(
         Window.unboundedPreceding, -1
@@ -105,7 +108,7 @@ def number_copies(df: DataFrame, content: str) -> DataFrame:
 
     def run(batches):
         copies = _Copies()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, content)):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *copies.number(batch.column(at).to_pylist())],
                 names=[*batch.schema.names, *_NUMBERED],
@@ -133,7 +136,7 @@ def _canonical(record: bytes) -> tuple[bytes, int | None] | None:
 def _reserialise(batches):
     """Mail of the records; text in front of a file's first "From " line is none."""
     copies, begun = _Copies(), set()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "record")):
         paths, mails, years = [], [], []
         rows = zip(*(batch.column(c).to_pylist() for c in ("source_path", "block", "record")))
         for path, block, record in rows:

@@ -2,13 +2,17 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailprism.functions.text import with_text_features
 from mailprism.operators.explain import explain, explain_agent
 from mailprism.operators.forest import url_agent
+from mailprism.operators.harmonise import SLICE_ROWS, flat_mail
+from mailprism.operators.mime import slices
 from mailprism.operators.text_agent import TextAgent
 from mailprism.plans.queries import QUERIES, _mail_urls
+from mailprism.sources.mail_files import read_mbox
 
 
 def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
@@ -76,3 +80,26 @@ def test_folds_of_features_from_a_join_that_becomes_a_broadcast_late(spark, tmp_
         assert found.count() == 200
     finally:
         spark.conf.set(name, before)
+
+
+def test_batches_of_mail_are_held_in_slices():
+    mails = [b"x" * 40, None, b"", b"x" * 70, b"x" * 300, b"x", b"x" * 99]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "raw": pa.array(mails, pa.binary())})
+    found = list(slices(batch, "raw", 100))
+    assert [r for part in found for r in part.column("raw").to_pylist()] == mails
+    assert [part.column("n").to_pylist() for part in found] == [[0, 1, 2, 3], [4], [5, 6]]
+    assert [len(part) for part in slices(batch.slice(0, 0), "raw", 100)] == [0]
+
+
+def test_json_mail_beyond_a_slice(spark):
+    rows = spark.range(SLICE_ROWS * 2 + 3).coalesce(1).select("id", F.concat(F.lit('{"body": "b'), "id", F.lit('"}')).alias("j"))
+    found = rows.select("id", flat_mail("j").alias("text")).collect()
+    assert [r["text"] for r in found] == [f"\nb{r['id']}" for r in found] and len(found) == SLICE_ROWS * 2 + 3
+
+
+def test_an_mbox_is_read_by_one_pass(spark, tmp_path):
+    box = tmp_path / "box"
+    box.write_text("".join(f"From a@b Mon\nSubject: s{i % 2}\n\nbody\n\n" for i in range(6)))
+    mails = read_mbox(spark, str(box))
+    assert "MapInArrow" not in mails._jdf.queryExecution().toString()
+    assert len({r["msg_id"] for r in mails.collect()}) == 6
