@@ -14,7 +14,11 @@ two sets, and each allocation posts all that cheaper ones do):
 3. else also the empty parts.
 
 Parts that are not empty and equal are counted per pair. A set with ``u`` such parts shares at least ``u - H`` with
-any partner, so pairs with fewer are dropped unread. Lists of up to ``LIST_ROWS`` sets are tallied pair by pair. A set
+any partner, so pairs with fewer are dropped unread.
+
+Each set has a sketch: of ``SKETCH`` ranges of hashes, whether it has an odd number of members there. Sketches differ in no
+more bits than sets in members, so sets whose sketches differ in more than linked sets can are no pair. Lists of one
+set go first; the rest carry the sketches, and pairs are made of sets alone that pass. Lists of up to ``LIST_ROWS`` sets are tallied pair by pair. A set
 in ``n`` longer lists can share at most ``n`` parts there, which is taken off what its pairs need elsewhere; only sets
 in which the long lists alone could suffice are compared inside these, each with the list's first set, then (if
 a list still holds several components) with the next ones. So a passage that a third of all texts share makes no
@@ -28,6 +32,8 @@ documents with one id; a row without an id never names a component unless all it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,9 @@ WORDS = 5
 SHARE = 80
 #: Longest posting list that is tallied pair by pair.
 LIST_ROWS = 256
+#: Bits of a set's sketch.
+SKETCH = 512
+_WORDS = [f"sketch_{i}" for i in range(SKETCH // 64)]
 #: Bits of the filter that tells tasks which texts are to be compared.
 FILTER_BITS = 1 << 24
 NO_ID = -(1 << 63)
@@ -81,6 +90,18 @@ def node_of(found: np.ndarray) -> int:
     return int(mixed(found ^ _ODD[1]).sum().view(np.int64))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The set's sketch as signed numbers."""
+    at = (mixed(found ^ _ODD[3]) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the rows of two tables of sketches differ in few enough bits for sets of these sizes."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64) * (100 + SHARE) <= (size_a + size_b) * (100 - SHARE)
+
+
 def bands(share: int = SHARE) -> list[tuple[int, int, int, int]]:
     """``least size, largest size, H, segments`` of each band."""
     out, low = [], 1
@@ -145,7 +166,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """``doc, node, n_shingles, bands, needs`` for each row; without words no node."""
+    """``doc, node, n_shingles, bands, needs, sketch_0...`` for each row; without words no node."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -157,9 +178,12 @@ def nodes_of(docs: DataFrame) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()), pa.array(posted, pa.list_(pa.int32())),
                 pa.array([[need(s, b) for b in p] for s, p in zip(sets, posted)], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "n_shingles", "bands", "needs"])
+            sketches = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), len(_WORDS))
+            columns += [pa.array(x) for x in sketches.T.copy()]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "n_shingles", "bands", "needs", *_WORDS])
 
-    return _texts(docs).mapInArrow(run, "doc long, node long, n_shingles long, bands array<int>, needs array<int>")
+    words = "".join(f", {w} long" for w in _WORDS)
+    return _texts(docs).mapInArrow(run, f"doc long, node long, n_shingles long, bands array<int>, needs array<int>{words}")
 
 
 def posted(docs: DataFrame) -> DataFrame:
@@ -184,62 +208,97 @@ def posted(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "key long, node long")
 
 
-def tally(key: np.ndarray, node: np.ndarray, list_rows: int) -> list[np.ndarray]:
-    """``a, b, key`` of sorted postings: the pairs of short lists; of long lists each set with itself."""
+def _sorted_lists(postings: DataFrame, *more: str) -> DataFrame:
+    return postings.select("key", "node", *more).repartition(shuffle_partitions(postings.sparkSession), "key").sortWithinPartitions("key", "node")
+
+
+def met(postings: DataFrame) -> DataFrame:
+    """``key, node`` of the lists with several sets, each set once a list. Holds one batch."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row
+        over = False  # it was passed on
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            k, n = (batch.column(i).to_numpy() for i in range(2))
+            k, n = np.r_[key, k], np.r_[node, n]
+            new = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
+            k, n = k[new], n[new]
+            same = k[1:] == k[:-1]
+            several = np.r_[False, same] | np.r_[same, False]
+            last = several[-1] or (over and len(k) == 1)
+            several[0] &= not over
+            yield pa.RecordBatch.from_arrays([pa.array(k[several]), pa.array(n[several])], ["key", "node"])
+            key, node, over = k[-1:], n[-1:], bool(last)
+
+    return _sorted_lists(postings).mapInArrow(run, "key long, node long")
+
+
+def tally(key: np.ndarray, node: np.ndarray, list_rows: int, size: np.ndarray | None = None, words: np.ndarray | None = None) -> list[np.ndarray]:
+    """``a, b, key`` of sorted postings: the pairs of short lists (given sizes and sketches, those that may link); of
+    long lists each set with itself."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    size = np.repeat(sizes, sizes)
-    long = np.flatnonzero(size > list_rows)
+    rows = np.repeat(sizes, sizes)
+    long = np.flatnonzero(rows > list_rows)
     a, b, k = [node[long]], [node[long]], [key[long]]
-    some = np.flatnonzero((size > 1) & (size <= list_rows))
+    some = np.flatnonzero((rows > 1) & (rows <= list_rows))
     key, node = key[some], node[some]
+    if size is not None:
+        size, words = size[some], words[some]
     at = np.arange(len(key))
     for step in range(1, list_rows):
         at = at[:np.searchsorted(at, len(key) - step)]
         at = at[key[at + step] == key[at]]
         if not len(at):
             break
-        a.append(node[at])
-        b.append(node[at + step])
-        k.append(key[at])
+        pair = at if size is None else at[_may_link(words[at], words[at + step], size[at], size[at + step])]
+        a.append(node[pair])
+        b.append(node[pair + step])
+        k.append(key[pair])
     return [np.concatenate(x) for x in (a, b, k)]
 
 
 def lists(postings: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``a, b, key``: pairs (``a < b``) of short lists; sets of long lists (``a = b``). Holds one list and a batch."""
+    """``a, b, key``: pairs (``a < b``) of short lists; sets of long lists (``a = b``). Holds one list and a batch.
+
+    Where the postings have ``n_shingles`` and sketches, pairs that cannot link by these are left out.
+    """
+    more = ["n_shingles", *_WORDS] if "n_shingles" in postings.columns else []
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros((2 + len(more), 0), np.int64)
         over = False  # the list being read is long and was passed on
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "key"])
 
+        def tallied(rows: np.ndarray) -> pa.RecordBatch:
+            return out(tally(rows[0], rows[1], list_rows, *([rows[2], rows[3:].T] if more else [])))
+
         for batch in found:
-            k, n = (batch.column(i).to_numpy() for i in range(2))
-            k, n = np.r_[key, k], np.r_[node, n]
-            new = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
-            k, n = k[new], n[new]
+            now = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(len(held))])], axis=1)
+            now = now[:, np.r_[True, (now[:2, 1:] != now[:2, :-1]).any(0)][:now.shape[1]]]
             if over:
-                same = k == key[0]
+                same = now[0] == held[0, 0]
                 same[0] = False  # it was passed on already
-                yield out([n[same], n[same], k[same]])
-                if k[-1] == key[0]:
-                    key, node = k[-1:], n[-1:]
+                yield out([now[1, same], now[1, same], now[0, same]])
+                if now[0, -1] == held[0, 0]:
+                    held = now[:, -1:]
                     continue
-                k, n, over = k[k != key[0]], n[k != key[0]], False
-            whole = int(np.searchsorted(k, k[-1])) if len(k) else 0
+                now, over = now[:, now[0] != held[0, 0]], False
+            whole = int(np.searchsorted(now[0], now[0, -1])) if now.shape[1] else 0
             if whole:
-                yield out(tally(k[:whole], n[:whole], list_rows))
-            key, node = k[whole:], n[whole:]
-            if len(key) > list_rows:
-                yield out([node, node, key])
-                key, node, over = key[-1:], node[-1:], True
-        if len(key) and not over:
-            yield out(tally(key, node, list_rows))
+                yield tallied(now[:, :whole])
+            held = now[:, whole:]
+            if held.shape[1] > list_rows:
+                yield out([held[1], held[1], held[0]])
+                held, over = held[:, -1:], True
+        if held.shape[1] and not over:
+            yield tallied(held)
 
-    sorted_lists = postings.repartition(shuffle_partitions(postings.sparkSession), "key").sortWithinPartitions("key", "node")
-    return sorted_lists.mapInArrow(run, "a long, b long, key long")
+    return _sorted_lists(postings, *more).mapInArrow(run, "a long, b long, key long")
 
 
 def candidates(found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -311,15 +370,18 @@ def _named(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
 
 
 def _first_ones(lists: DataFrame, slots: int) -> DataFrame:
-    """``key, c, c_root``: up to so many sets of each list, to be compared with the list's others."""
+    """``key, c, c_root, c_n_shingles, c_sketch_0...``: up to so many sets of each list, to be compared with the list's others."""
     slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-    first = lists.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "node_root")).alias("c"))
-    return first.select("key", F.col("c.node").alias("c"), F.col("c.node_root").alias("c_root"))
+    columns = ["node", "node_root", "n_shingles", *_WORDS]
+    first = lists.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*columns)).alias("c"))
+    return first.select("key", F.col("c.node").alias("c"), F.col("c.node_root").alias("c_root"), *(F.col(f"c.{x}").alias(f"c_{x}") for x in columns[2:]))
 
 
 def _pairs_with(lists: DataFrame, first: DataFrame) -> DataFrame:
-    """``a, b``: the sets of each list with its first ones, where their known components differ."""
-    pairs = lists.join(first, "key").where("node_root <> c_root")
+    """``a, b``: the sets of each list with its first ones, where their known components differ and they may link."""
+    differ = reduce(add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in _WORDS))
+    few = differ * (100 + SHARE) <= (F.col("n_shingles") + F.col("c_n_shingles")) * (100 - SHARE)
+    pairs = lists.join(first, "key").where((F.col("node_root") != F.col("c_root")) & few)
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
 
@@ -330,7 +392,7 @@ def _divided(lists: DataFrame) -> DataFrame:
 
 
 def all_links(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect all that candidates ``a, b, shared`` and long lists ``key, node`` connect.
+    """Links ``a, b`` that connect all that candidates ``a, b, shared`` and long lists ``key, node, n_shingles, sketch_0...`` connect.
 
     A set is first compared with the smaller one that it shares most parts with; then candidates in different
     components, and each long list's first set with the others, are; then the lists that still hold
@@ -346,7 +408,7 @@ def all_links(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
     links = cut_lineage(links.unionByName(verified(apart, sets)))
     if lists.isEmpty():
         return links
-    lists = cut_lineage(_divided(_named(lists.select("key", "node"), components(links), "node")))
+    lists = cut_lineage(_divided(_named(lists.drop("node_root"), components(links), "node")))
     slots = LIST_ROWS
     while not lists.isEmpty():
         first = cut_lineage(_first_ones(lists, slots))
@@ -359,11 +421,15 @@ def all_links(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
 def near_texts(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     rows = stored(nodes_of(docs), "shingle-nodes")
+    sketches = ["n_shingles", *_WORDS]
     nodes = cut_lineage(
-        rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("needs").alias("needs"), F.min(F.nullif("doc", F.lit(NO_ID))).alias("least"))
+        rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("needs").alias("needs"), *(F.first(c).alias(c) for c in sketches), F.min(F.nullif("doc", F.lit(NO_ID))).alias("least"))
     )
-    found = stored(lists(posted(docs), list_rows), "shingle-lists")
+    several = stored(met(posted(docs)), "shingle-lists")
+    sketched = nodes.select("node", *sketches)
+    found = stored(lists(several.join(sketched, "node"), list_rows), "shingle-pairs")
     pairs, heavy = (cut_lineage(x) for x in candidates(found, nodes))
+    heavy = cut_lineage(heavy.join(sketched, "node"))
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     wanted = cut_lineage(nodes.join(asked, nodes["node"] == asked["a"], "left_semi").select("node", "doc"))
     sets = stored(sets_of(docs, wanted), "shingle-sets")

@@ -167,3 +167,43 @@ def test_set_numbers():
     assert len(join.shingles(b"", hashes)) == 0 and len(join.shingles(b"a b", hashes)) == 1
     assert join.shingles(b"a b", hashes)[0] != join.shingles(b"b a", hashes)[0]
     assert pa.types.is_boolean(join._linked.func(pa.array([one.tobytes()]), pa.array([one.tobytes()])).type)
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(8)
+    for a, b, common in extremes():
+        for _ in range(20):
+            x, y = pair(rng, a, b, common)
+            one, other = (np.array([join.sketch(s)]) for s in (x, y))
+            assert join._may_link(one, other, np.array([a]), np.array([b])).all(), (a, b, common)
+
+
+@pytest.mark.parametrize("list_rows", [4, 256])
+def test_groups_of_texts_below_the_share_make_no_pairs(spark, list_rows):
+    """Texts that have half of their shingles in common share parts, but none of their pairs is formed."""
+    rng = random.Random(9)
+    half = [f"p{i}" for i in range(100)]
+    docs = [(i, " ".join(half + [f"x{rng.randrange(10**6)}" for _ in range(100)])) for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    sketches = join.nodes_of(table).select("node", "n_shingles", *join._WORDS)
+    several = join.met(join.posted(table))
+    assert join.lists(several, 256).count() > 1000  # without the sketches
+    sketched = several.join(sketches, "node")
+    found = join.lists(sketched, list_rows)
+    assert found.where("a < b").isEmpty()
+    long = sketched.withColumn("node_root", join.F.col("node"))
+    assert join._pairs_with(long, join._first_ones(long, 1)).isEmpty()
+    assert rows(join.near_texts(table, list_rows)) == classes(docs)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_lists_of_one_set_are_dropped(spark, batch):
+    key = np.repeat([1, 2, 3, 4, 5], [2, 7, 1, 4, 2]).astype(np.int64)
+    node = np.concatenate([[1, 1], range(7), [1], range(4), [3, 3]]).astype(np.int64)
+    table = spark.createDataFrame(list(zip(key.tolist(), node.tolist())), "key long, node long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(tuple(r) for r in join.met(table).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(2, i) for i in range(7)] + [(4, i) for i in range(4)]
