@@ -99,9 +99,15 @@ def _odd_digits() -> str:
 ODD_DIGITS = _odd_digits()
 
 
+# What most texts consist of besides ASCII digits: scripts below Arabic without the digits of Latin-1, kana,
+# ideographs, Hangul. None of these is a digit of any kind, and few ranges are fast to test.
+NO_DIGITS = r"\x00-\x2f\x3a-\xb1\xb4-\xb8\xba-\x{65f}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}"
+
+
 def count_digits(text: Column, size: Column) -> Column:
-    """Digits of any script, in one pass: ASCII texts have ten, others may have odd ones too."""
+    """Digits of any script: ASCII texts have ten, others may have odd ones too, sought in what common scripts leave."""
+    rest = F.regexp_replace(text, f"[{NO_DIGITS}]+", "")
     return F.length(
         F.when(F.octet_length(text) == size, F.regexp_replace(text, "[^0-9]+", ""))
-        .otherwise(F.regexp_replace(text, f"[^\\p{{Nd}}{ODD_DIGITS}]+", ""))
+        .otherwise(F.regexp_replace(rest, f"[^\\p{{Nd}}{ODD_DIGITS}]+", ""))
     )

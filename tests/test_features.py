@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import unicodedata
 from difflib import SequenceMatcher
 from urllib.parse import urlparse
 
@@ -174,3 +175,19 @@ def test_typosquatting_query_against_brute_force(spark, sf_dir):
         )
         assert got[i]["url_count"] == len(urls)
         assert got[i]["potential_typosquatting"] == alike
+
+
+def test_scripts_set_aside_have_no_digits(spark):
+    """The digit count leaves common scripts out at once: none of their characters is a digit, and odd digits stay counted."""
+    from mailprism.functions.strings import NO_DIGITS, count_digits
+
+    def odd(c):
+        return chr(c).isdigit() or unicodedata.category(chr(c)) == "Nd"
+
+    ends = [int(c.strip("{}"), 16) for c in re.findall(r"\\x([0-9a-f]{2}|{[0-9a-f]+})", NO_DIGITS)]
+    for low, high in zip(ends[::2], ends[1::2], strict=True):
+        assert not any(odd(c) for c in range(low, high + 1)), (low, high)
+    texts = ["", "12 ab", "é١٢ x²³¹½", "中文3五", "日本①②", "한국 ४५ 9", "Ж7"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", count_digits(F.col("t"), F.length("t")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [sum(c.isdigit() for c in t) for t in texts]
