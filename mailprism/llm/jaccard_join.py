@@ -21,7 +21,7 @@ more bits than sets in members, so sets whose sketches differ in more than linke
 set go first; the rest carry the sketches, and pairs are made of sets alone that pass. Lists of up to ``LIST_ROWS`` sets are tallied pair by pair. A set
 in ``n`` longer lists can share at most ``n`` parts there, which is taken off what its pairs need elsewhere; only sets
 in which the long lists alone could suffice are compared inside these, each with the list's first set, then (if
-a list still holds several components) with the next ones. So a passage that a third of all texts share makes no
+a list still holds several components) with all sets of others, a block of the list at a time. So a passage that a third of all texts share makes no
 pairs, and a group of n near copies costs about n comparisons. The remaining pairs are verified on the sets.
 
 Shingles are compared by 64-bit hashes (a false match inside one compared pair: about one in 10^13), sets by the sum of those.
@@ -50,6 +50,8 @@ WORDS = 5
 SHARE = 80
 #: Longest posting list that is tallied pair by pair.
 LIST_ROWS = 256
+#: Sets of a long list that one task compares with the list's others.
+BLOCK_ROWS = 4096
 #: Bits of a set's sketch.
 SKETCH = 512
 _WORDS = [f"sketch_{i}" for i in range(SKETCH // 64)]
@@ -356,11 +358,24 @@ def _linked(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that may be among ``nodes``: all that are, and few others."""
+    bits = bitmap(nodes.select(_bits("node").alias("bit")), FILTER_BITS)
+
+    @F.arrow_udf(T.BooleanType())
+    def asked(node: pa.Array) -> pa.Array:
+        return pa.array(is_set(bits, _bit(node.to_numpy(zero_copy_only=False))))
+
+    return sets.where(asked("node"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets link."""
+    """The pairs ``a, b`` whose sets link, written once. Only the sets of these pairs move."""
+    pairs = cut_lineage(pairs)
+    sets = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return pairs.where(_linked("set_a", "set_b")).select("a", "b")
+    return cut_lineage(pairs.where(_linked("set_a", "set_b")).select("a", "b"))
 
 
 def _named(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -369,53 +384,62 @@ def _named(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return rows.join(known, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
+def _as_others(columns: list[str]) -> list:
+    return [F.col("node").alias("c"), F.col("node_root").alias("c_root"), *(F.col(x).alias(f"c_{x}") for x in columns)]
+
+
 def _first_ones(lists: DataFrame, slots: int) -> DataFrame:
     """``key, c, c_root, c_n_shingles, c_sketch_0...``: up to so many sets of each list, to be compared with the list's others."""
     slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-    columns = ["node", "node_root", "n_shingles", *_WORDS]
-    first = lists.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*columns)).alias("c"))
-    return first.select("key", F.col("c.node").alias("c"), F.col("c.node_root").alias("c_root"), *(F.col(f"c.{x}").alias(f"c_{x}") for x in columns[2:]))
+    columns = ["n_shingles", *_WORDS]
+    first = lists.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "node_root", *columns)).alias("c"))
+    return first.select("key", "c.*").select("key", *_as_others(columns))
 
 
-def _pairs_with(lists: DataFrame, first: DataFrame) -> DataFrame:
-    """``a, b``: the sets of each list with its first ones, where their known components differ and they may link."""
+def _pairs_with(lists: DataFrame, others: DataFrame, on: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``a, b``: the sets of each list with others, where their known components differ and they may link."""
     differ = reduce(add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"c_{w}"))) for w in _WORDS))
     few = differ * (100 + SHARE) <= (F.col("n_shingles") + F.col("c_n_shingles")) * (100 - SHARE)
-    pairs = lists.join(first, "key").where((F.col("node_root") != F.col("c_root")) & few)
+    pairs = lists.join(others, list(on)).where((F.col("node_root") != F.col("c_root")) & few)
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
 
+def _pairs_within(lists: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b``: such pairs of all sets of each list, with a block of about so many at a time."""
+    blocks = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    lists = lists.join(blocks, "key")
+    others = lists.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *_as_others(["n_shingles", *_WORDS]))
+    each = lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return _pairs_with(each, others, ("key", "block"))
+
+
 def _divided(lists: DataFrame) -> DataFrame:
     """The lists that hold more than one known component."""
     several = lists.groupBy("key").agg(F.min("node_root").alias("x"), F.max("node_root").alias("y")).where("x <> y")
     return lists.join(several.select("key"), "key", "left_semi")
 
 
-def all_links(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect all that candidates ``a, b, shared`` and long lists ``key, node, n_shingles, sketch_0...`` connect.
+def roots_of(pairs: DataFrame, heavy: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root``: what the links among candidates ``a, b, shared`` and in long lists ``key, node, n_shingles, sketch_0...`` connect.
 
     A set is first compared with the smaller one that it shares most parts with; then candidates in different
-    components, and each long list's first set with the others, are; then the lists that still hold
-    several components, a number of sets at a time that doubles.
+    components, and each long list's first set with the others, are; then, in the lists that still hold
+    several components, the sets of different ones.
     """
     nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")).select("a", "b")
-    links = cut_lineage(verified(nearest, sets))
+    links = verified(nearest, sets)
     roots = components(links)
     apart = _named(_named(pairs.select("a", "b"), roots, "a"), roots, "b").where("a_root <> b_root").select("a", "b")
     lists = cut_lineage(_divided(_named(heavy, roots, "node")))
     if not lists.isEmpty():
         apart = apart.unionByName(_pairs_with(lists, _first_ones(lists, 1))).distinct()
-    links = cut_lineage(links.unionByName(verified(apart, sets)))
-    if lists.isEmpty():
-        return links
-    lists = cut_lineage(_divided(_named(lists.drop("node_root"), components(links), "node")))
-    slots = LIST_ROWS
-    while not lists.isEmpty():
-        first = cut_lineage(_first_ones(lists, slots))
-        links = cut_lineage(links.unionByName(verified(_pairs_with(lists, first).distinct(), sets)))
-        rest = lists.join(first.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
-        lists, slots = cut_lineage(_divided(rest)), 2 * slots
-    return links
+    links = links.unionByName(verified(apart, sets))
+    roots = components(links)
+    if not lists.isEmpty():
+        lists = cut_lineage(_divided(_named(lists.drop("node_root"), roots, "node")))
+    if not lists.isEmpty():
+        roots = components(links.unionByName(verified(_pairs_within(lists).distinct(), sets)))
+    return roots
 
 
 def near_texts(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -433,8 +457,7 @@ def near_texts(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     wanted = cut_lineage(nodes.join(asked, nodes["node"] == asked["a"], "left_semi").select("node", "doc"))
     sets = stored(sets_of(docs, wanted), "shingle-sets")
-    links = all_links(pairs, heavy, sets)
-    roots = nodes.join(components(links).withColumnRenamed("root", "known"), "node", "left").select("node", "least", F.coalesce("known", "node").alias("root"))
+    roots = nodes.join(roots_of(pairs, heavy, sets).withColumnRenamed("root", "known"), "node", "left").select("node", "least", F.coalesce("known", "node").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(names, "root").select("node", "component_id")
     out = rows.select("doc", "n_shingles", "node").join(named, "node", "left")

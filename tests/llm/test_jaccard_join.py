@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from mailprism.llm import jaccard_join as join
+from mailprism.llm.components import components
 from tests.llm.conftest import EDGES
 
 
@@ -207,3 +208,36 @@ def test_lists_of_one_set_are_dropped(spark, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(2, i) for i in range(7)] + [(4, i) for i in range(4)]
+
+
+def test_only_the_sets_of_the_pairs_move(spark):
+    sets = spark.createDataFrame([(i, np.arange(i, i + 20, dtype=np.uint64).tobytes()) for i in range(1000)], "node long, shingles binary")
+    nodes = spark.createDataFrame([(3,), (4,), (3,), (700,), (5000,)], "node long")
+    moved = {r["node"] for r in join._among(sets, nodes).collect()}
+    assert {3, 4, 700} <= moved and len(moved) < 10
+    pairs = spark.createDataFrame([(3, 4), (3, 700), (8, 10), (8, 11)], "a long, b long")
+    assert rows(join.verified(pairs, sets)) == [(3, 4), (8, 10)]  # 19 of 21, none, 18 of 22, 17 of 23
+
+
+@pytest.mark.parametrize("block_rows", [3, 1000])
+def test_all_sets_of_a_long_list_meet(spark, block_rows):
+    """Lists of one block or of many give the pairs of sets in different components, and no others."""
+    place = [(key, n, n % (key + 1)) for key, n in [(0, 9), (1, 40), (2, 7)] for n in range(n)]
+    same = dict.fromkeys(join._WORDS, 5)
+    lists = spark.createDataFrame([(k, n, r, 10, *same.values()) for k, n, r in place], f"key long, node long, node_root long, n_shingles long, {', '.join(f'{w} long' for w in same)}")
+    got = {tuple(r) for r in join._pairs_within(lists, block_rows).collect()}
+    assert got == {(a, b) for k, a, r in place for j, b, s in place if k == j and a < b and r != s}
+
+
+def test_few_links_leave_few_files(spark):
+    """Each task of a small exchange leaves files, so a few links stay in a few tasks, however many partitions shuffles have."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(1, 3), (5, 1)], "a long, b long"))
+        assert {tuple(r) for r in found.collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)} | {(i + 1, i) for i in range(6, 60, 2)}
+        assert found.rdd.getNumPartitions() <= 8
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
