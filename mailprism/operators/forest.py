@@ -29,12 +29,8 @@ class ForestAgent:
     def __init__(
         self, feature_names, trees: int = v.FOREST_TREES, depth: int = v.FOREST_DEPTH,
         min_leaf: int = v.FOREST_MIN_LEAF, seed: int = v.SEED,
-        max_train_rows: int = 5_000_000,
     ):
-        """``max_train_rows`` bounds the labelled rows a forest is fitted on; a larger training part
-        is sampled evenly. Nothing else is bounded: all rows are scored and evaluated."""
         self.feature_names = list(feature_names)
-        self.max_train_rows = max_train_rows
         self.trees, self.depth, self.min_leaf, self.seed = trees, depth, min_leaf, seed
         self.model: PipelineModel | None = None
         self.best_params: dict | None = None
@@ -92,12 +88,8 @@ class ForestAgent:
         return self
 
     def _training_rows(self, df: DataFrame, label: str, key: str | None, folds: bool) -> DataFrame:
-        """Features, label and weight (and fold) of the rows to fit on; every tree level reads them again."""
-        matrix = self._matrix(df, label, key)
-        found = df.count()
-        if found > self.max_train_rows:
-            matrix = matrix.sample(self.max_train_rows / found, self.seed)
-        rows = balanced_weights(matrix, "label")
+        """Features, label and weight (and fold) of all rows; every tree level reads them again."""
+        rows = balanced_weights(self._matrix(df, label, key), "label")
         if folds:
             rows = stratified_folds(rows, 5, "label", "__key", self.seed)
         return rows.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,11 +3,12 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from mailprism.functions.text import with_text_features
 from mailprism.operators.explain import explain, explain_agent
-from mailprism.operators.forest import url_agent
+from mailprism.operators.forest import ForestAgent, url_agent
 from mailprism.operators.harmonise import SLICE_ROWS, flat_mail
 from mailprism.operators.mime import slices
 from mailprism.operators.text_agent import TextAgent
@@ -103,3 +104,25 @@ def test_an_mbox_is_read_by_one_pass(spark, tmp_path):
     mails = read_mbox(spark, str(box))
     assert "MapInArrow" not in mails._jdf.queryExecution().toString()
     assert len({r["msg_id"] for r in mails.collect()}) == 6
+
+
+@pytest.fixture
+def large(spark, monkeypatch):
+    """Each table gives its count as ten million rows more; the value is the true count."""
+    frame = type(spark.range(1))
+    count = frame.count
+    monkeypatch.setattr(frame, "count", lambda df: count(df) + 10_000_000)
+    return count
+
+
+def labelled(spark, rows, key, *features):
+    """``key``, a label, and features that tell it."""
+    label = (F.col("id") % 3 == 0).cast("int")
+    return spark.range(rows).select(F.col("id").alias(key), label.alias("label"), *(label.alias(n) for n in features))
+
+
+def test_a_large_table_has_a_verdict_for_every_row(spark, large):
+    found = ForestAgent(["a"], trees=2, depth=2).cross_predict(labelled(spark, 210, "url_id", "a"), key="url_id")
+    assert sorted(tuple(r) for r in found.select("url_id", "label").collect()) == [(i, int(i % 3 == 0)) for i in range(210)]
+    right = found.where("prediction = label").groupBy("fold").agg(F.count("*").alias("n"))
+    assert {r["fold"]: r["n"] for r in right.collect()} == dict.fromkeys(range(5), 42)
