@@ -6,13 +6,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mailprism.functions import fixed_values as v
 from mailprism.functions.text import with_text_features
 from mailprism.operators.explain import explain, explain_agent
-from mailprism.operators.forest import ForestAgent, url_agent
+from mailprism.operators.forest import ForestAgent, header_agent, text_url_agent, url_agent
 from mailprism.operators.harmonise import SLICE_ROWS, flat_mail
 from mailprism.operators.mime import slices
 from mailprism.operators.text_agent import TextAgent
-from mailprism.plans.queries import QUERIES, _mail_urls
+from mailprism.plans.queries import QUERIES, _mail_urls, _split_scores
 from mailprism.sources.mail_files import read_mbox
 
 
@@ -108,11 +109,10 @@ def test_an_mbox_is_read_by_one_pass(spark, tmp_path):
 
 @pytest.fixture
 def large(spark, monkeypatch):
-    """Each table gives its count as ten million rows more; the value is the true count."""
+    """Each table gives its count as ten million rows more."""
     frame = type(spark.range(1))
     count = frame.count
     monkeypatch.setattr(frame, "count", lambda df: count(df) + 10_000_000)
-    return count
 
 
 def labelled(spark, rows, key, *features):
@@ -126,3 +126,9 @@ def test_a_large_table_has_a_verdict_for_every_row(spark, large):
     assert sorted(tuple(r) for r in found.select("url_id", "label").collect()) == [(i, int(i % 3 == 0)) for i in range(210)]
     right = found.where("prediction = label").groupBy("fold").agg(F.count("*").alias("n"))
     assert {r["fold"]: r["n"] for r in right.collect()} == dict.fromkeys(range(5), 42)
+
+
+def test_importances_of_a_large_table_come_from_every_training_row(spark, large):
+    agent, _ = _split_scores(text_url_agent(trees=2, depth=2), labelled(spark, 200, "row_id", *v.TEXT_FEATURES), "row_id")
+    assert agent.history["num_samples"] == 10_000_140
+    assert sum(r["importance"] for r in agent.importances(spark).collect()) == pytest.approx(1)
