@@ -132,3 +132,10 @@ def test_importances_of_a_large_table_come_from_every_training_row(spark, large)
     agent, _ = _split_scores(text_url_agent(trees=2, depth=2), labelled(spark, 200, "row_id", *v.TEXT_FEATURES), "row_id")
     assert agent.history["num_samples"] == 10_000_140
     assert sum(r["importance"] for r in agent.importances(spark).collect()) == pytest.approx(1)
+
+
+def test_metrics_of_a_large_table_come_from_every_training_row(spark, large):
+    agent, test = _split_scores(header_agent(trees=2, depth=2), labelled(spark, 200, "msg_id", *v.HEADER_FEATURES), "msg_id")
+    assert agent.history["num_samples"] == 10_000_140
+    found = agent.evaluate(test).first()
+    assert (found["true_positives"], found["true_negatives"], found["accuracy"]) == (20, 40, 1)
