@@ -139,3 +139,10 @@ def test_metrics_of_a_large_table_come_from_every_training_row(spark, large):
     assert agent.history["num_samples"] == 10_000_140
     found = agent.evaluate(test).first()
     assert (found["true_positives"], found["true_negatives"], found["accuracy"]) == (20, 40, 1)
+
+
+def test_verdicts_of_a_large_table_come_from_every_training_row(spark, large):
+    agent, test = _split_scores(header_agent(trees=2, depth=2), labelled(spark, 200, "msg_id", *v.HEADER_FEATURES), "msg_id")
+    assert agent.history["num_samples"] == 10_000_140
+    found = agent.predict(test, ("msg_id", "label")).collect()
+    assert len({r["msg_id"] for r in found}) == 60 and all(r["prediction"] == r["label"] for r in found)
